@@ -23,24 +23,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Cells of one matrix, pieces kept between batches, characters cut at a time, and the longest row of a matrix.
-CELLS, KEPT, CUT, LONGEST = 1 << 16, 600_000, 1_000_000, 2048
+CELLS, KEPT, CUT, LONGEST = 1 << 16, 150_000, 500_000, 2048
 #: A word of letters alone is one piece, and these marks after it are the next piece.
 ENDS = tuple(".,;:!?")
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    ranks = _ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 class Vocabulary:
     """Ranks of a file, with a hash table from pairs of ids to the rank of their joined bytes."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.ranks, self.tokens = _ranks(path), token_bytes(path)
         self.packed = [np.int32(i).tobytes() for i in range(len(self.tokens))]
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {}
@@ -261,7 +271,7 @@ def decode_column(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = vocabulary(path).tokens
+        tokens = token_bytes(path)
         for lists in batches:
             yield pd.Series([b"" if x is None else b"".join([tokens[i] for i in np.asarray(x).tolist()]) for x in lists], dtype=object)
 
@@ -280,6 +290,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", out_col: str =
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    small_batches(docs.sparkSession)
     coded = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
     return coded.select(
         "doc_id",

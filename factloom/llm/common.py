@@ -54,3 +54,10 @@ def row_key(id_col: str, text_col: str):
 def hinted(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast a side only where its counted rows are within a fixed limit; else a sort-merge join."""
     return df.hint("broadcast") if rows <= limit else df.hint("merge")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python, so fewer of them at a time than Spark's default; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

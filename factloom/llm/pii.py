@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 BASE = ("email", "ip", "card", "phone")
@@ -186,6 +186,7 @@ def joined(spans: Column) -> Column:
 
 def summary(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans of each row."""
+    small_batches(docs.sparkSession)
     found = find_pii(docs.select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import small_batches, table, text_of, written
 
 MARKS = "#$%&*|~^@=<>{}[]\\_/+"
 STATS = ("chars", "words", "word_size", "long_words", "short_words", "letters", "upper", "digits", "space", "stops", "marks", "bangs", "other", "distinct", "repeats", "top_word", "lines", "line_repeats", "line_size", "mark_words")
@@ -182,6 +182,7 @@ def labelled_stats(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
+    small_batches(docs.sparkSession)
     stats = written(docs.select("doc_id", statistics_column(text_of()).alias("stats")), "stats")
     out = scored(stats, fit(labelled_stats(stats, labels)))
     return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -189,6 +190,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score at least the threshold, with their columns."""
+    small_batches(docs.sparkSession)
     stats = written(docs.select("doc_id", statistics_column(text_of()).alias("stats")), "stats")
     model = fit(labelled_stats(stats, labels))
     return scored(docs.withColumn("stats", statistics_column(text_of())), model).filter(F.col("score") >= threshold).select(*docs.columns)

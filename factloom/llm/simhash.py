@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import small_batches, table, text_of, written
 from .components import components
 
 WORDS = 3
@@ -117,6 +117,7 @@ def _bit(i: int) -> int:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = 2, longest: int = 64) -> DataFrame:
     """id_col, fp (long) and component_id (the smallest id reachable) of each row."""
+    small_batches(df.sparkSession)
     prints = written(df.select(id_col, fingerprint_column(text_of(text_col), words).alias("fp")), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), bits, longest)).withColumnRenamed("node", "fp")
