@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, linededup, pii, quality, simhash, winnow
+from . import bpe, chat, decontaminate, licenses, linededup, pii, quality, secrets, simhash, winnow
 
-_MODULES = (pii, quality, bpe, simhash, decontaminate, licenses, linededup, winnow)
+_MODULES = (pii, quality, bpe, simhash, decontaminate, licenses, linededup, chat, secrets, winnow)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of, written
+from .common import hinted, row_key, small_batches, table, text_of, written
 from .components import components
 
 WORDS = 3
@@ -116,16 +116,36 @@ def _bit(i: int) -> int:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = 2, longest: int = 64) -> DataFrame:
-    """id_col, fp (long) and component_id (the smallest id reachable) of each row."""
+    """id_col, _key (tells rows of one id apart), fp (long) and component_id (the smallest id reachable) of each row."""
     small_batches(df.sparkSession)
-    prints = written(df.select(id_col, fingerprint_column(text_of(text_col), words).alias("fp")), "prints")
+    prints = written(df.select(id_col, row_key(id_col, text_col).alias("_key"), fingerprint_column(text_of(text_col), words).alias("fp")), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), bits, longest)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(groups.hint("merge"), "root").select("fp", "component_id"), "named")
-    return prints.join(named.hint("merge"), "fp").select(id_col, "fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select(id_col, "_key", "fp", "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000, **kinds) -> DataFrame:
+    """The rows of df whose id is the smallest of their group, each id once, with df's columns.
+
+    Of rows that share such an id the smallest by all columns stays; of a group of null ids alone, one.
+    """
+    found = written(near_duplicates(df, id_col, text_col, **kinds).select(F.col(id_col).alias("_id"), "_key", "fp", F.col("component_id").eqNullSafe(F.col(id_col)).alias("_first")), "found")
+    lost = written(found.filter(~F.col("_first")).select("_id", "_key").distinct(), "lost")
+    firsts = found.filter("_first")
+    again = written(firsts.groupBy(F.col("_id").alias("_rid"), F.when(F.col("_id").isNull(), F.col("fp")).alias("_rfp")).agg(F.count("*").alias("n"), F.collect_set("_key").alias("_keys")).filter("n > 1"), "again")
+    n, repeated = lost.count(), again.count()
+    kept = df.withColumn("_k", row_key(id_col, text_col)).join(hinted(lost, n, broadcast_rows), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
+    if repeated:
+        places = again.select("_rid", F.coalesce("_rfp", F.lit(0).cast("long")).alias("_g"), F.explode("_keys").alias("_rk"))
+        met = kept.join(hinted(places, repeated, broadcast_rows // 100), F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_k") == F.col("_rk")), "left")
+        rest = met.filter("_rk is null").select(*df.columns)
+        one = met.filter("_rk is not null").groupBy(F.col("_rid").alias("_r"), "_g").agg(F.min(F.struct(*df.columns)).alias("x")).select("x.*")
+        return rest.unionByName(one)
+    return kept.select(*df.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
