@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +34,19 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.array_join(words(text), " "), 256)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grams(tokens_: Column, width: int = 3) -> Column:
     """The set of runs of width words; fewer words give one gram, none give none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens_) - (width - 1)), lambda i: F.array_join(F.slice(tokens_, i, width), " "))
-    return F.when(F.size(tokens_) >= width, F.array_distinct(runs)).when(F.size(tokens_) > 0, F.array(F.array_join(tokens_, " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.array_join(F.slice(t, i, width), " "))
+        return F.when(F.size(t) >= width, F.array_distinct(runs)).when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens_, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -331,7 +331,10 @@ def q_json_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TYPES = "examples"
 _FOLD = r"trim(regexp_replace(lower(translate(coalesce(text, ''), '‘’“”–—' || chr(160), '''''" + '""' + r"-- ')), '\s+', ' ', 'g'))"
 _WORDS = rf"regexp_extract_all({_FOLD}, '([a-z0-9]+)', 1)"
-_GRAMS = "CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+_GRAMS = (
+    f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM w WHERE len(w) > 0), "
+    "r AS (SELECT doc_id, list_sort(list(DISTINCT array_to_string(w[p : p + 2], ' '))) AS g FROM p GROUP BY doc_id), g AS (SELECT w.doc_id, coalesce(r.g, []) AS g FROM w LEFT JOIN r USING (doc_id))"
+)
 _KEY = (
     "CASE WHEN (contains(r, '(') AND contains(r, ')') OR contains(r, '-')) THEN '-' ELSE '' END || regexp_replace(CASE WHEN contains(regexp_replace(r, '[^0-9.]', '', 'g'), '.') THEN regexp_replace(regexp_replace(r, '[^0-9.]', '', 'g'), '\\.?0*$', '') ELSE regexp_replace(r, '[^0-9.]', '', 'g') END, '^0+([0-9])', '\\1')"
 )
@@ -370,8 +373,8 @@ ORACLES = {
     "union_tiers": V.with_views("segments") + ", u AS (SELECT doc_id, 1 AS tier FROM segments WHERE doc_type = 'en' AND doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM segments WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 3 FROM segments WHERE length(text) > 500) SELECT doc_id, min(tier)::BIGINT AS tier, count(*) AS found_by FROM u GROUP BY doc_id",
     "fold_text": f"SELECT doc_id, sha256({_FOLD}) AS folded_sha256 FROM documents",
     "text_fingerprint": f"SELECT doc_id, sha256(array_to_string({_WORDS}, ' ')) AS fingerprint FROM documents",
-    "trigrams": f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, {_GRAMS} AS g FROM w) SELECT doc_id, len(g) AS n, sha256(array_to_string(list_sort(g), '|')) AS grams_sha256 FROM g",
-    "jaccard": f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, {_GRAMS} AS g FROM w), p AS (SELECT a.doc_id, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.doc_id = b.doc_id - 1) SELECT doc_id, CASE WHEN s = 0 THEN 1.0 ELSE round(i / (s - i), 9) END AS jaccard FROM p",
+    "trigrams": f"WITH {_GRAMS} SELECT doc_id, len(g) AS n, sha256(array_to_string(g, '|')) AS grams_sha256 FROM g",
+    "jaccard": f"WITH {_GRAMS}, q AS (SELECT a.doc_id, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.doc_id = b.doc_id - 1) SELECT doc_id, CASE WHEN s = 0 THEN 1.0 ELSE round(i / (s - i), 9) END AS jaccard FROM q",
     "stable_key": f"SELECT doc_id, 'ex_' || left(sha256(source || chr(31) || {_FOLD}), 16) AS key FROM documents",
     "number_keys": "SELECT doc_id, array_to_string(" + _keys("coalesce(text, '')") + ", ',') AS numbers FROM documents",
     "singularize": f"WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM documents) SELECT CASE WHEN ends_with(w, 'ies') AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN ends_with(w, 'sses') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') AND NOT ends_with(w, 'us') AND NOT ends_with(w, 'is') AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END AS term, count(*) AS words FROM w GROUP BY term",
