@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.operators import calculations, datasets, retrieval
+from factloom.operators import calculations, datasets, documents, joins, retrieval
 
-_MODULES: tuple = (retrieval, calculations, datasets)
+_MODULES: tuple = (retrieval, calculations, datasets, joins, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
