@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.operators import answers, calculations, datasets, documents, joins, retrieval
+from factloom.operators import answers, calculations, datasets, documents, joins, retrieval, tables
 from factloom.streaming import logs
 
-_MODULES: tuple = (retrieval, calculations, datasets, joins, documents, answers, logs)
+_MODULES: tuple = (retrieval, calculations, datasets, joins, documents, answers, tables, logs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
