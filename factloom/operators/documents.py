@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,12 +173,8 @@ def mojibake(text: Column) -> Column:
 
 def repair_mojibake(df: DataFrame, text_col: str = "text", out_col: str = "repaired") -> DataFrame:
     """Runs of characters that are UTF-8 read as Windows-1252 are read again; others stay."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def repaired(texts: pd.Series) -> pd.Series:
-        import re
-
         def again(m: re.Match) -> str:
             try:
                 return m.group().encode("cp1252").decode("utf-8")
