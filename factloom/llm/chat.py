@@ -47,16 +47,17 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     state = written(nodes.select("_t", "_n", F.col("_p").alias("_up"), F.col("_s").alias("score"), F.lit(1).cast("long").alias("depth")), "jumps")
     tables, reach = [], 1
     while True:
-        jump = state.filter("_up is not null").select("_t", "_n", "_up")
-        if jump.isEmpty():
+        active = state.filter("_up is not null")
+        if active.isEmpty():
             return tables, state.select("_t", "_n", "score", "depth")
-        tables.append(jump)
+        tables.append(active.select("_t", "_n", "_up"))
         if reach > total:
             return tables, state.filter("_up is null").select("_t", "_n", "score", "depth")
         reach *= 2
         above = state.select(F.col("_t").alias("_t2"), F.col("_n").alias("_n2"), F.col("_up").alias("_up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        met = state.join(above.hint("merge"), F.col("_t").eqNullSafe(F.col("_t2")) & (F.col("_up") == F.col("_n2")), "left")
-        state = written(met.select("_t", "_n", F.col("_up2").alias("_up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "jumps")
+        met = active.join(above.hint("merge"), F.col("_t").eqNullSafe(F.col("_t2")) & (F.col("_up") == F.col("_n2")), "left")
+        further = met.select("_t", "_n", F.col("_up2").alias("_up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        state = written(further.unionByName(state.filter("_up is null")), "jumps")  # messages that have reached their root join no more
 
 
 def best_paths(messages: DataFrame, tree: str, node: str, parent: str, score: str, top: int = 1) -> DataFrame:
