@@ -1,7 +1,9 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is one aggregation and one join; the links of a step are written to the shared folder, so
-lineage stays short and a lost executor costs one step. Nothing is collected but a count and a sum.
+lineage stays short and a lost executor costs one step. The minima are written too: both sides of the
+join are then dealt out for it alone, and Spark can split a node with very many links. Nothing is
+collected but a count and a sum.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ def _both(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest node that it knows."""
     near = _both(links)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = written(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return near.filter("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours, and itself, to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b")
     own = least.select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(own).filter("a <> b").distinct()
