@@ -331,6 +331,7 @@ ORACLES = {
     "citation_expand": rf"WITH {_ANSWERS}, u AS (SELECT answer_id, sources, regexp_extract_all({_NORM}, '\[(S[1-9]\d*)\]', 1) AS ids FROM answers), e AS (SELECT answer_id, sources, unnest(ids) AS id, unnest(range(0, len(ids))) AS pos FROM u), f AS (SELECT answer_id, id, min(pos) AS pos FROM e WHERE list_contains(sources, id) GROUP BY answer_id, id) SELECT answer_id, string_agg('Filing ' || id || ' ' || answer_id, '; ' ORDER BY pos) AS labels FROM f GROUP BY answer_id",
     "bullet_citation_check": r"WITH l AS (SELECT doc_id, ls, unnest(ls) AS x, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)), b AS (SELECT doc_id, '- ' || x || CASE WHEN i % 4 = 0 THEN ' [S1]' ELSE '' END AS line FROM l) SELECT doc_id AS answer_id, count(*) FILTER (WHERE regexp_matches(line, '^\s*[-*•]\s+') AND (length(line) >= 70 OR regexp_matches(line, '\d')) AND NOT regexp_matches(line, '\[S\d+\]')) AS uncited FROM b GROUP BY doc_id",
     "forward_cause_check": rf"WITH a AS (SELECT doc_id AS answer_id, CASE doc_id % 3 WHEN 0 THEN 'Revenue grew because we expect demand. ' || coalesce(text, '') WHEN 1 THEN 'Costs rose due to prices. ' || coalesce(text, '') ELSE coalesce(text, '') END AS answer FROM documents), s AS (SELECT answer_id, lower(unnest(regexp_extract_all(answer, '([^.!?]+[.!?]?)', 1))) AS s FROM a) SELECT answer_id, count(*) FILTER (WHERE regexp_matches(s, '{CHANGE}') AND regexp_matches(s, '{CAUSE}') AND regexp_matches(s, '{FUTURE}')) AS sentences FROM s GROUP BY answer_id",
+    "canonical_metric": V.with_views("facts") + " SELECT metric, count(*) AS rows, CASE WHEN metric IN ('total_revenue', 'net_income', 'operating_income', 'total_assets', 'operating_cash_flow', 'capital_expenditures', 'diluted_eps') THEN metric END AS canonical FROM facts GROUP BY metric",
     "fact_dedupe": "SELECT DISTINCT 'F' || left(sha256(concat_ws('|', o_custkey % 200, o_orderpriority, year(o_orderdate))), 16) AS fact_id FROM orders",
     "fact_select": "WITH c AS (SELECT o_custkey AS ref_id, o_orderkey AS fact_id, left(o_orderpriority, 1)::INT AS tier, o_orderkey % 3 AS value, o_orderkey % 2 AS places FROM orders), b AS (SELECT * FROM c QUALIFY tier = min(tier) OVER (PARTITION BY ref_id)), p AS (SELECT *, places = max(places) OVER (PARTITION BY ref_id) AS sharp FROM b), g AS (SELECT ref_id, count(DISTINCT value) AS v, min(fact_id) AS a, count(DISTINCT value) FILTER (WHERE sharp) AS s, min(fact_id) FILTER (WHERE sharp) AS si FROM p GROUP BY ref_id) SELECT ref_id, CASE WHEN v = 1 THEN a WHEN s = 1 THEN si END AS chosen, CASE WHEN v > 1 AND s > 1 THEN 'ambiguous' END AS reason FROM g",
     "fact_completeness": "WITH o AS (SELECT o_custkey, year(o_orderdate)::INT AS year, o_orderpriority, o_orderstatus = 'F' AS exact_ FROM orders), b AS (SELECT * FROM o QUALIFY exact_ = bool_or(exact_) OVER (PARTITION BY o_custkey, year)) SELECT o_custkey, year FROM b GROUP BY o_custkey, year HAVING count(DISTINCT o_orderpriority) = 1",
