@@ -47,7 +47,7 @@ def fact_rejects(facts: DataFrame, sources: DataFrame) -> DataFrame:
     loose = (F.size("_et") >= 3) & F.forall(numbers, here) & F.when(F.size(words) == 0, F.size(numbers) > 0).otherwise(F.size(F.filter(words, here)) / F.size(words) >= 0.7)
     years = F.regexp_extract_all("period", F.lit(r"((?:19|20)\d{2})"), 1)
     reason = (
-        F.when(F.col("_n") > 1, "duplicate_source_id").when(F.col("_n").isNull(), "unknown_source_id").when(~F.col("in_scope"), "source_outside_permitted_scope").when(F.col("_ticker") != F.col("ticker"), "ticker_source_mismatch")
+        F.when(F.col("_n") > 1, "duplicate_source_id").when(F.col("_n").isNull(), "unknown_source_id").when(~F.coalesce("in_scope", F.lit(False)), "source_outside_permitted_scope").when(~F.col("_ticker").eqNullSafe(F.col("ticker")), "ticker_source_mismatch")
         .when(~F.contains("_f", folded(F.col("raw_value"))) & ~F.contains(compact(F.col("_t")), compact(shown(F.col("raw_value")))), "raw_value_not_in_source").when(~F.contains("_f", folded(F.col("label"))), "metric_or_row_not_in_source")
         .when(~F.forall(years, lambda y: F.contains("_f", y)), "period_not_in_source").when((F.col("_e") == "") | ~(F.contains("_f", F.col("_e")) | loose), "evidence_excerpt_not_in_source")
     )
@@ -85,8 +85,8 @@ def reported_amount_check(answers: DataFrame, rows: DataFrame) -> DataFrame:
     """
     places = lambda m: F.length(F.regexp_extract(m, r"\d\.(\d+)", 1))
     slack = lambda m: F.when(F.contains(F.lower(m), F.lit("billion")), (F.lit(500.0) / F.pow(F.lit(10.0), places(m))).cast("decimal(24,6)")).otherwise(F.lit(0).cast("decimal(24,6)"))
-    claims = F.transform(F.regexp_extract_all("answer", F.lit(MONEY), 1), lambda m: F.struct(_amount(m).alias("v"), slack(m).alias("s")))
-    told = answers.select("answer_id", claims.alias("_c"), "cited")
+    claims = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(MONEY), 1), lambda m: F.struct(_amount(m).alias("v"), slack(m).alias("s")))
+    told = answers.select("answer_id", claims.alias("_c"), F.coalesce("cited", F.array().cast("array<string>")).alias("cited"))
     met = rows.withColumn("_v", _amount(F.concat_ws(" ", "value", "scale"))).join(told, "answer_id")
     fault = F.when(~F.exists("_c", lambda c: F.abs(c["v"] - F.col("_v")) <= c["s"]), F.concat(F.lit("reported_value_missing_or_wrong:"), "label")).when(~F.array_contains("cited", F.col("source_id")), F.concat(F.lit("reported_value_source_not_cited:"), "label"))
     first = met.groupBy("answer_id").agg(F.min(F.when(fault.isNotNull(), F.struct("ord", fault.alias("why")))).alias("f"), F.collect_set("_v").alias("_vs"))
@@ -132,6 +132,7 @@ def quote_repair(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def candidate_errors(candidates: DataFrame) -> DataFrame:
     """candidate_id, errors, joined. candidates: candidate_id, ticker, fiscal_year, doc_type (10K or TRANSCRIPT), question, claim, quote, evidence."""
+    candidates = candidates.withColumn("question", F.coalesce("question", F.lit("")))
     q = F.lower("question")
     missing = F.array_except(T.number_keys(F.col("claim")), T.number_keys(F.col("quote")))
     errors = F.array_compact(F.array(
@@ -198,7 +199,7 @@ def gold_schema_check(records: DataFrame) -> DataFrame:
     n = records.groupBy("id").agg(F.count("*").alias("_n"))
     empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     errors = F.array_compact(F.array(
-        F.when(F.col("_n") > 1, "duplicate id"), *[F.when(empty(c), f"missing {c}") for c in ("category", "question", "reference")], *[F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, f"scope.{c} is empty") for c in ("tickers", "years", "doc_types")],
+        F.when(F.col("id").isNull(), "missing id"), F.when(F.col("_n") > 1, "duplicate id"), *[F.when(empty(c), f"missing {c}") for c in ("category", "question", "reference")], *[F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, f"scope.{c} is empty") for c in ("tickers", "years", "doc_types")],
         F.when(F.exists("doc_types", lambda t: ~t.isin("10K", "TRANSCRIPT")), "invalid document types"),
     ))
     return records.join(n, "id", "left").select("id", F.array_join(errors, ",").alias("errors"))
