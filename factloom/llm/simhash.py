@@ -128,12 +128,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named.hint("merge"), "fp").select(id_col, "_key", "fp", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000, **kinds) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000, groups=near_duplicates, **kinds) -> DataFrame:
     """The rows of df whose id is the smallest of their group, each id once, with df's columns.
 
-    Of rows that share such an id the smallest by all columns stays; of a group of null ids alone, one.
+    groups: gives the groups, with the columns of near_duplicates(). Of rows that share such an id the smallest by all columns stays; of a group of null ids alone, one.
     """
-    found = written(near_duplicates(df, id_col, text_col, **kinds).select(F.col(id_col).alias("_id"), "_key", "fp", F.col("component_id").eqNullSafe(F.col(id_col)).alias("_first")), "found")
+    found = written(groups(df, id_col, text_col, **kinds).select(F.col(id_col).alias("_id"), "_key", "fp", F.col("component_id").eqNullSafe(F.col(id_col)).alias("_first")), "found")
     lost = written(found.filter(~F.col("_first")).select("_id", "_key").distinct(), "lost")
     firsts = found.filter("_first")
     again = written(firsts.groupBy(F.col("_id").alias("_rid"), F.when(F.col("_id").isNull(), F.col("fp")).alias("_rfp")).agg(F.count("*").alias("n"), F.collect_set("_key").alias("_keys")).filter("n > 1"), "again")
