@@ -6,7 +6,13 @@ are looked up in a hash table, and finished rows are compacted away.
 
 Defined cases: a null or empty text has no ids; repeated rows give repeated results; other columns
 pass through (an existing output column of the same name is replaced); an empty table gives an empty
-table; very long pieces are merged with a heap, which gives the same ids in O(n log n).
+table. Pieces of more than LONGEST bytes (one run of letters or of spaces without an end) leave the
+matrices for a heap with the same ids: a row of n bytes takes up to n rounds of n cells, so that one
+piece of 32 KB costs a matrix 4 seconds and the heap 0.2, and one of a megabyte an hour and 12 seconds
+(figures in the README).
+
+What a worker keeps between batches are the ids of words and pieces, bounded by the bytes of both
+(CACHE); texts are never kept.
 """
 
 from __future__ import annotations
@@ -26,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, text_of
 
 NONE = np.int32(2**31 - 1)
-#: Cells of one matrix, pieces kept between batches, characters cut at a time, and the longest row of a matrix.
-CELLS, KEPT, CUT, LONGEST = 1 << 16, 150_000, 500_000, 2048
+#: Cells of one matrix, bytes kept between batches, the longest word that is kept, characters cut at a time, and the longest row of a matrix.
+CELLS, CACHE, KEPT_WORD, CUT, LONGEST = 1 << 16, 48 << 20, 256, 500_000, 2048
+#: What an entry of a dict costs besides its characters and ids.
+ENTRY = 200
 #: A word of letters alone is one piece, and these marks after it are the next piece.
 ENDS = tuple(".,;:!?")
 
@@ -197,11 +205,11 @@ class Vocabulary:
 
 
 class Cutter:
-    """Cuts texts into chunks whose ids don't depend on their neighbours, and keeps the ids of chunks.
+    """Cuts texts into chunks whose ids don't depend on their neighbours, and keeps the ids of short chunks.
 
     Where no two white space characters meet, the pattern never matches across a line end or across
     the start of a word's space, so lines and words are the chunks, with keys for "after a space".
-    Other texts are one chunk. Each new chunk is cut by the pattern itself.
+    Other texts are cut by the pattern as a whole, and their pieces are the chunks.
     """
 
     def __init__(self, vocab: Vocabulary, pattern: str):
@@ -211,34 +219,47 @@ class Cutter:
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-
-    def learn(self, plain: set[str], spaced: set[str]) -> None:
-        if len(self.plain) + len(self.spaced) > KEPT:
-            self.plain.clear()
-            self.spaced.clear()
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
+        self.kept = 0
+
+    def _forget(self) -> None:
+        """Drop what isn't worth keeping: long chunks at once, all when there is too much."""
+        for known in (self.plain, self.spaced, self.pieces):
+            for x in self.fresh:
+                if len(x) > KEPT_WORD:
+                    known.pop(x, None)
+        self.kept += sum(ENTRY + 6 * len(x) for x in self.fresh if len(x) <= KEPT_WORD)
+        if self.kept > CACHE:
+            self.plain, self.spaced, self.pieces, self.kept = {}, {}, {}, 0
+
+    def learn(self, plain: set[str], spaced: set[str], pieces: set[str]) -> None:
+        self.fresh: list[str] = []
         for known, new, lead in ((self.plain, plain.difference(self.plain), ""), (self.spaced, spaced.difference(self.spaced), " ")):
             cut = {x: (lead + x,) if x.isalpha() else (lead + x[:-1], x[-1]) if x[-1:] in ENDS and x[:-1].isalpha() else self.cut(lead + x) for x in new}
-            self.pieces.update(self.vocab.encode_pieces(list(set(chain.from_iterable(cut.values())).difference(self.pieces))))
+            self._encode(set(chain.from_iterable(cut.values())))
             get = self.pieces.__getitem__
             known.update((x, b"".join(map(get, y))) for x, y in cut.items())
+            self.fresh += new
+        self._encode(pieces)
+
+    def _encode(self, pieces: set[str]) -> None:
+        new = pieces.difference(self.pieces)
+        self.pieces.update(self.vocab.encode_pieces(list(new)))
+        self.fresh += new
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lined = [[x.split(" ") for x in t.split("\n")] if not self.pairs(t) and "\r" not in t and t[:1] != " " and t[-1:] != " " else None for t in texts]
+        whole = {i: self.cut(t) for i, (t, lines) in enumerate(zip(texts, lined, strict=True)) if lines is None}
         plain, spaced = {"", "\n"}, set()
-        for text, lines in zip(texts, lined, strict=True):
-            if lines is None:
-                plain.add(text)
-            else:
-                for words in lines:
-                    plain.add(words[0])
-                    spaced.update(words[1:])
-        self.learn(plain, spaced)
-        out, get, end = [], self.spaced.__getitem__, self.plain["\n"]
-        for text, lines in zip(texts, lined, strict=True):
-            raw = self.plain[text] if lines is None else end.join([self.plain[w[0]] + b"".join(map(get, w[1:])) for w in lines])
+        for lines in lined:
+            for words in lines or ():
+                plain.add(words[0])
+                spaced.update(words[1:])
+        self.learn(plain, spaced, set(chain.from_iterable(whole.values())))
+        out, get, piece, end = [], self.spaced.__getitem__, self.pieces.__getitem__, self.plain["\n"]
+        for i, lines in enumerate(lined):
+            raw = b"".join(map(piece, whole[i])) if lines is None else end.join([self.plain[w[0]] + b"".join(map(get, w[1:])) for w in lines])
             out.append(np.frombuffer(raw, np.int32))
+        self._forget()
         return out
 
 

@@ -12,7 +12,7 @@ back exactly. The loss mask is the list of spans (code points, end exclusive) of
 Defined cases: null texts and roles count as empty; turns are ordered by turn, then role, then text,
 so ties and repeated rows are turns of their own; a parent that isn't there makes a root; a message
 given twice under one id counts once, the smaller of the two; messages in a cycle are no path, and a
-path that runs into a cycle raises ValueError; branches of equal score are ranked by length, longest
+branch that runs into a cycle is left out while the tree's others stay; branches of equal score are ranked by length, longest
 first, then by leaf; a null tree id is a tree; other columns aren't read; an empty table gives an
 empty table.
 """
@@ -71,9 +71,7 @@ def best_paths(messages: DataFrame, tree: str, node: str, parent: str, score: st
     leaves = nodes.select("_t", "_n").join(parents.hint("merge"), F.col("_t").eqNullSafe(F.col("_t2")) & (F.col("_n") == F.col("_n2")), "left_anti")
     ends = totals.withColumnsRenamed({"_t": "_t2", "_n": "_n2"})
     ranked = leaves.join(ends.hint("merge"), F.col("_t").eqNullSafe(F.col("_t2")) & (F.col("_n") == F.col("_n2")), "left").select("_t", F.col("_n").alias("_leaf"), "score", "depth")
-    ranked = written(ranked, "leaves")
-    if not ranked.filter("depth is null").isEmpty():
-        raise ValueError("a path of replies runs into a cycle")
+    ranked = written(ranked, "leaves").filter("depth is not null")  # null: the way up runs into a cycle
     chosen = ranked.withColumn("_rank", F.row_number().over(W.partitionBy("_t").orderBy(F.desc("score"), F.desc("depth"), "_leaf"))).filter(F.col("_rank") <= top)
     paths = written(chosen.select("_t", "_leaf", "_rank", F.col("_leaf").alias("_n"), F.lit(0).alias("_up_by")), "paths")
     for i, jump in enumerate(tables):

@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Bytes of texts that Python gets in one batch, and rows of a batch.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     app = spark.sparkContext.applicationId
     if app not in _own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own[app] = "file://" + tempfile.mkdtemp(prefix="factloom-")
     return _own[app]
 
@@ -51,13 +55,32 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), text_of(text_col))
 
 
+def quoted(name: str, of: str = "") -> str:
+    """A column's name, or that of a field of a struct, as col() takes it, whatever characters it has."""
+    return of + "." * bool(of) + "`" + name.replace("`", "``") + "`"
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _key, _text and _row, the whole row: df's own columns are inside _row, so that none can clash with a helper."""
+    return df.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), text_of(text_col).alias("_text"), F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("_row"))
+
+
+def at_key(x: str = "_id", y: str = "_key", a: str = "_pid", b: str = "_pkey"):
+    """The same row: ids may be null."""
+    return F.col(x).eqNullSafe(F.col(a)) & (F.col(y) == F.col(b))
+
+
 def hinted(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast a side only where its counted rows are within a fixed limit; else a sort-merge join."""
     return df.hint("broadcast") if rows <= limit else df.hint("merge")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python, so fewer of them at a time than Spark's default; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Whole texts go to Python, so in batches bounded by bytes as well as by rows; smaller settings stay.
+
+    These are settings of the session, since a query reads them only when it runs.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)

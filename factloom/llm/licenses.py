@@ -1,28 +1,40 @@
-r"""Licence scan: Dice coefficient of word bigrams between units of a text and licence templates.
-
-Units are lines, paragraphs (of more than one line) and whole texts (of more than one paragraph).
-Units and templates become lower-case words of letters, marks and digits; copyright lines go from the
-templates. Dice over bigrams, repeats counted, is ``2 * shared / (n_unit + n_template)``; a unit of n
-bigrams can only reach the threshold t with templates of ``n * t / (2 - t)`` to ``n * (2 - t) / t``
-bigrams, so units and templates outside those bounds are pruned before any bigram is made. The
-templates are a fixed list of a bounded size and are broadcast; their bigrams meet those of the units
-in one map-side join, so that only shared bigrams are shuffled.
-
-Defined cases: null and empty texts and units of one word have no bigrams and match nothing; equal
-coefficients choose the licence first by name; repeated rows give their units once; a null doc_id is
-kept; only the named columns are read, so others can't clash; an empty table gives an empty table.
+r"""Licence scan: Dice coefficient of word bigrams between windows of a text and licence templates.
+
+Texts and templates become lower-case words of letters, marks and digits; copyright lines go from the
+templates. Templates are notices, short licences and, from the folder ``license_texts``, full ones. Dice
+over bigrams, repeats counted, is ``2 * shared / (n_window + n_template)``; a window of n bigrams can only
+reach the threshold t with templates of ``n * t / (2 - t)`` to ``n * (2 - t) / t`` bigrams. So a template of
+n bigrams is compared with windows of three lengths within those bounds (about 4/5 n, n and 5/4 n), that
+begin at every eighth of n and at the text's end; a shorter text within the bounds is one window. Where a
+licence stands, in a line, over broken lines, in paragraphs or inside a longer text, one of them holds it.
+
+Candidates come first: a window that reaches t shares ``n * t / (2 - t)`` bigrams at least, so it has some of
+any choice of more than the others. Of each template the bigrams without common words are chosen, they
+meet those of the texts in one map-side join, and are tallied by template and stretch of the text. Only
+stretches with enough of them have their windows made and compared. The templates are a fixed list of a
+bounded size (about 25,000 bigrams) and are broadcast.
+
+Windows of one licence that overlap are one find: the one that shares most bigrams, then the best
+coefficient, the first, the shortest. Finds that cover each other by half or more are one as well, by the
+same order and then by name. So a notice inside its licence is part of the licence.
+
+Defined cases: null and empty texts and texts of one word have no bigrams and match nothing; repeated rows
+give their finds once; a null doc_id is kept; only the named columns are read, so others can't clash; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import row_key, table, text_of
+from .common import at_key, hinted, row_key, table, text_of, written
 
 THRESHOLD = 0.8
 _AS_IS = (
@@ -36,7 +48,7 @@ _BSD_TAIL = (
 )
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
 _BSD_TWO = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
-#: Licence, template text. Notices first, then short licences in full.
+#: Licence, template text. Notices and short licences in full.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -61,52 +73,109 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Full texts by file name; the names of the licences they are.
+FULL = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+#: Bigrams with one of these are chosen last.
+COMMON = frozenset("the of a to and or in for this that any by is be as with not you your it on are an may shall from which such".split())
+#: Rows of candidates up to which they are broadcast; counted before the join.
+CANDIDATE_ROWS = 100_000
+TEXT_WORDS = r"[^\p{L}\p{M}\p{N}]+"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    folder = Path(__file__).parent / "license_texts"
+    return [(name, (folder / f"{file}.txt").read_text(encoding="utf-8")) for file, name in FULL.items()]
+
 
 def words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+    kept = "\n".join(x for x in text.split("\n") if not re.match(r"\s*copyright\b.*\d{4}", x, re.I))
+    return re.findall(r"[^\W_]+", kept.lower())
+
 
+def shape(n: int, threshold: float) -> tuple[int, int, int, int, list[int]]:
+    """low, high, step, block, lengths of the windows for a template of n bigrams. A block is as long as the longest unit within the bounds."""
+    low, high = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+    return max(1, low), high, max(1, n // 8), high + 1, sorted({max(1, low, n - n // 5), n, min(high, n + n // 4)})
 
-def template_rows(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[int, str, int, str, str, int]]:
-    """template, license, n_template, a, b, n: each bigram of each template and how often it has it."""
-    out = []
+
+def template_rows(templates: list[tuple[str, str]], threshold: float) -> tuple[list[tuple], list[tuple]]:
+    """(template, license, n, low, step, block, lengths, need of each template; template, a, b, n, seed of each of its bigrams)."""
+    heads, bigrams = [], []
     for i, (name, text) in enumerate(templates):
         w = words(text)
-        pairs = Counter(zip(w, w[1:], strict=False))
-        out += [(i, name, len(w) - 1, a, b, n) for (a, b), n in sorted(pairs.items())]
-    return out
-
-
-def bounds(n: int, threshold: float) -> tuple[float, float]:
-    return n * threshold / (2 - threshold), n * (2 - threshold) / threshold
-
-
-def _units(text: Column) -> Column:
-    flat = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\n]+", " ")
-    lines = F.transform(F.split(flat, "\n"), lambda x: F.struct(F.lit("line").alias("kind"), x.alias("t")))
-    parts = F.filter(F.split(flat, r"\n[ \n]*\n"), lambda x: F.contains(F.trim(x), F.lit("\n")))
-    whole = F.when(F.rlike(F.trim(flat), F.lit(r"\n[ \n]*\n")), F.array(F.struct(F.lit("text").alias("kind"), flat.alias("t")))).otherwise(F.array().cast("array<struct<kind:string,t:string>>"))
-    return F.concat(lines, F.transform(parts, lambda x: F.struct(F.lit("paragraph").alias("kind"), x.alias("t"))), whole)
-
-
-def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """id_col, unit (its place among the text's units), kind, license, dice of the best licence of each matching unit."""
-    spark, rows = docs.sparkSession, template_rows(templates)
-    known = spark.createDataFrame(rows, "template int, license string, n_template int, a string, b string, n int")
-    low, high = min(bounds(r[2], threshold)[0] for r in rows), max(bounds(r[2], threshold)[1] for r in rows)
-    units = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), F.posexplode(_units(text_of(text_col))).alias("unit", "u"))
-    cut = units.select("_id", "_key", "unit", F.col("u.kind").alias("kind"), F.filter(F.split("u.t", r"[ \n]+"), lambda x: x != "").alias("_w"))
-    cut = cut.withColumn("n_unit", F.size("_w") - 1).filter(F.col("n_unit").between(max(low, 1), high))
-    placed = cut.select("_id", "_key", "unit", "kind", "n_unit", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 2)).alias("_i"))
-    pairs = placed.select("_id", "_key", "unit", "kind", "n_unit", "_i", F.get("_w", "_i").alias("a"), F.get("_w", F.col("_i") + 1).alias("b"))
-    fits = F.col("n_unit").between(F.col("n_template") * threshold / (2 - threshold), F.col("n_template") * (2 - threshold) / threshold)
-    met = pairs.join(known.hint("broadcast"), ["a", "b"]).filter(fits)
-    key = ["_id", "_key", "unit", "kind", "n_unit", "template", "license", "n_template"]
-    # a repeated row gives the same places again: they count once
-    each = met.select(*key, "a", "b", "n", "_i").distinct().groupBy(*key, "a", "b").agg(F.count("*").alias("m"), F.min("n").alias("n"))
+        counts = Counter(zip(w, w[1:], strict=False))
+        n = len(w) - 1
+        low, _, step, block, lengths = shape(n, threshold)
+        misses, chosen, have = n - low, set(), 0
+        for pair, m in sorted(counts.items(), key=lambda x: (x[0][0] in COMMON or x[0][1] in COMMON, -len(x[0][0]) - len(x[0][1]), x[0])):
+            if have < misses + -(-n // 6):
+                chosen.add(pair)
+                have += m
+        heads.append((i, name, n, low, step, block, lengths, have - misses))
+        bigrams += [(i, a, b, m, (a, b) in chosen) for (a, b), m in sorted(counts.items())]
+    return heads, bigrams
+
+
+def _cut(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), TEXT_WORDS), lambda x: x != "")
+
+
+def _pairs(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, _i, a, b: the bigrams of the words _w."""
+    placed = rows.filter(F.size("_w") > 1).select(*keep, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 2)).alias("_i"))
+    return placed.select(*keep, "_i", F.get("_w", "_i").alias("a"), F.get("_w", F.col("_i") + 1).alias("b"))
+
+
+def candidates(cut: DataFrame, heads: DataFrame, seeds: DataFrame) -> DataFrame:
+    """_pid, _pkey, template, block_no: the stretches of two blocks with enough chosen bigrams. cut: _id, _key, _w."""
+    blocks = F.floor(F.col("_i") / F.col("block")).cast("int")
+    met = _pairs(cut, "_id", "_key").join(seeds.hint("broadcast"), ["a", "b"]).select("_id", "_key", "template", "need", F.explode(F.array(blocks, blocks - 1)).alias("block_no"))
+    tallied = met.groupBy("_id", "_key", "template", "block_no").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    return tallied.filter("n >= need").select(F.col("_id").alias("_pid"), F.col("_key").alias("_pkey"), "template", F.greatest("block_no", F.lit(0)).alias("block_no")).distinct()
+
+
+def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """id_col, start, end (words, end exclusive), license, dice of each find."""
+    spark = docs.sparkSession
+    heads, bigrams = template_rows(TEMPLATES + full_texts() if templates is None else templates, threshold)
+    head = spark.createDataFrame(heads, "template int, license string, n_template int, low int, step int, block int, lengths array<int>, need int")
+    known = written(spark.createDataFrame(bigrams, "template int, a string, b string, n int, seed boolean").coalesce(1), "templates")
+    base = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), text_of(text_col).alias("_text"))
+    seeds = known.filter("seed").select("template", "a", "b").join(head.select("template", "block", "need").hint("broadcast"), "template")
+    found = written(candidates(base.select("_id", "_key", _cut(F.col("_text")).alias("_w")), head, seeds), "candidates")
+    places = written(found.select("_pid", "_pkey").distinct(), "places")
+    texts = base.join(hinted(places, places.count(), CANDIDATE_ROWS), at_key(), "left_semi").groupBy("_id", "_key").agg(F.first("_text").alias("_text"))
+    texts = written(texts.select("_id", "_key", _cut(F.col("_text")).alias("_w")), "texts")  # repeated rows once
+    some = texts.join(hinted(found, found.count(), CANDIDATE_ROWS), at_key()).join(head.drop("need").hint("broadcast"), "template")
+    # from here on rows hold the words of their two blocks, not those of the text
+    region = F.slice("_w", F.col("block_no") * F.col("block") + 1, 2 * F.col("block") + 1)
+    some = some.select("_id", "_key", *[c for c in head.columns if c != "need"], "block_no", F.size("_w").alias("_words"), region.alias("_w")).withColumn("_l", F.explode("lengths"))
+    some = some.withColumn("n_window", F.least("_l", F.col("_words") - 1)).filter("n_window >= low").withColumn("_last", F.col("_words") - 1 - F.col("n_window"))
+    first = (F.ceil(F.col("block_no") * F.col("block") / F.col("step")) * F.col("step")).cast("int")
+    stop = F.least((F.col("block_no") + 1) * F.col("block") - 1, F.col("_last"))
+    grid = F.when(first <= stop, F.sequence(first, F.greatest(first, stop), F.col("step"))).otherwise(F.array().cast("array<int>"))
+    tail = F.when(F.floor(F.col("_last") / F.col("block")) == F.col("block_no"), F.array("_last")).otherwise(F.array().cast("array<int>"))
+    windows = some.select("_id", "_key", "template", "license", "n_template", "n_window", "_w", (F.col("block_no") * F.col("block")).alias("_from"), F.explode(F.array_distinct(F.concat(grid, tail))).alias("start"))
+    key = ["_id", "_key", "template", "license", "n_template", "n_window", "start"]
+    # a capped length may be one of the others: the place in the window tells repeats apart
+    pairs = _pairs(windows.select(*key, F.slice("_w", F.col("start") - F.col("_from") + 1, F.col("n_window") + 1).alias("_w")), *key)
+    met = pairs.join(known.select("template", "a", "b", "n").hint("broadcast"), ["template", "a", "b"])
+    each = met.groupBy(*key, "a", "b").agg(F.count_distinct("_i").alias("m"), F.min("n").alias("n"))
     shared = each.groupBy(*key).agg(F.sum(F.least("m", F.col("n"))).alias("shared"))
-    scored = shared.withColumn("dice", 2 * F.col("shared") / (F.col("n_unit") + F.col("n_template"))).filter(F.col("dice") >= threshold)
-    best = W.partitionBy("_id", "_key", "unit").orderBy(F.desc("dice"), "license", "template")
-    return scored.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(F.col("_id").alias(id_col), "unit", "kind", "license", "dice")
+    scored = shared.withColumn("dice", 2 * F.col("shared") / (F.col("n_window") + F.col("n_template"))).filter(F.col("dice") >= threshold)
+    scored = scored.select("_id", "_key", "license", "start", (F.col("start") + F.col("n_window") + 1).alias("end"), "shared", "dice")
+    peaks = _best(scored, ["_id", "_key", "license"], F.lit(0.0))
+    return _best(peaks, ["_id", "_key"], F.lit(0.5)).select(F.col("_id").alias(id_col), "start", "end", "license", "dice")
+
+
+def _best(finds: DataFrame, group: list[str], share: Column) -> DataFrame:
+    """The best find of each run of finds; one that overlaps those before it by no more than a share of its length begins a run."""
+    line = W.partitionBy(*group).orderBy("start", "end", "license")
+    before = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(before.isNull() | (F.col("start") >= before - share * (F.col("end") - F.col("start"))), 1).otherwise(0)
+    runs = finds.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    best = W.partitionBy(*group, "_run").orderBy(F.desc("shared"), F.desc("dice"), "license", "start", "end")
+    return runs.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_new", "_run", "_r")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,25 +183,28 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """All windows with a shared bigram, without candidates."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({t}, {quoted(name)}, {nt}, {quoted(a)}, {quoted(b)}, {n})" for t, name, nt, a, b, n in template_rows())
-    low = f"n_template * {THRESHOLD} / (2 - {THRESHOLD})"
-    high = f"n_template * (2 - {THRESHOLD}) / {THRESHOLD}"
+    heads, _ = template_rows(TEMPLATES + full_texts(), THRESHOLD)
+    texts = [" ".join(words(t)) for _, t in TEMPLATES + full_texts()]
+    values = ", ".join(f"({i}, {quoted(name)}, {n}, {low}, {step}, {lengths}, {quoted(texts[i])})" for i, name, n, low, step, _, lengths, _ in heads)
+    runs = lambda source, group, share: (
+        f"SELECT * EXCLUDE (new_, run_) FROM (SELECT *, sum(new_) OVER (PARTITION BY {group} ORDER BY start, \"end\", license ROWS UNBOUNDED PRECEDING) AS run_ FROM (SELECT *, CASE WHEN b IS NULL OR start >= b - {share} * (\"end\" - start) THEN 1 ELSE 0 END AS new_ FROM "
+        f"(SELECT * EXCLUDE b, max(\"end\") OVER (PARTITION BY {group} ORDER BY start, \"end\", license ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {source}))) QUALIFY row_number() OVER (PARTITION BY {group}, run_ ORDER BY shared DESC, dice DESC, license, start, \"end\") = 1"
+    )
     return rf"""
-WITH t(template, license, n_template, a, b, n) AS (VALUES {values}),
-f AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}\n]+', ' ', 'g') AS flat FROM documents),
-u AS (SELECT doc_id, list_concat(
-        list_transform(string_split(flat, chr(10)), lambda x: {{'kind': 'line', 't': x}}),
-        list_transform(list_filter(regexp_split_to_array(flat, '\n[ \n]*\n'), lambda x: contains(trim(x, ' '), chr(10))), lambda x: {{'kind': 'paragraph', 't': x}}),
-        CASE WHEN regexp_matches(trim(flat, ' '), '\n[ \n]*\n') THEN [{{'kind': 'text', 't': flat}}] ELSE [] END) AS us FROM f),
-e AS (SELECT doc_id, unnest(us) AS x, unnest(range(0, len(us))) AS unit FROM u),
-w AS (SELECT doc_id, unit, x.kind AS kind, list_filter(regexp_split_to_array(x.t, '[ \n]+'), lambda y: y <> '') AS w FROM e),
-p AS (SELECT doc_id, unit, kind, w, len(w) - 1 AS n_unit, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1),
-g AS (SELECT doc_id, unit, kind, n_unit, w[i] AS a, w[i + 1] AS b, count(*) AS m FROM p GROUP BY ALL),
-s AS (SELECT doc_id, unit, kind, template, license, 2 * sum(least(m, n)) / (n_unit + n_template) AS dice
-      FROM g JOIN t USING (a, b) WHERE n_unit BETWEEN {low} AND {high} GROUP BY doc_id, unit, kind, n_unit, template, license, n_template)
-SELECT doc_id, unit::INT AS unit, kind, license, dice::DOUBLE AS dice FROM s WHERE dice >= {THRESHOLD}
-QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license, template) = 1"""
+WITH t(template, license, n_template, low, step, lengths, body) AS (VALUES {values}),
+tw AS (SELECT template, string_split(body, ' ') AS w FROM t),
+tb AS (SELECT template, a, b, count(*) AS n FROM (SELECT template, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM tw) GROUP BY ALL),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS words, unnest(range(0, len(w) - 1)) AS i, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM d WHERE len(w) > 1),
+m AS (SELECT doc_id, words, i, a, b, template, n FROM p JOIN tb USING (a, b)),
+l AS (SELECT DISTINCT doc_id, words, i, a, b, m.template, n, license, n_template, step, least(len_, words - 1) AS n_window FROM m JOIN (SELECT template, license, n_template, low, step, unnest(lengths) AS len_ FROM t) x ON x.template = m.template AND words - 1 >= low),
+s AS (SELECT *, unnest(list_distinct(list_concat(list_transform(range(greatest(0, i - n_window + 1 + step - 1) // step, least(i, words - 1 - n_window) // step + 1), lambda k: k * step), CASE WHEN i >= words - 1 - n_window THEN [words - 1 - n_window] ELSE [] END))) AS start FROM l),
+e AS (SELECT doc_id, template, license, n_template, n_window, start, a, b, least(count(*), any_value(n)) AS both_ FROM s GROUP BY ALL),
+g AS (SELECT doc_id, license, start, start + n_window + 1 AS "end", sum(both_) AS shared, 2 * sum(both_) / (n_window + n_template) AS dice, NULL::BIGINT AS b FROM e GROUP BY doc_id, template, license, n_template, n_window, start HAVING 2 * sum(both_) / (n_window + n_template) >= {THRESHOLD}),
+k AS ({runs('g', 'doc_id, license', '0.0')})
+SELECT doc_id, start::INT AS start, "end"::INT AS "end", license, dice::DOUBLE AS dice FROM ({runs('k', 'doc_id', '0.5')})"""
 
 
 QUERIES = {"op6_licenses": op6_licenses}

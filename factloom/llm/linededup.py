@@ -5,20 +5,21 @@ Each document's lines are hashed, and each run of three consecutive lines is one
 first occurrence (by doc_id, then position) are later occurrences, and the lines that they cover,
 merged over overlapping windows, are removed.
 
-Defined cases: lines end at "\n", and white space at a line's end doesn't count; windows of blank
-lines alone are ignored; null texts count as empty; documents of fewer than three lines stay as they
-are; rows with the same doc_id and text are one occurrence and stay alike; a null doc_id comes first;
-where a window overlaps its own first occurrence, only the lines before it stay; a text whose lines
-are all removed becomes empty and its row stays; other columns pass through; an empty table gives an
-empty table.
+Defined cases: lines end at "\n", and spaces (not tabs or carriage returns) at a line's end don't count;
+windows of blank lines alone are ignored; null texts count as empty; documents of fewer than three lines
+stay as they are; rows with the same doc_id and text are one occurrence and stay alike; of rows with one
+doc_id, or with none, and different texts the one with the smaller hash comes first at each position; a
+null doc_id comes first; where a window overlaps its own first occurrence, only the lines before it stay;
+a text whose lines are all removed becomes empty and its row stays; other columns, of any name, pass
+through, except that columns n_lines and n_removed are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table, text_of, written
+from .common import at_key, hinted, keyed, quoted, row_key, table, text_of, written
 
 WIDTH = 3
 
@@ -37,31 +38,36 @@ def windows(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
 
 
 def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """_id, _key and _gone, the sorted positions of the lines to remove, of each row that has some."""
+    """_pid, _pkey and gone, the sorted positions of the lines to remove, of each row that has some."""
     all_ = written(windows(docs, id_col, text_col, width), "windows")
-    place = F.struct("_id", "_pos")
+    place = F.struct("_id", "_pos", "_key")
     repeated = written(all_.groupBy("_h1", "_h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("_h1", "_h2", "first"), "repeated")
     later = all_.join(repeated.hint("merge"), ["_h1", "_h2"]).filter(~place.eqNullSafe(F.col("first"))).select("_id", "_key", "_pos").distinct()
-    starts = later.groupBy("_id", "_key").agg(F.collect_list("_pos").alias("_starts"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (width - 1))))))
-    return written(starts.select("_id", "_key", covered.alias("_gone")), "covered")
+    starts = later.groupBy("_id", "_key").agg(F.collect_list("_pos").alias("starts"))  # at most one a line of a text
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (width - 1))))))
+    return written(starts.select(F.col("_id").alias("_pid"), F.col("_key").alias("_pkey"), covered.alias("gone")), "covered")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, broadcast_lines: int = 1_000_000) -> DataFrame:
     """docs without later occurrences of repeated windows, with n_lines and n_removed (long) added.
 
-    Columns n_lines and n_removed of docs are replaced.
+    broadcast_lines: up to so many rows and removed lines together, which are counted, their positions are broadcast,
+    so that texts aren't shuffled; beyond that the rows meet in a merge join.
     """
     gone = covered_lines(docs, id_col, text_col, width)
-    base = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], row_key(id_col, text_col).alias("_k"))
-    both = base.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    lines, removed = F.split(text_of(text_col), "\n"), F.coalesce("_gone", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(removed, i)), "\n")
-    return both.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in base.columns if c != "_k"],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size(removed).cast("long").alias("n_removed"),
-    )
+    size = gone.agg(F.coalesce(F.sum(F.size("gone") + 8), F.lit(0))).first()[0]
+    both = keyed(docs, id_col, text_col).join(hinted(gone, size, broadcast_lines), at_key(), "left")
+    lines = F.split("_text", "\n")
+    # the places that stay, by one hash set a text, then the lines at those places
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    both = both.withColumn("n", F.size(lines).cast("long")).withColumn("kept", F.when(F.col("gone").isNotNull(), _lines_at(lines, stay)))
+    out = [F.when(F.col("gone").isNull(), F.col(quoted(c, "_row"))).otherwise(F.col("kept")).alias(c) if c == text_col else F.col(quoted(c, "_row")) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return both.select(*out, F.col("n").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def _lines_at(lines: Column, places: Column) -> Column:
+    """The lines at some places, joined; both arrays are made once a row, not once an element."""
+    return F.get(F.transform(F.array(F.struct(lines.alias("l"), places.alias("p"))), lambda x: F.array_join(F.transform(x["p"], lambda i: F.get(x["l"], i)), "\n")), F.lit(0))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics.
 
 The features approximate a Gaussian kernel over about twenty statistics of a text. Each partition
-adds up its share of the normal equations; the sums, of fixed size, meet in a few groups and are
-solved on the driver. Scores are calibrated by isotonic regression over binned scores of other rows.
+adds up its share of the normal equations; the sums, of fixed size, are added up in a tree, at most
+32 at a time, and solved on the driver. Scores are calibrated by isotonic regression over raw scores of
+other rows, in bins of a width of 1/1000 (a resolution: raw scores outside -1 to 2 are in the outer bins).
 
 Defined cases: null and empty texts have all statistics zero and get a score as any other; labels of
 a repeated doc_id are averaged, null labels are ignored; without labels every score is the prior (0.5);
-repeated rows have equal scores; only the named columns are read, so others can't clash; an empty
-table gives an empty table.
+equal raw scores are one bin, and repeated rows have equal scores; keep_good() passes columns of any name
+through, the others read the named ones alone; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of, written
+from .common import keyed, small_batches, table, text_of, written
 
 MARKS = "#$%&*|~^@=<>{}[]\\_/+"
 STATS = ("chars", "words", "word_size", "long_words", "short_words", "letters", "upper", "digits", "space", "stops", "marks", "bangs", "other", "distinct", "repeats", "top_word", "lines", "line_repeats", "line_size", "mark_words")
@@ -67,8 +68,8 @@ def statistics_column(text: Column) -> Column:
     return stats(text)
 
 
-def partition_sums(df: DataFrame, add: Callable[[pd.DataFrame], np.ndarray], groups: int = 16) -> np.ndarray | None:
-    """The sum of add() over all batches of df: added up in each partition, then in ``groups`` groups, then here."""
+def partition_sums(df: DataFrame, add: Callable[[pd.DataFrame], np.ndarray], fan: int = 32) -> np.ndarray | None:
+    """The sum of add() over all batches of df: added up in each partition, then ``fan`` sums at a time until one group is left."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -79,13 +80,16 @@ def partition_sums(df: DataFrame, add: Callable[[pd.DataFrame], np.ndarray], gro
                 part = add(batch)
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"g": [TaskContext.get().partitionId() % groups], "sums": [total.astype(np.float64).tobytes()]})
+            yield pd.DataFrame({"g": [TaskContext.get().partitionId() // fan], "sums": [total.astype(np.float64).tobytes()]})
 
     def joined(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": batch["g"][:1], "sums": [sum(np.frombuffer(x) for x in batch["sums"]).tobytes()]})
+        return pd.DataFrame({"g": batch["g"][:1] // fan, "sums": [sum(np.frombuffer(x) for x in batch["sums"]).tobytes()]})
 
-    sums = df.mapInPandas(each, "g int, sums binary").groupBy("g").applyInPandas(joined, "g int, sums binary").collect()
-    return sum(np.frombuffer(r["sums"]) for r in sorted(sums, key=lambda r: r["g"])) if sums else None
+    sums, left = df.mapInPandas(each, "g int, sums binary"), df.rdd.getNumPartitions()
+    while left > 1:
+        sums, left = sums.groupBy("g").applyInPandas(joined, "g int, sums binary"), -(-left // fan)
+    rows = sums.collect()  # one
+    return sum(np.frombuffer(r["sums"]) for r in rows) if rows else None
 
 
 @dataclass
@@ -123,7 +127,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
-def fit(labelled: DataFrame, features: int = 256, ridge: float = 1e-4, seed: int = 7, bins: int = 2000) -> Model:
+def fit(labelled: DataFrame, features: int = 256, ridge: float = 1e-4, seed: int = 7, bins: int = 3000) -> Model:
     """A model from stats, label (0 to 1) and calibrate (boolean: rows for the calibration alone)."""
     size = len(STATS)
     stacked = lambda b: np.stack(b["stats"].to_numpy())
@@ -174,26 +178,31 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def labelled_stats(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of the rows that may be learnt from: a quarter is held out, a quarter calibrates."""
+    """Statistics of the rows that may be learnt from: a quarter is held out, a quarter calibrates. stats: _id, stats."""
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
-    usable = stats.join(known.filter(fold() != 2).hint("merge"), "doc_id")
+    usable = stats.select(F.col("_id").alias("doc_id"), "stats").join(known.filter(fold() != 2).hint("merge"), "doc_id")
     return written(usable.select("stats", "label", (fold() == 3).alias("calibrate")), "labelled")
 
 
+def _judged(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (_id, _text and others; written with the statistics in _text's place) with a score."""
+    small_batches(rows.sparkSession)
+    known = written(rows.withColumn("stats", statistics_column(F.col("_text"))).drop("_text"), "stats")
+    return scored(known, fit(labelled_stats(known, labels)))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
-    small_batches(docs.sparkSession)
-    stats = written(docs.select("doc_id", statistics_column(text_of()).alias("stats")), "stats")
-    out = scored(stats, fit(labelled_stats(stats, labels)))
-    return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = _judged(docs.select(F.col("doc_id").alias("_id"), text_of().alias("_text")), labels)
+    return out.select(F.col("_id").alias("doc_id"), F.coalesce(fold("_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score at least the threshold, with their columns."""
-    small_batches(docs.sparkSession)
-    stats = written(docs.select("doc_id", statistics_column(text_of()).alias("stats")), "stats")
-    model = fit(labelled_stats(stats, labels))
-    return scored(docs.withColumn("stats", statistics_column(text_of())), model).filter(F.col("score") >= threshold).select(*docs.columns)
+    """The rows of docs that score at least the threshold, with their columns.
+
+    The rows are written once with their statistics, so that no text is looked at twice or shuffled.
+    """
+    return _judged(keyed(docs, "doc_id", "text").select("_id", "_text", "_row"), labels).filter(F.col("score") >= threshold).select("_row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,20 @@ r"""Secret scan: candidates by pattern, false positives removed by a random fore
 Candidates are long runs of letters, digits and the marks of encoded values (16 characters or more,
 with a letter and a digit), values assigned to words such as token or password, and private key
 blocks. The forest sees a candidate's length, its character classes and transitions between them, its
-coverage by a dictionary, its path and the words beside it. It is trained, on Spark, from labelled
-findings: a table of value, before, after, path and label. Without one, ``example_findings`` makes a
-labelled table by rule, of a fixed number of rows: values of known key forms in their usual places,
-and look-alikes (checksums, versions, names of hosts and files, placeholders, identifiers).
+coverage by a dictionary, its path and the words beside it (the last five of the 60 characters before
+it, the first three of the 40 after it). It is trained, on Spark, from labelled findings: a table of
+value, before, after, path and label. Without one, ``example_findings`` makes a labelled table by rule, of
+a fixed number of rows. It deals a family of values and a family of places independently, so that no pair
+of the two is fixed, and labels them by both: a value of a key's form is a secret unless its words say
+that it is a checksum, a version, an identifier or an example; a value of another form never is.
 
-The dictionary is the corpus's own: the words in most rows, ``dictionary_words`` of them, counted over
-all texts.
+The dictionary is the corpus's own: the ``dictionary_words`` words in most rows, counted over all texts.
 
 Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; a null
 path counts as empty; only the named columns are read, so others can't clash; an empty table gives an
-empty table; labelled findings of one class keep all candidates of that class's judgement.
+empty table; labelled findings of one class keep all candidates of that class's judgement; without any
+labelled findings all candidates are kept, with a probability of 0.5; null labels are left out; words that
+are in equally many rows are ordered by the word.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +46,8 @@ _FIND = re.compile(f"(?P<block>{_BLOCK})|(?i:{_ASSIGNED})|(?P<long>{_LONG})")
 _WORD = re.compile(r"[A-Za-z]+[0-9]*")
 KINDS = {"block": "private_key", "value": "assigned", "long": "long"}
 FEATURES = ("length", "digits", "upper", "lower", "marks", "changes", "case_changes", "entropy", "hex", "vowels", "coverage", "cues", "not_cues", "assigned", "quoted", "path", "dots", "repeats", "block")
+#: Characters before and after a candidate in which the words beside it are looked for.
+BEFORE, AFTER = 60, 40
 FINDING = "array<struct<kind:string,start:int,end:int,value:string,features:array<double>>>"
 
 
@@ -55,18 +61,23 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _coverage(value: str, words: frozenset[str]) -> float:
+def _coverage(value: str, words: frozenset[str], longest: int) -> float:
     """The share of characters that the longest dictionary words of three letters or more cover, from the left."""
     low, i, covered = value.lower(), 0, 0
     while i < len(low):
-        for n in range(min(12, len(low) - i), 2, -1):
+        for n in range(min(longest, len(low) - i), 2, -1):
             if low[i : i + n] in words:
                 covered += n
                 i += n
                 break
         else:
             i += 1
-    return covered / len(low)
+    return covered / max(1, len(low))
+
+
+@lru_cache(maxsize=4)
+def _longest(words: frozenset[str]) -> int:
+    return max(map(len, words), default=0)
 
 
 def features(value: str, before: str, after: str, path: str, kind: str, words: frozenset[str]) -> list[float]:
@@ -78,43 +89,68 @@ def features(value: str, before: str, after: str, path: str, kind: str, words: f
     return [
         float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("m") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, sum({a, b} == {"u", "l"} for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        -sum(c / n * math.log2(c / n) for c in counts.values()), float(all(c in "0123456789abcdefABCDEF" for c in value)),
-        sum(c in "aeiouAEIOU" for c in value) / n, _coverage(value, words), hit(CUES), hit(NOT_CUES),
-        float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in "\"'" and before[-1:] == after[:1]), float(any(c in path.lower() for c in PATH_CUES)),
+        0.0 - sum(c / n * math.log2(c / n) for c in counts.values()), float(all(c in "0123456789abcdefABCDEF" for c in value)),
+        sum(c in "aeiouAEIOU" for c in value) / n, _coverage(value, words, _longest(words)), hit(CUES), hit(NOT_CUES),
+        float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in ('"', "'") and before[-1:] == after[:1]), float(any(c in path.lower() for c in PATH_CUES)),
         (value.count(".") + value.count("/") + value.count("-")) / n, max(counts.values(), default=0) / n, float(kind == "private_key"),
     ]
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000) -> frozenset[str]:
-    """The ``size`` lower-case words (three letters or more) that most texts hold; ties by the word."""
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+"))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.length("w") >= 3).orderBy(F.desc("n"), "w").limit(size)
+    """The ``size`` lower-case words (three letters or more) that most texts hold; ties by the word.
+
+    The counts are written; a histogram of them, of at most 64 x 8 rows, tells which count is enough, so
+    that few words but those asked for are ordered.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+"))).alias("w")).filter(F.length("w") >= 3)
+    counts = written(words.groupBy("w").agg(F.count("*").alias("n")), "counts")
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+    have, least = 0, 1
+    for r in steps:
+        have, least = have + r["words"], r["n"]
+        if have >= size:
+            break
+    top = written(counts.filter(F.col("n") >= least), "top").orderBy(F.desc("n"), "w").limit(size)
     return frozenset(r["w"] for r in top.collect())  # at most ``size`` words
 
 
+#: The words by which the labelled examples are made. A family of places by what it says of a value.
+ASSIGNED = ("token", "secret", "api_key", "password", "auth_token", "client_secret", "private_key", "access_key", "credential")
+NAMED = ("commit", "sha256", "md5 checksum", "uuid", "etag", "build", "version", "image", "example", "sample", "test", "placeholder", "host", "file")
+
+
 def _example(i: int, words: list[str]) -> tuple[str, str, str, str, int]:
     rng = random.Random(f"finding {i}")
     w = lambda: rng.choice(words)
-    raw = hashlib.sha256(str(i).encode()).hexdigest()
-    b64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(48))
-    cue = rng.choice(("token", "secret", "api_key", "password", "auth_token", "client_secret", "private_key"))
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    keyed_ = {
+        "hex": lambda: some("0123456789abcdef", rng.choice((32, 40, 48, 64))), "base64": lambda: some(lower + lower.upper() + digits + "+/", rng.randint(24, 60)) + rng.choice(("", "=", "==")),
+        "prefixed": lambda: some(lower, rng.randint(2, 4)) + "_" + some(lower + lower.upper() + digits, rng.randint(24, 40)), "capitals": lambda: some(lower.upper(), 4) + some(lower.upper() + digits, 16),
+        "password": lambda: w()[:5] + some(lower + lower.upper() + digits + "!#$%", rng.randint(8, 14)),
+    }
+    plain = {
+        "name": lambda: "_".join(w() for _ in range(3)) + str(rng.randrange(100)), "camel": lambda: "".join(w().title() for _ in range(3)) + str(rng.randrange(10)), "path": lambda: f"{w()}/{w()}/{w()}-{rng.randrange(99)}.{rng.choice(('txt', 'py', 'png'))}",
+        "host": lambda: f"{w()}{rng.randrange(99)}.{w()}.{rng.choice(('internal', 'org', 'net', 'example'))}", "time": lambda: f"20{rng.randint(10, 40)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T00-00-0{rng.randint(0, 9)}Z",
+        "version": lambda: f"v{rng.randrange(9)}.{rng.randrange(20)}.{rng.randrange(9)}-{w()}-{w()}", "repeat": lambda: rng.choice("x*0a") * rng.randint(14, 20) + "1", "words": lambda: w() + w() + w() + str(rng.randrange(10)),
+    }
+    named = rng.random() < 0.4
+    real = rng.random() < 0.65
+    value = rng.choice(list((keyed_ if real else plain).values()))()
     lead = " ".join(w() for _ in range(3))
-    if i % 2:
-        value = rng.choice((raw[:40], raw[:32], raw, b64[:40], b64[:32], "AKIA" + b64[:16].upper(), "ghp_" + b64[:36], "sk_live_" + b64[:24], f"{w()}{b64[:10]}!{i % 97}"))
-        before = rng.choice((f'{lead} {cue} = "', f"{lead} {cue}: ", f"export {cue.upper()}=", f"{lead} Authorization: Bearer ", f"{lead} {cue}='"))
-        after = before[-1] if before[-1] in "\"'" else " " + w()
-        return value, before, after + " " + w(), rng.choice(("src/app.py", "config/prod.env", "")), 1
-    value, before, after = rng.choice((
-        (raw[:40], f"{lead} commit ", " " + w()), (raw, f"{lead} sha256:", " " + w()), (raw[:32], f"{lead} md5 checksum ", ""),
-        (f"{raw[:8]}-{raw[8:12]}-{raw[12:16]}-{raw[16:20]}-{raw[20:32]}", f"{lead} uuid ", ""), (f"{w()}{i % 9}.{w()}.example.com", f"{lead} ", " " + w()),
-        (f"{w()}_{w()}_{w()}_{i % 99}", f"{lead} ", " " + w()), (f"{w().title()}{w().title()}{w().title()}{i % 9}", f"{lead} ", " " + w()), (f"{w()}/{w()}/{w()}-{i % 20}.txt", f"{lead} file ", ""),
-        (f"your_{cue}_here_1", f'{lead} {cue} = "', '"'), ("x" * 15 + "1", f'{lead} {cue} = "', '"'), (f"EXAMPLE{w()}KEY0", f"{lead} example {cue}: ", ""), (f"20{i % 90 + 10}-01-01T00-00-00Z", f"{lead} build ", ""),
-        (w() + w() + str(i % 9), f"{lead} {cue}: ", " " + w()), (f"v{i % 9}.{i % 7}.{i % 5}-{w()}-{w()}", f"{lead} version ", ""),
-    ))
-    return value, before, after, rng.choice(("tests/test_app.py", "docs/example.md", "src/app.py", "")), 0
-
-
-def example_findings(spark: SparkSession, words: frozenset[str], rows: int = 4000) -> DataFrame:
+    if named:
+        before, after = f"{lead} {rng.choice(NAMED)}{rng.choice((' ', ':', ': ', ' is '))}", rng.choice((" ", ", ", "")) + w()
+    else:
+        cue, quote = rng.choice(ASSIGNED), rng.choice(('"', "'", ""))
+        before = rng.choice((f"{lead} {cue} = {quote}", f"{lead} {cue}: {quote}", f"{lead} {cue.upper()}={quote}", f"{lead} bearer {quote}"))
+        after = quote + " " + w()
+    if not named and not real and rng.random() < 0.5:  # names of things beside no cue at all
+        before, after = f"{lead} ", " " + w()
+    path = rng.choice(("tests/test_app.py", "docs/example.md") if named and rng.random() < 0.5 else ("src/app.py", "config/prod.env", ""))
+    return value, before, after, path, int(real and not named)
+
+
+def example_findings(spark: SparkSession, words: frozenset[str], rows: int = 6000) -> DataFrame:
     """Labelled findings by rule: value, before, after, path, label."""
     listed = sorted(words) or ["alpha", "beta", "gamma"]
 
@@ -126,7 +162,7 @@ def example_findings(spark: SparkSession, words: frozenset[str], rows: int = 400
 
 
 def train(findings: DataFrame, words: frozenset[str], trees: int = 30, depth: int = 8):
-    """A forest fitted on labelled findings."""
+    """A forest fitted on labelled findings; None without any."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -134,7 +170,9 @@ def train(findings: DataFrame, words: frozenset[str], trees: int = 30, depth: in
     def seen(value: pd.Series, before: pd.Series, after: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([features(v or "", b or "", a or "", p or "", "private_key" if (v or "").startswith("-----BEGIN") else "long", words) for v, b, a, p in zip(value, before, after, path, strict=True)], dtype=object)
 
-    rows = written(findings.select(seen("value", "before", "after", "path").alias("f"), F.col("label").cast("double").alias("label")), "findings")
+    rows = written(findings.filter("label is not null").select(seen("value", "before", "after", "path").alias("f"), F.col("label").cast("double").alias("label")), "findings")
+    if rows.isEmpty():
+        return None
     return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=11).fit(rows.select(array_to_vector("f").alias("vector"), "label"))
 
 
@@ -150,15 +188,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, paths in batches:
             yield pd.Series([
-                [{"kind": k, "start": s, "end": e, "value": t[s:e], "features": features(t[s:e], t[max(0, s - 60) : s], t[e : e + 40], p, k, words)} for k, s, e in candidates(t)]
+                [{"kind": k, "start": s, "end": e, "value": t[s:e], "features": features(t[s:e], t[max(0, s - BEFORE) : s], t[e : e + AFTER], p, k, words)} for k, s, e in candidates(t)]
                 for t, p in zip(texts, paths, strict=True)
             ], dtype=object)
 
     path = text_of(path_col) if path_col else F.lit("")
-    rows = docs.select(id_col, F.explode(found(text_of(text_col), path)).alias("c")).select(id_col, "c.*")
-    judged = forest.transform(rows.withColumn("vector", array_to_vector("features")))
-    sure = F.get(vector_to_array("probability"), F.lit(1))
-    return judged.withColumn("sure", F.coalesce(sure, F.lit(0.0))).select(id_col, "kind", "start", "end", "value", F.col("sure").alias("probability"), (F.col("sure") >= threshold).alias("secret"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.explode(found(text_of(text_col), path)).alias("c")).select("_id", "c.*")
+    if forest is None:
+        judged = rows.withColumn("sure", F.lit(0.5))
+    else:
+        judged = forest.transform(rows.withColumn("vector", array_to_vector("features")))
+        judged = judged.withColumn("sure", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
+    return judged.select(F.col("_id").alias(id_col), "kind", "start", "end", "value", F.col("sure").alias("probability"), (F.col("sure") >= threshold).alias("secret"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

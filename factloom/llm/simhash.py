@@ -1,22 +1,21 @@
 r"""SimHash fingerprints and near-duplicate groups.
 
 A fingerprint has 64 bits over the hashes of 3-word shingles, repeats included. Groups join
-fingerprints that differ in at most ``bits`` bits, found by a byte-position inverted index: of the
-eight bytes of two such fingerprints at least ``8 - bits`` are equal in the same position. The index
-has a posting list for each combination of byte positions that must be shared by at least one choice
-(the eight bytes in four pairs: with two bits, at least two pairs are equal, so six lists a
-fingerprint). Within a list the shared positional bytes of each pair are tallied, pairs below the
-guaranteed minimum go, and the rest are verified by the number of differing bits.
-
-A list of single bytes would hold 1/256 of all fingerprints, so that pairs grew with the square of
-the table; lists of four bytes hold few but near copies. A list longer than ``longest`` has no pairs
-made at all: its fingerprints are linked exactly, without pairs, through the fingerprints within one
-bit of them (two fingerprints differ in at most two bits just if they share such a neighbour), which
-is 65 rows a fingerprint. No link is lost and no list makes a square of rows.
+fingerprints that differ in at most ``bits`` (0 to 2) bits, found by a byte-position inverted index: of
+the eight bytes of two such fingerprints at least ``8 - bits`` are equal in the same position. The index
+is read in two steps. Its first lists are keyed by two of the four pairs of neighbouring bytes (two
+changed bits leave two pairs equal), six lists a fingerprint; those with one fingerprint go. Within
+each other list the fingerprints are listed again by two of their four remaining bytes, so that a list
+of the second step shares six positional bytes, the guaranteed minimum for two bits. Pairs meet in
+these lists alone; the join tallies the shared positional bytes of a pair, keeps those that reach
+``8 - bits`` and verifies the number of differing bits. All links come through the index, whatever the
+length of a list: lists of single bytes would hold 1/256 of the table each, while at most 65,536
+different fingerprints share six bytes.
 
 Defined cases: null and empty texts have the fingerprint zero and link as any other; texts of one or
 two words have one shingle, the whole sequence; repeated rows have equal results; a null doc_id
-is kept, and counts as larger than any other id; an empty table gives an empty table.
+is kept, and counts as larger than any other id; columns of any name pass through keep_first(); an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hinted, row_key, small_batches, table, text_of, written
+from .common import at_key, hinted, keyed, row_key, small_batches, table, text_of, written
 from .components import components
 
 WORDS = 3
@@ -44,7 +43,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
     grams = zip(*[parts[i:] for i in range(words)], strict=False) if len(parts) >= words else [parts]
-    h = np.array([digest(join(g), 42) for g in grams], np.uint64)
+    return fingerprint_of(np.array([digest(join(g), 42) for g in grams], np.uint64))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, as a signed number; zero for none."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):
         total += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -64,63 +67,44 @@ def _byte(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255).cast("long"))
 
 
-def _lists(fp: Column, bits: int) -> list[Column]:
-    """Posting lists of a fingerprint: for up to two bits pairs of byte pairs, else single choices of 8 - bits bytes."""
-    if bits <= 2:
-        chosen = [a + b for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
-    else:
-        chosen = list(combinations(range(8), 8 - bits))
-    out = []
-    for n, places in enumerate(chosen):
-        mask = sum(255 << (8 * i) for i in places)
-        out.append(F.struct(F.lit(n).cast("byte").alias("list"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bytes")))
-    return out
+def _keyed_by(fp: Column, choices: list[tuple[int, ...]]) -> Column:
+    """array of (list, bytes): fp with only the bytes of each choice of places left."""
+    masks = [sum(255 << (8 * i) for i in places) for places in choices]
+    return F.array(*[F.struct(F.lit(n).cast("byte").alias("list"), fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bytes")) for n, m in enumerate(masks)])
 
 
 def shared_bytes(a: Column, b: Column) -> Column:
     return sum(((_byte(a, i) == _byte(b, i)).cast("int") for i in range(8)), F.lit(0))
 
 
-def links(prints: DataFrame, bits: int = 2, longest: int = 64) -> DataFrame:
-    """Links a, b that have the components of all pairs of distinct fingerprints (column fp) within ``bits`` bits.
+#: The lists of the first step, by four bytes, and of the second, by six: each adds two of the four that its first list leaves.
+FIRST = [a + b for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
+SECOND = {n: [(*places, *more) for more in combinations([i for i in range(8) if i not in places], 2)] for n, places in enumerate(FIRST)}
 
-    bits: 0 to 2. Lists of at most ``longest`` give every pair; longer ones links by neighbours.
-    """
+
+def links(prints: DataFrame, bits: int = 2) -> DataFrame:
+    """All pairs a < b of distinct fingerprints (column fp) that differ in at most ``bits`` bits, 0 to 2."""
     if not 0 <= bits <= 2:
-        raise ValueError("bits must be 0, 1 or 2: longer lists are linked by neighbours within one bit")
-    spark = prints.sparkSession
-    if bits == 0:
-        return spark.createDataFrame([], "a long, b long")
-    index = prints.select("fp", F.explode(F.array(*_lists(F.col("fp"), bits))).alias("k")).select("k.list", "k.bytes", "fp")
-    index = written(index, "index")
-    sizes = written(index.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        raise ValueError("bits must be 0, 1 or 2: the lists of the index are those of at least six equal bytes")
+    index = written(prints.select("fp", F.explode(_keyed_by(F.col("fp"), FIRST)).alias("k")).select("k.list", "k.bytes", "fp"), "index")
+    sizes = written(index.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "sizes")
     listed = index.join(sizes.hint("merge"), ["list", "bytes"])
-    short = written(listed.filter(F.col("n") <= longest).select("list", "bytes", "fp"), "short")
-    x, y = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
-    pairs = x.join(y.hint("merge"), ["list", "bytes"]).filter("a < b").select("a", "b")
-    pairs = pairs.filter(shared_bytes(F.col("a"), F.col("b")) >= 8 - bits).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    long_ = listed.filter(F.col("n") > longest).select("fp").distinct()
-    if bits == 1:  # a neighbour differs in one bit: link a fingerprint to those of its flips that are there
-        flips = long_.select(F.col("fp").alias("a"), F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(_bit(i))) for i in range(64)])).alias("fp"))
-        near = flips.join(long_.hint("merge"), "fp").select("a", F.col("fp").alias("b"))
-    else:
-        around = long_.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_bit(i))) for i in range(64)])).alias("mid"))
-        around = written(around, "around")
-        least = written(around.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
-        near = around.join(least.hint("merge"), "mid").select("a", F.col("fp").alias("b")).filter("a <> b")
-    return pairs.unionByName(near).distinct()
-
-
-def _bit(i: int) -> int:
-    return (1 << i) - (1 << 64) if i == 63 else 1 << i
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = 2, longest: int = 64) -> DataFrame:
+    keys = None
+    for n, choices in SECOND.items():
+        keys = F.when(F.col("list") == n, _keyed_by(F.col("fp"), choices)) if keys is None else keys.when(F.col("list") == n, _keyed_by(F.col("fp"), choices))
+    deeper = listed.select("list", F.explode(keys).alias("k"), "fp").select((F.col("list") * F.lit(6).cast("byte") + F.col("k.list")).cast("byte").alias("list"), "k.bytes", "fp")
+    deeper = written(deeper, "deeper")
+    x, y = deeper.withColumnRenamed("fp", "a"), deeper.withColumnRenamed("fp", "b")
+    near = (F.col("a") < F.col("b")) & (shared_bytes(F.col("a"), F.col("b")) >= 8 - bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    return x.join(y.hint("merge"), ["list", "bytes"]).filter(near).select("a", "b").distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = 2) -> DataFrame:
     """id_col, _key (tells rows of one id apart), fp (long) and component_id (the smallest id reachable) of each row."""
     small_batches(df.sparkSession)
     prints = written(df.select(id_col, row_key(id_col, text_col).alias("_key"), fingerprint_column(text_of(text_col), words).alias("fp")), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), bits, longest)).withColumnRenamed("node", "fp")
+    roots = components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -131,21 +115,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000, groups=near_duplicates, **kinds) -> DataFrame:
     """The rows of df whose id is the smallest of their group, each id once, with df's columns.
 
-    groups: gives the groups, with the columns of near_duplicates(). Of rows that share such an id the smallest by all columns stays; of a group of null ids alone, one.
+    groups: gives the groups, with the columns of near_duplicates(). Of rows that share such an id the one with the smallest
+    key stays, then the smallest by all columns; of a group of null ids alone, one.
     """
-    found = written(groups(df, id_col, text_col, **kinds).select(F.col(id_col).alias("_id"), "_key", "fp", F.col("component_id").eqNullSafe(F.col(id_col)).alias("_first")), "found")
-    lost = written(found.filter(~F.col("_first")).select("_id", "_key").distinct(), "lost")
-    firsts = found.filter("_first")
-    again = written(firsts.groupBy(F.col("_id").alias("_rid"), F.when(F.col("_id").isNull(), F.col("fp")).alias("_rfp")).agg(F.count("*").alias("n"), F.collect_set("_key").alias("_keys")).filter("n > 1"), "again")
-    n, repeated = lost.count(), again.count()
-    kept = df.withColumn("_k", row_key(id_col, text_col)).join(hinted(lost, n, broadcast_rows), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
-    if repeated:
-        places = again.select("_rid", F.coalesce("_rfp", F.lit(0).cast("long")).alias("_g"), F.explode("_keys").alias("_rk"))
-        met = kept.join(hinted(places, repeated, broadcast_rows // 100), F.col(id_col).eqNullSafe(F.col("_rid")) & (F.col("_k") == F.col("_rk")), "left")
-        rest = met.filter("_rk is null").select(*df.columns)
-        one = met.filter("_rk is not null").groupBy(F.col("_rid").alias("_r"), "_g").agg(F.min(F.struct(*df.columns)).alias("x")).select("x.*")
-        return rest.unionByName(one)
-    return kept.select(*df.columns)
+    found = groups(df, id_col, text_col, **kinds).select(F.col(id_col).alias("_pid"), F.col("_key").alias("_pkey"), "fp", F.col("component_id").eqNullSafe(F.col(id_col)).alias("leads"))
+    found = written(found, "found")
+    firsts = found.filter("leads").groupBy("_pid", F.when(F.col("_pid").isNull(), F.col("fp")).alias("g")).agg(F.min("_pkey").alias("best"), F.count("*").alias("n"))
+    again = written(firsts.filter("n > 1").select("_pid", "g", "best"), "again")  # ids of several rows, one row each
+    n_again = again.count()
+    lost = found.filter("not leads").select("_pid", "_pkey")
+    if n_again:
+        met = found.filter("leads").select("_pid", "_pkey", F.when(F.col("_pid").isNull(), F.col("fp")).alias("h")).join(hinted(again.withColumnRenamed("_pid", "_rid"), n_again, broadcast_rows), F.col("_pid").eqNullSafe(F.col("_rid")) & F.col("h").eqNullSafe(F.col("g")))
+        lost = lost.unionByName(met.filter("_pkey <> best").select("_pid", "_pkey"))
+    lost = written(lost.distinct(), "lost")
+    kept = keyed(df, id_col, text_col).join(hinted(lost, lost.count(), broadcast_rows), at_key(), "left_anti")
+    if n_again:  # equal rows: of one key, which any row may have, the smallest
+        twice = again.select(F.col("_pid"), F.col("best").alias("_pkey"), F.lit(True).alias("twice"))
+        met = kept.join(hinted(twice, n_again, broadcast_rows), at_key(), "left").select("_id", "_key", "_row", "twice")
+        one = met.filter("twice").groupBy("_id", "_key").agg(F.min("_row").alias("_row")).select("_row")
+        return met.filter("twice is null").select("_row").unionByName(one).select("_row.*")
+    return kept.select("_row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
