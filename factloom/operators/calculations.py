@@ -194,17 +194,19 @@ def calculate(requests: DataFrame, facts: DataFrame) -> DataFrame:
         .when((op == "cagr") & ((a <= 0) | (b < 0)), "cagr needs a positive start")
     )
     factor = lambda v, t: F.when(F.col(t) == "percent", v / 100).otherwise(v)
+    # decimals are rounded (half up) as decimals, before they are divided by a power of ten
+    scaled = lambda v, i: (F.when(F.col(f"scale{i}") == "thousands", F.round(v, 1)).when(F.col(f"scale{i}") == "millions", F.round(v, -2)).when(F.col(f"scale{i}") == "billions", F.round(v, -5)).otherwise(F.round(v, 4))).cast("double") / F.col(f"m{i}")
     value = (
-        F.when(op == "sum", F.col("total").cast("double") / F.col("m0"))
-        .when(op == "absolute_change", (b - a).cast("double") / F.col("m1"))
-        .when(op == "difference", (a - b).cast("double") / F.col("m0"))
+        F.when(op == "sum", scaled(F.col("total"), 0))
+        .when(op == "absolute_change", scaled(b - a, 1))
+        .when(op == "difference", scaled(a - b, 0))
         .when(op == "percentage_change", (y - x) / F.nullif(F.abs(x), F.lit(0.0)) * 100)
-        .when(op == "percentage_point_change", y - x)
-        .when(op == "basis_point_change", (y - x) * 100)
+        .when(op == "percentage_point_change", F.round(b - a, 4).cast("double"))
+        .when(op == "basis_point_change", F.round(b - a, 6).cast("double") * 100)
         .when(op == "ratio", x / F.nullif(y, F.lit(0.0)))
         .when(op == "product", factor(x, "value_type0") * factor(y, "value_type1") / F.coalesce("dim_m", F.lit(1.0)))
-        .when(op == "absolute_value", F.abs(x) / F.col("m0"))
-        .when(op == "percent_complement", 100 - x)
+        .when(op == "absolute_value", scaled(F.abs(a), 0))
+        .when(op == "percent_complement", F.round(100 - a, 4).cast("double"))
         .when(op == "cagr", F.when((x > 0) & (y >= 0) & (F.col("periods") > 0), (F.pow(y / F.nullif(x, F.lit(0.0)), 1 / F.nullif(F.col("periods").cast("double"), F.lit(0.0))) - 1) * 100))
     )
     unit = (
@@ -277,9 +279,9 @@ rs AS (SELECT *, a::DOUBLE AS x, b::DOUBLE AS y, CASE WHEN repeated THEN 'inputs
  WHEN operation = 'absolute_change' AND percents > 0 THEN 'use percentage_point_change' WHEN operation IN ('percentage_point_change', 'basis_point_change') AND percents < 2 THEN 'percent facts are needed'
  WHEN operation = 'percentage_change' AND a = 0 THEN 'old value is zero' WHEN operation = 'ratio' AND b = 0 THEN 'denominator is zero' WHEN operation = 'ratio' AND NOT same AND NOT (ta = 'currency' AND tb = 'count') THEN 'incompatible units'
  WHEN operation = 'product' AND dims > 1 THEN 'more than one dimensional input' WHEN operation = 'percent_complement' AND percents < 1 THEN 'a percent fact is needed' WHEN operation = 'cagr' AND (a <= 0 OR b < 0) THEN 'cagr needs a positive start' END AS reason FROM one),
-calc AS (SELECT request_id, operation, round(CASE WHEN reason IS NULL THEN CASE operation WHEN 'sum' THEN total::DOUBLE / ma WHEN 'absolute_change' THEN (b - a)::DOUBLE / mb WHEN 'difference' THEN (a - b)::DOUBLE / ma WHEN 'percentage_change' THEN (y - x) / abs(x) * 100
- WHEN 'percentage_point_change' THEN y - x WHEN 'basis_point_change' THEN (y - x) * 100 WHEN 'ratio' THEN x / y WHEN 'product' THEN (CASE WHEN ta = 'percent' THEN x / 100 ELSE x END) * (CASE WHEN tb = 'percent' THEN y / 100 ELSE y END) / coalesce(dm, 1.0)
- WHEN 'absolute_value' THEN abs(x) / ma WHEN 'percent_complement' THEN 100 - x WHEN 'cagr' THEN (pow(y / x, 1.0::DOUBLE / periods) - 1) * 100 END END, 4) AS result,
+calc AS (SELECT request_id, operation, round(CASE WHEN reason IS NULL THEN CASE operation WHEN 'sum' THEN (CASE sa WHEN 'thousands' THEN round(total, 1)::DOUBLE WHEN 'millions' THEN round(total, -2)::DOUBLE ELSE round(total, 4)::DOUBLE END / ma) WHEN 'absolute_change' THEN (CASE sb WHEN 'thousands' THEN round((b - a), 1)::DOUBLE WHEN 'millions' THEN round((b - a), -2)::DOUBLE ELSE round((b - a), 4)::DOUBLE END / mb) WHEN 'difference' THEN (CASE sa WHEN 'thousands' THEN round((a - b), 1)::DOUBLE WHEN 'millions' THEN round((a - b), -2)::DOUBLE ELSE round((a - b), 4)::DOUBLE END / ma) WHEN 'percentage_change' THEN (y - x) / abs(x) * 100
+ WHEN 'percentage_point_change' THEN round(b - a, 4)::DOUBLE WHEN 'basis_point_change' THEN round(b - a, 6)::DOUBLE * 100 WHEN 'ratio' THEN x / y WHEN 'product' THEN (CASE WHEN ta = 'percent' THEN x / 100 ELSE x END) * (CASE WHEN tb = 'percent' THEN y / 100 ELSE y END) / coalesce(dm, 1.0)
+ WHEN 'absolute_value' THEN (CASE sa WHEN 'thousands' THEN round(abs(a), 1)::DOUBLE WHEN 'millions' THEN round(abs(a), -2)::DOUBLE ELSE round(abs(a), 4)::DOUBLE END / ma) WHEN 'percent_complement' THEN round(100 - a, 4)::DOUBLE WHEN 'cagr' THEN (pow(y / x, 1.0::DOUBLE / periods) - 1) * 100 END END, 4) AS result,
  CASE WHEN reason IS NULL THEN CASE WHEN operation IN ('percentage_change', 'percent_complement', 'cagr') THEN 'percent' WHEN operation = 'percentage_point_change' THEN 'percentage_points' WHEN operation = 'basis_point_change' THEN 'basis_points' WHEN operation = 'ratio' THEN CASE WHEN ta = 'currency' AND tb = 'count' THEN 'per_share' ELSE 'ratio' END
  WHEN operation = 'product' THEN coalesce(dt, 'ratio') WHEN operation = 'absolute_change' THEN tb ELSE ta END END AS result_unit,
  CASE WHEN reason IS NULL THEN CASE WHEN operation = 'absolute_change' THEN sb WHEN operation IN ('sum', 'difference', 'absolute_value') THEN sa WHEN operation = 'product' THEN ds END END AS scale, reason FROM rs)
