@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.sources import views as V
+from factloom.sources.shared import hinted, written
 
 #: Thresholds of near duplicates and of overlap with a benchmark, and the share of label terms.
 NEAR, OVERLAP, LABEL_SHARE = 0.92, 0.95, 0.6
@@ -21,7 +22,8 @@ def inventory(files: DataFrame) -> DataFrame:
     """files (folder, name) with ticker, fiscal_year, doc_type and reason (null: usable)."""
     part = lambda i: F.regexp_extract("name", FILE, i)
     cut = files.select("folder", "name", part(1).alias("ticker"), part(2).alias("y"), part(3).alias("doc_type"), part(4).alias("ext"))
-    same = F.count("*").over(W.partitionBy("ticker", "y", "doc_type"))
+    # names that aren't recognised have no key in common
+    same = F.count("*").over(W.partitionBy("ticker", "y", "doc_type", F.when(F.col("ticker") == "", F.col("name"))))
     reason = (
         F.when(F.col("ticker") == "", "name not recognised")
         .when((F.col("doc_type") == "10K") & (F.col("ext") != "pdf"), "extension not allowed")
@@ -32,9 +34,16 @@ def inventory(files: DataFrame) -> DataFrame:
 
 
 def expected_minus(available: DataFrame) -> DataFrame:
-    """Every ticker, year and type that some source has, less those available together."""
-    each = lambda c: available.select(c).distinct()
-    return each("ticker").crossJoin(F.broadcast(each("fiscal_year"))).crossJoin(F.broadcast(each("doc_type"))).join(available, ["ticker", "fiscal_year", "doc_type"], "left_anti")
+    """Every ticker, year and type that some source has, less those available together. Years and types are short lists: over 1,000 are an error."""
+
+    def values(c: str) -> Column:
+        found = [r[0] for r in available.select(c).distinct().limit(1001).collect()]
+        if len(found) > 1000:
+            raise ValueError(f"more than 1,000 values of {c}")
+        return F.explode(F.array(*[F.lit(v) for v in found]).cast(f"array<{dict(available.dtypes)[c]}>")).alias(c)
+
+    wanted = available.select("ticker").distinct().select("ticker", values("fiscal_year")).select("ticker", "fiscal_year", values("doc_type"))
+    return wanted.join(available.hint("merge"), ["ticker", "fiscal_year", "doc_type"], "left_anti")
 
 
 def preflight(sources: DataFrame) -> DataFrame:
@@ -98,52 +107,77 @@ def nearest_years(mentions: DataFrame, years: DataFrame, reach: int = 28) -> Dat
 
 def gram_classes(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(class_id, grams, n of each distinct set of trigrams; id_col, class_id of each row)."""
-    g = rows.select(id_col, F.array_sort(T.grams(T.words(F.col(text_col)))).alias("grams")).withColumn("sig", F.sha2(F.array_join("grams", "|"), 256))
-    classes = g.groupBy("sig").agg(F.min(id_col).alias("class_id"), F.first("grams").alias("grams"))
-    return classes.select("class_id", "grams", F.size("grams").alias("n")), g.select(id_col, "sig").join(classes.select("sig", "class_id"), "sig").drop("sig")
+    g = written(rows.select(id_col, F.array_sort(F.transform(T.grams(T.words(F.col(text_col))), lambda x: F.xxhash64(x))).alias("grams")).withColumn("sig", F.sha2(F.array_join(F.col("grams").cast("array<string>"), "|"), 256)), "grams")
+    first = written(g.groupBy("sig").agg(F.min(id_col).alias("class_id")), "classes")
+    classes = g.join(first.withColumnRenamed("sig", "_sig").hint("merge"), (F.col("sig") == F.col("_sig")) & (F.col(id_col) == F.col("class_id"))).select("class_id", "grams").dropDuplicates(["class_id"])
+    return written(classes.select("class_id", "grams", F.size("grams").alias("n")), "sets"), g.select(id_col, "sig").join(first.hint("merge"), "sig").drop("sig")
 
 
-def near_duplicates(rows: DataFrame, id_col: str, text_col: str, threshold: float = NEAR) -> DataFrame:
-    """a, b (class representatives, a < b) and jaccard of the pairs of trigram sets over the threshold.
+def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b (a < b) and jaccard of the pairs of classes (class_id, grams, n) at the threshold.
 
-    Sets of n grams that reach the threshold share one of their first n - ceil(t * n) + 1 grams in any
-    common order; here by hash. Only those prefixes meet, and sizes must fit; pairs are then verified.
+    Sets of n grams that reach the threshold share one of their first n - ceil(t * n) + 1 grams in any common order; here
+    the rarest come first. Only those prefixes meet, and sizes must fit; pairs are then verified.
     """
-    classes, _ = gram_classes(rows, id_col, text_col)
-    classes = classes.filter("n > 0")
-    order = F.array_sort(F.transform("grams", lambda x: F.xxhash64(x)))
-    keys = classes.select("class_id", "n", F.explode(F.slice(order, 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("h"))
+    listed = classes.filter("n > 0").select("class_id", "n", F.explode("grams").alias("h"))
+    counts = written(listed.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
+    # grams of one class alone can't be shared, but hold their places in the order: they come first
+    shared = listed.join(counts.hint("merge"), "h").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("g"))
+    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("g"))
+    keys = written(shared.filter(keep > 0).select("class_id", "n", F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("x")).select("class_id", "n", "x.h"), "prefixes")
     x, y = keys.select("h", F.col("class_id").alias("a"), F.col("n").alias("na")), keys.select("h", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    pairs = x.join(y.hint("shuffle_hash"), "h").filter((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)).select("a", "b").distinct()
+    fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
+    pairs = written(x.join(y.hint("merge"), "h").filter(fits).select("a", "b").distinct(), "pairs")
     ga, gb = classes.select(F.col("class_id").alias("a"), F.col("grams").alias("ga")), classes.select(F.col("class_id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     met = pairs.join(ga.hint("merge"), "a").join(gb.hint("merge"), "b").select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("jaccard"))
     return met.filter(F.col("jaccard") >= threshold - 1e-12)
 
 
+def near_duplicates(rows: DataFrame, id_col: str, text_col: str, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """(a, b, jaccard of the pairs of different trigram sets at the threshold, by their class ids; id_col, class_id of each row).
+
+    Equal sets are one class, named by its smallest id, so that copies aren't expanded into pairs. Rows without words are one class without pairs.
+    """
+    classes, members = gram_classes(rows, id_col, text_col)
+    return written(similar_classes(classes, threshold), "similar"), members
+
+
 def term_similarity(left: DataFrame, right: DataFrame, top: int = 3) -> DataFrame:
     """group, left_id, right_id, score: the top windows on the right of each on the left, by shared terms over the root of both numbers; ties by id, last first."""
-    terms = lambda d: d.select("group", "id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1), lambda w: ~w.isin(*T.STOPWORDS)))).alias("t")).withColumn("n", F.count("*").over(W.partitionBy("group", "id")))
-    a, b = terms(left).withColumnsRenamed({"id": "left_id", "n": "nl"}), terms(right).withColumnsRenamed({"id": "right_id", "n": "nr"})
-    met = a.join(b, ["group", "t"]).groupBy("group", "left_id", "right_id", "nl", "nr").agg(F.count("*").alias("shared"))
+    terms = lambda d, tag: written(d.select("group", "id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1), lambda w: ~w.isin(*T.STOPWORDS)))).alias("t")).withColumn("n", F.count("*").over(W.partitionBy("group", "id"))), tag)
+    a, b = terms(left, "left").withColumnsRenamed({"id": "left_id", "n": "nl"}), terms(right, "right").withColumnsRenamed({"id": "right_id", "n": "nr"})
+    met = b.join(hinted(a, a.count(), 200_000), ["group", "t"]).groupBy("group", "left_id", "right_id", "nl", "nr").agg(F.count("*").alias("shared"))
     scored = met.select("group", "left_id", "right_id", F.round(F.col("shared") / F.sqrt(F.col("nl").cast("double") * F.col("nr")), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("group", "left_id").orderBy(F.desc("score"), F.desc("right_id")))).filter(F.col("rank") <= top)
 
 
 def benchmark_overlap(texts: DataFrame, gold: DataFrame, facts: DataFrame, gold_facts: DataFrame) -> DataFrame:
-    """example_id and reasons, sorted and joined, of examples that overlap the gold set. The gold tables are the query set and small beside the examples."""
-    fp = texts.select("example_id", T.fingerprint(F.col("text")).alias("fp"), T.grams(T.words(F.col("text"))).alias("g"))
-    gfp = gold.select(T.fingerprint(F.col("text")).alias("fp"), T.grams(T.words(F.col("text"))).alias("gg")).distinct()
-    exact = fp.join(gfp.select("fp").distinct(), "fp", "left_semi").select("example_id", F.lit("exact_text").alias("reason"))
-    hashes = lambda g: F.array_sort(F.transform(g, lambda x: F.xxhash64(x)))
-    prefix = lambda g: F.slice(hashes(F.col(g)), 1, (F.size(g) - F.ceil(F.size(g) * OVERLAP - 1e-9) + 1).cast("int"))
-    met = fp.filter(F.size("g") > 0).select("example_id", "g", F.explode(prefix("g")).alias("h")).join(gfp.filter(F.size("gg") > 0).select("gg", F.explode(prefix("gg")).alias("h")), "h")
-    near = met.filter(T.jaccard(F.col("g"), F.col("gg")) >= OVERLAP).select("example_id", F.lit("near_text").alias("reason")).distinct()
-    same = facts.join(gold_facts, ["source", "label", "value", "period"], "left_semi").select("example_id", F.lit("same_fact").alias("reason"))
+    """example_id and reasons, sorted and joined, of examples that overlap the gold set.
+
+    A text is compared as a whole (exact_text, near_text: Jaccard of the sets of trigrams) and by what it holds (gold_passage: the
+    share of a gold text's trigrams). Either way it shares the threshold's part of the gold text's trigrams at least, so it has
+    one of any n - ceil(t * n) + 1 of them: those of the gold texts are probed with all of the texts, and pairs are verified.
+    The gold tables are the query set and small beside the examples.
+    """
+    grams = lambda c: F.transform(T.grams(T.words(F.col(c))), lambda x: F.xxhash64(x))
+    fp = written(texts.select("example_id", T.fingerprint(F.col("text")).alias("fp"), grams("text").alias("g")), "texts")
+    gfp = written(gold.select(T.fingerprint(F.col("text")).alias("fp"), F.array_sort(grams("text")).alias("gg")).distinct().filter(F.size("gg") > 0), "gold")
+    n = gfp.count()
+    exact = fp.join(hinted(gfp.select("fp").distinct(), n, 100_000), "fp", "left_semi").select("example_id", F.lit("exact_text").alias("reason"))
+    probes = gfp.select(F.col("fp").alias("gold"), F.explode(F.slice("gg", F.lit(1), (F.size("gg") - F.ceil(F.size("gg") * OVERLAP - 1e-9) + 1).cast("int"))).alias("h"))
+    probes = written(probes, "probes")
+    met = written(fp.select("example_id", F.explode("g").alias("h")).join(hinted(probes, probes.count(), 1_000_000), "h").select("example_id", "gold").distinct(), "met")
+    pairs = fp.select("example_id", "g").join(hinted(met, met.count(), 100_000), "example_id").join(gfp.select(F.col("fp").alias("gold"), "gg").hint("merge"), "gold")
+    both = F.size(F.array_intersect("g", "gg"))
+    held = pairs.select("example_id", both.alias("both"), F.size("g").alias("n"), F.size("gg").alias("m"))
+    kinds = F.array_compact(F.array(F.when(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= OVERLAP, "near_text"), F.when(F.col("both") / F.col("m") >= OVERLAP, "gold_passage")))
+    near = held.select("example_id", F.explode(kinds).alias("reason")).distinct()
+    same = facts.join(hinted(gold_facts, n_facts := gold_facts.count(), 100_000), ["source", "label", "value", "period"], "left_semi").select("example_id", F.lit("same_fact").alias("reason"))
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1))
     g2 = gold_facts.select("source", "value", F.col("label").alias("gold_label"))
     shared = F.size(F.array_intersect(words(F.col("label")), words(F.col("gold_label"))))
-    likely = facts.join(g2, ["source", "value"]).filter(shared >= LABEL_SHARE * F.size(words(F.col("label")))).select("example_id", F.lit("probable_fact").alias("reason"))
+    likely = facts.join(hinted(g2, n_facts, 100_000), ["source", "value"]).filter(shared >= LABEL_SHARE * F.size(words(F.col("label")))).select("example_id", F.lit("probable_fact").alias("reason"))
     return exact.unionByName(near).unionByName(same).unionByName(likely).groupBy("example_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
@@ -213,8 +247,10 @@ def q_incremental_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_manifest_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash is of the number of names and the sum of their digests' first 52 bits, which any order of the sources gives."""
     f = inventory(files(spark, sf_dir)).filter("reason is null")
-    return f.agg(F.count("*").alias("sources"), F.countDistinct("ticker").alias("companies"), F.array_join(F.array_sort(F.collect_set("fiscal_year")).cast("array<string>"), ",").alias("years"), F.sha2(F.array_join(F.array_sort(F.collect_list("name")), "|"), 256).alias("sources_hash"))
+    part = F.conv(F.substring(F.sha2("name", 256), 1, 13), 16, 10).cast("decimal(38,0)")
+    return f.agg(F.count("*").alias("sources"), F.countDistinct("ticker").alias("companies"), F.array_join(F.array_sort(F.collect_set("fiscal_year")).cast("array<string>"), ",").alias("years"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(part), F.lit(0)).cast("string")), 256).alias("sources_hash"))
 
 
 def q_manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,13 +331,16 @@ def q_cross_company_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_synthesis_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good documents of a source and language against its others."""
+    """Every hundredth document, the query set, against all others of its source and language."""
     e = V.segments(spark, sf_dir).select(F.concat_ws("-", "ticker", "doc_type").alias("group"), F.col("doc_id").alias("id"), "text")
-    return term_similarity(e.filter("id div 20 % 4 = 0"), e.filter("id div 20 % 4 = 1")).select("group", "left_id", "right_id", "score", F.col("rank").cast("long").alias("rank"))
+    return term_similarity(e.filter("id % 100 = 0"), e.filter("id % 100 <> 0")).select("group", "left_id", "right_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def q_near_duplicate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(V.segments(spark, sf_dir), "doc_id", "text").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    """Each document with the class of its trigram set, and the number of other classes at the threshold."""
+    pairs, members = near_duplicates(V.segments(spark, sf_dir), "doc_id", "text")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(ends.hint("merge"), "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,10 +349,9 @@ def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of the documents and facts of the orders; gold: the items' first lines, and facts of orders of other customers."""
-    first = F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^\n]*)", 1)
-    t = V.segments(spark, sf_dir).select(F.col("doc_id").alias("example_id"), first.alias("text"))
-    gold = V.table(spark, sf_dir, "benchmark").select(first.alias("text")).unionByName(t.filter("example_id % 50 = 0").select("text"))
+    """Whole documents and facts of the orders; gold: the items, every fiftieth document, and facts of orders of other customers."""
+    t = V.segments(spark, sf_dir).select(F.col("doc_id").alias("example_id"), "text")
+    gold = V.table(spark, sf_dir, "benchmark").select("text").unionByName(t.filter("example_id % 50 = 0").select("text"))
     f = _order_facts(spark, sf_dir)
     return benchmark_overlap(t, gold, f.filter("example_id % 7 <> 0"), f.filter("example_id % 97 = 0"))
 
@@ -353,7 +391,6 @@ def q_question_source_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {k[2:]: f for k, f in dict(globals()).items() if k.startswith("q_")}
 _INV = rf"""{_FILES}, cut AS (SELECT *, regexp_extract(name, '{FILE}', 1) AS t, regexp_extract(name, '{FILE}', 2) AS y, regexp_extract(name, '{FILE}', 3) AS k, regexp_extract(name, '{FILE}', 4) AS ext FROM files),
 inv AS (SELECT folder, name, nullif(t, '') AS ticker, nullif(y, '')::INT AS fiscal_year, nullif(k, '') AS doc_type, CASE WHEN t = '' THEN 'name not recognised' WHEN k = '10K' AND ext <> 'pdf' THEN 'extension not allowed' WHEN upper(folder) <> t THEN 'folder and ticker differ' WHEN count(*) OVER (PARTITION BY t, y, k) > 1 THEN 'duplicate source' END AS reason FROM cut)"""
-_FIRST = r"regexp_extract(coalesce(text, ''), '^([^\n]*)', 1)"
 _FOLDED = r"trim(regexp_replace(lower(translate(coalesce(text, ''), '‘’“”–—' || chr(160), '''''" + '""' + r"-- ')), '\s+', ' ', 'g'))"
 
 
@@ -368,7 +405,7 @@ ORACLES = {
     "source_preflight": rf"WITH {_FILES}, c AS (SELECT doc_id AS id, name, CASE WHEN doc_id % 4 = 0 THEN '%PDF-' || content ELSE content END AS content FROM files) SELECT id, concat_ws(',', CASE WHEN strlen(content) < 1024 THEN 'too small' END, CASE WHEN ends_with(name, '.pdf') AND NOT starts_with(content, '%PDF-') THEN 'bad signature' END, CASE WHEN len(regexp_extract_all(content, '(\S+)', 1)) < 100 THEN 'too few words' END, CASE WHEN NOT regexp_matches(lower(content), '\b(operator|question|the|de|der)\b') THEN 'no cue' END) AS reasons FROM c",
     "source_hash": f"WITH {_FILES} SELECT DISTINCT name, sha256(content) AS source_hash FROM files",
     "incremental_parse": f"""WITH {_FILES}, k AS (SELECT doc_id, sha256('["v2","' || sha256(content) || '","standard","parser-1","prompt-3"]') AS key, sha256('["v2","' || sha256(content) || '","standard","parser-1","' || CASE WHEN doc_id % 5 = 0 THEN 'prompt-2' ELSE 'prompt-3' END || '"]') AS old FROM files) SELECT doc_id, key FROM k WHERE key NOT IN (SELECT old FROM k WHERE doc_id % 3 <> 0 AND doc_id % 7 > 0)""",
-    "manifest_build": f"WITH {_INV} SELECT count(*) AS sources, count(DISTINCT ticker) AS companies, array_to_string(list_sort(list(DISTINCT fiscal_year)), ',') AS years, sha256(coalesce(string_agg(name, '|' ORDER BY name), '')) AS sources_hash FROM inv WHERE reason IS NULL",
+    "manifest_build": f"WITH {_INV} SELECT count(*) AS sources, count(DISTINCT ticker) AS companies, array_to_string(list_sort(list(DISTINCT fiscal_year)), ',') AS years, sha256(count(*) || '|' || coalesce(sum(('0x' || substr(sha256(name), 1, 13))::BIGINT), 0)::HUGEINT) AS sources_hash FROM inv WHERE reason IS NULL",
     "manifest_check": V.with_views("chunks") + ", c AS (SELECT DISTINCT doc_id FROM chunks), v AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 3) SELECT coalesce(c.doc_id, v.doc_id) AS doc_id, CASE WHEN v.doc_id IS NULL THEN 'no vector' ELSE 'no text' END AS reason FROM c FULL JOIN v ON c.doc_id = v.doc_id WHERE c.doc_id IS NULL OR v.doc_id IS NULL",
     "index_catalogue": f"WITH {_AVAILABLE} SELECT ticker, array_to_string(list_sort(list(DISTINCT fiscal_year::VARCHAR)), ',') AS years, array_to_string(list_sort(list(DISTINCT doc_type)), ',') AS types, array_to_string(list_sort(list(DISTINCT fiscal_year || ':' || doc_type)), ',') AS available FROM available GROUP BY ticker",
     "merge_inputs": V.with_views("examples") + ", u AS (SELECT example_id, query_type FROM examples WHERE example_id % 3 <> 0 UNION ALL SELECT example_id, query_type FROM examples WHERE example_id % 5 = 0) SELECT *, count(*) OVER (PARTITION BY example_id) - 1 AS duplicates FROM u",
@@ -381,12 +418,12 @@ ORACLES = {
     "nearest_year_pairing": "WITH m AS (SELECT doc_id AS q, 'co' || i AS ticker, (doc_id * (3 + i) + 11 * i) % 90 AS at_ FROM documents, range(2) r(i)), y AS (SELECT doc_id AS q, (2020 + i)::INT AS year, (doc_id * (5 + i) + 17 * i) % 90 AS yat FROM documents, range(2) r(i)), b AS (SELECT m.q, ticker, year FROM m JOIN y ON m.q = y.q WHERE abs(at_ - yat) <= 28 QUALIFY row_number() OVER (PARTITION BY m.q, ticker ORDER BY abs(at_ - yat), year) = 1) SELECT q AS question_id, ticker, year FROM b WHERE q IN (SELECT q FROM b GROUP BY q HAVING count(DISTINCT year) = 2)",
     "period_pairs": V.with_views("facts") + " SELECT ticker, metric, fiscal_year AS newer_year, older_year FROM (SELECT *, lead(fiscal_year) OVER w AS older_year, row_number() OVER w AS r FROM facts WINDOW w AS (PARTITION BY ticker, metric, unit ORDER BY fiscal_year DESC)) WHERE r = 1 AND older_year IS NOT NULL",
     "cross_company_join": V.with_views("facts") + " SELECT a.fiscal_year, a.metric, a.ticker AS left_ticker, b.ticker AS right_ticker, CASE WHEN a.base_value > b.base_value THEN a.ticker WHEN a.base_value < b.base_value THEN b.ticker END AS winner FROM facts a JOIN facts b ON a.fiscal_year = b.fiscal_year AND a.metric = b.metric AND a.unit = b.unit AND a.ticker < b.ticker WHERE a.metric IN ('total_revenue', 'net_income')",
-    "synthesis_pairs": V.with_views("segments") + ", t AS (SELECT DISTINCT ticker || '-' || doc_type AS \"group\", doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '([a-z]{4,})', 1), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))) AS t FROM segments), n AS (SELECT id, count(*) AS n FROM t GROUP BY id), s AS (SELECT a.\"group\", a.id AS left_id, b.id AS right_id, round(count(*) / sqrt(any_value(x.n)::DOUBLE * any_value(y.n)), 9) AS score FROM t a JOIN t b ON a.\"group\" = b.\"group\" AND a.t = b.t AND (a.id // 20) % 4 = 0 AND (b.id // 20) % 4 = 1 JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id GROUP BY a.\"group\", a.id, b.id) SELECT *, row_number() OVER (PARTITION BY \"group\", left_id ORDER BY score DESC, right_id DESC) AS rank FROM s QUALIFY rank <= 3",
-    "near_duplicate_join": "WITH " + _gram_sql("documents", "doc_id", "") + f", sig AS (SELECT id, sha256(string_agg(g, '|' ORDER BY g)) AS s FROM e GROUP BY id), rep AS (SELECT min(id) AS id FROM sig GROUP BY s), er AS (SELECT e.* FROM e JOIN rep USING (id)), c AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM er a JOIN er b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) > 3) SELECT a, b, round(i / (x.n + y.n - i), 9) AS jaccard FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i / (x.n + y.n - i) >= {NEAR}",
-    "benchmark_overlap": f"WITH t AS (SELECT doc_id AS example_id, {_FIRST} AS text FROM documents), gold AS (SELECT row_number() OVER () AS gid, text FROM (SELECT {_FIRST} AS text FROM benchmark UNION ALL SELECT text FROM t WHERE example_id % 50 = 0)), "
+    "synthesis_pairs": V.with_views("segments") + ", t AS (SELECT DISTINCT ticker || '-' || doc_type AS \"group\", doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '([a-z]{4,})', 1), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))) AS t FROM segments), n AS (SELECT id, count(*) AS n FROM t GROUP BY id), s AS (SELECT a.\"group\", a.id AS left_id, b.id AS right_id, round(count(*) / sqrt(any_value(x.n)::DOUBLE * any_value(y.n)), 9) AS score FROM t a JOIN t b ON a.\"group\" = b.\"group\" AND a.t = b.t AND a.id % 100 = 0 AND b.id % 100 <> 0 JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id GROUP BY a.\"group\", a.id, b.id) SELECT *, row_number() OVER (PARTITION BY \"group\", left_id ORDER BY score DESC, right_id DESC) AS rank FROM s QUALIFY rank <= 3",
+    "near_duplicate_join": "WITH " + _gram_sql("documents", "doc_id", "") + f", sig AS (SELECT w.id, sha256(coalesce(string_agg(g, '|' ORDER BY g), '')) AS s FROM w LEFT JOIN e USING (id) GROUP BY w.id), cl AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM sig), er AS (SELECT e.* FROM e WHERE id IN (SELECT class_id FROM cl)), c AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM er a JOIN er b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id HAVING count(*) > 3), l AS (SELECT a, count(*) AS links FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i / (x.n + y.n - i) >= {NEAR} GROUP BY a) SELECT id AS doc_id, class_id, coalesce(links, 0) AS links FROM cl LEFT JOIN l ON a = class_id",
+    "benchmark_overlap": f"WITH t AS (SELECT doc_id AS example_id, text FROM documents), gold AS (SELECT row_number() OVER () AS gid, text FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM t WHERE example_id % 50 = 0)), "
     + _gram_sql("t", "example_id", "1") + ", " + _gram_sql("gold", "gid", "2")
-    + f""", x AS (SELECT DISTINCT w1.id AS example_id, 'exact_text' AS reason FROM w1 JOIN w2 ON array_to_string(w1.w, ' ') = array_to_string(w2.w, ' ')), c AS (SELECT e1.id AS a, e2.id AS b, count(*) AS i FROM e1 JOIN e2 USING (g) GROUP BY ALL),
-r AS (SELECT DISTINCT a AS example_id, 'near_text' AS reason FROM c JOIN n1 ON n1.id = a JOIN n2 ON n2.id = b WHERE i / (n1.n + n2.n - i) >= {OVERLAP}),
+    + f""", x AS (SELECT DISTINCT w1.id AS example_id, 'exact_text' AS reason FROM w1 JOIN w2 ON len(w2.w) > 0 AND array_to_string(w1.w, ' ') = array_to_string(w2.w, ' ')), c AS (SELECT e1.id AS a, e2.id AS b, count(*) AS i FROM e1 JOIN e2 USING (g) GROUP BY ALL),
+r AS (SELECT DISTINCT a AS example_id, 'near_text' AS reason FROM c JOIN n1 ON n1.id = a JOIN n2 ON n2.id = b WHERE i / (n1.n + n2.n - i) >= {OVERLAP} UNION SELECT DISTINCT a, 'gold_passage' FROM c JOIN n2 ON n2.id = b WHERE i / n2.n >= {OVERLAP}),
 f AS (SELECT o_orderkey AS example_id, o_custkey % 40 AS source, o_orderpriority AS label, floor(o_totalprice / 5000)::BIGINT AS value, year(o_orderdate) AS period FROM orders), fe AS (SELECT * FROM f WHERE example_id % 7 <> 0), fg AS (SELECT * FROM f WHERE example_id % 97 = 0),
 s AS (SELECT example_id, 'same_fact' AS reason FROM fe SEMI JOIN fg USING (source, label, value, period)), lw AS (SELECT fe.example_id, list_distinct(regexp_extract_all(lower(fe.label), '([a-z0-9]+)', 1)) AS a, list_distinct(regexp_extract_all(lower(fg.label), '([a-z0-9]+)', 1)) AS b FROM fe JOIN fg USING (source, value)),
 l AS (SELECT example_id, 'probable_fact' AS reason FROM lw WHERE len(list_intersect(a, b)) >= {LABEL_SHARE} * len(a)), u AS (SELECT * FROM x UNION ALL SELECT * FROM r UNION ALL SELECT * FROM s UNION ALL SELECT * FROM l)

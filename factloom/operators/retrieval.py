@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.sources import views as V
+from factloom.sources.shared import hinted, written
 
 #: BM25 k1, b and the share of the mean idf that replaces a negative idf; fusion constants; floors; limits.
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -15,10 +16,8 @@ RRF, EXPANSION = 60, 0.35
 CANDIDATES, SCORE_FLOOR, PARENTS, POOL, KEPT, PER_GROUP = 48, 0.20, 8, 20, 5, 2
 
 
-def postings(chunks: DataFrame, id_col: str = "child_id", text_col: str = "text") -> DataFrame:
-    """id_col, term, tf, dl: one row a chunk and term; a chunk without terms counts as one unit long."""
-    cut = chunks.select(id_col, T.tokens(F.col(text_col)).alias("_t"))
-    return cut.select(id_col, F.greatest(F.size("_t"), F.lit(1)).alias("dl"), F.explode("_t").alias("term")).groupBy(id_col, "term", "dl").agg(F.count("*").alias("tf"))
+#: Rows of a query side up to which it is broadcast; counted before each join.
+QUERY_ROWS = 200_000
 
 
 def in_scope(groups: DataFrame, chunks: DataFrame) -> Column:
@@ -35,24 +34,26 @@ def group_budget(groups: DataFrame, total: int = CANDIDATES) -> DataFrame:
 def bm25_scores(chunks: DataFrame, questions: DataFrame, groups: DataFrame) -> DataFrame:
     """question_id, grp_ord, child_id, parent_id, score, coverage of every chunk in scope with a matched term.
 
-    Statistics are of all chunks; the scope only limits the rows. Only terms that a question has meet
-    the postings, so the join's size follows the questions.
+    Statistics are of all chunks. The terms of the chunks are cut once and written; one branch counts the chunks of
+    each term, the other meets the query side (the terms of each question in each of its groups) by term and company, so
+    that only postings in scope are grouped.
     """
-    post = postings(chunks)
-    size = chunks.select(F.greatest(F.size(T.tokens(F.col("text"))), F.lit(1)).alias("dl")).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total"))
+    cut = written(chunks.select("child_id", "parent_id", "ticker", "doc_type", T.tokens(F.col("text")).alias("toks")), "terms")
+    n_docs, total = cut.agg(F.count("*"), F.sum(F.greatest(F.size("toks"), F.lit(1)))).first()
     asked = questions.select("question_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    asked = asked.withColumn("n_terms", F.count("*").over(W.partitionBy("question_id")))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size)).withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw_idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"), (F.col("total") / F.col("n_docs")).alias("avgdl"))
-    met = asked.join(idf, "term").join(post, "term")
-    part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    summed = met.groupBy("question_id", "child_id").agg(F.sum(part).alias("score"), F.count("*").alias("hits"), F.min("n_terms").alias("n_terms"))
-    placed = summed.join(chunks.select("child_id", "parent_id", "ticker", "doc_type"), "child_id")
-    g = groups.select(F.col("question_id").alias("_q"), "grp_ord", F.col("ticker").alias("_t"), F.col("doc_type").alias("_d"))
-    scoped = placed.join(g, (F.col("question_id") == F.col("_q")) & (F.col("ticker") == F.col("_t")) & (F.col("_d").isNull() | (F.col("_d") == F.col("doc_type"))))
-    return scoped.select("question_id", "grp_ord", "child_id", "parent_id", F.round("score", 9).alias("score"), (F.col("hits") / F.col("n_terms")).alias("coverage"))
+    asked = written(asked.withColumn("n_terms", F.count("*").over(W.partitionBy("question_id"))), "asked")
+    df = written(cut.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
+    raw = df.withColumn("raw_idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw_idf")).first()[0]
+    idf = raw.select("term", F.when(F.col("raw_idf") < 0, FLOOR * F.lit(mean)).otherwise(F.col("raw_idf")).alias("idf"))
+    g = groups.select("question_id", "grp_ord", "ticker", F.col("doc_type").alias("_d"))
+    wanted = written(asked.join(idf.hint("merge"), "term").join(g.hint("merge"), "question_id"), "wanted")
+    found = cut.select("child_id", "parent_id", "ticker", "doc_type", F.greatest(F.size("toks"), F.lit(1)).alias("dl"), F.explode("toks").alias("term"))
+    met = found.join(hinted(wanted, wanted.count(), QUERY_ROWS), ["term", "ticker"]).filter(F.col("_d").isNull() | (F.col("_d") == F.col("doc_type")))
+    hits = met.groupBy("question_id", "grp_ord", "child_id", "parent_id", "dl", "term", "idf", "n_terms").agg(F.count("*").alias("tf"))
+    part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit((total or 0) / max(n_docs, 1))))
+    summed = hits.groupBy("question_id", "grp_ord", "child_id", "parent_id").agg(F.sum(part).alias("score"), F.count("*").alias("hits"), F.min("n_terms").alias("n_terms"))
+    return summed.select("question_id", "grp_ord", "child_id", "parent_id", F.round("score", 9).alias("score"), (F.col("hits") / F.col("n_terms")).alias("coverage"))
 
 
 def top_hits(scored: DataFrame, k: Column, score: str = "score", item: str = "child_id") -> DataFrame:
@@ -61,10 +62,11 @@ def top_hits(scored: DataFrame, k: Column, score: str = "score", item: str = "ch
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def bm25_topk(chunks: DataFrame, questions: DataFrame, groups: DataFrame, total: int = CANDIDATES) -> DataFrame:
+def bm25_topk(scored: DataFrame, groups: DataFrame, total: int = CANDIDATES) -> DataFrame:
+    """The best scored chunks of each group, by its share of the candidates."""
     share = group_budget(groups, total).select(F.col("question_id").alias("_q2"), F.col("grp_ord").alias("_g2"), "k")
-    scored = bm25_scores(chunks, questions, groups).join(share, (F.col("question_id") == F.col("_q2")) & (F.col("grp_ord") == F.col("_g2")))
-    return top_hits(scored, F.col("k")).select("question_id", "grp_ord", "child_id", "parent_id", "score", "coverage", "rank")
+    met = scored.join(share.hint("merge"), (F.col("question_id") == F.col("_q2")) & (F.col("grp_ord") == F.col("_g2")))
+    return top_hits(met, F.col("k")).select("question_id", "grp_ord", "child_id", "parent_id", "score", "coverage", "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -72,16 +74,23 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_topk(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, deal: int = 64) -> DataFrame:
     """query_id, vec_id, grp, score, rank: the best k vectors of each query in its group, exactly.
 
-    vectors: vec_id, grp, embedding; asked: query_id, grp, query (one row for each group of a query).
-    The group is the join key; a query set is small beside the vectors.
+    vectors: vec_id, grp, embedding; asked: query_id, grp, query (one row for each group of a query). A counted query side is
+    broadcast to the vectors where they lie; a larger one is repeated for each of ``deal`` parts of the vectors, so that
+    a group is no single task. Each part keeps its best k before they meet.
     """
-    met = vectors.join(asked, "grp").filter("vec_id <> query_id")
-    scored = met.select("query_id", "vec_id", "grp", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id", "grp").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    n = asked.count()
+    if n * 8 <= QUERY_ROWS:
+        met = vectors.join(asked.hint("broadcast"), "grp")
+    else:
+        parts = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("_p"))
+        met = vectors.withColumn("_p", F.pmod(F.xxhash64("vec_id"), F.lit(deal)).cast("int")).join(parts.hint("merge"), ["grp", "_p"]).drop("_p")
+    scored = met.filter("vec_id <> query_id").select("query_id", "vec_id", "grp", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"), F.pmod(F.xxhash64("vec_id"), F.lit(deal)).alias("_p"))
+    order = [F.desc("score"), F.col("vec_id")]
+    first = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "grp", "_p").orderBy(*order))).filter(F.col("rank") <= k).drop("rank", "_p")
+    return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "grp").orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def rrf_fuse(dense: DataFrame, lexical: DataFrame) -> DataFrame:
@@ -96,7 +105,7 @@ def rrf_fuse(dense: DataFrame, lexical: DataFrame) -> DataFrame:
 
 def rrf_expansions(fused: DataFrame, expansion: DataFrame) -> DataFrame:
     """Children that only expansion queries found, with the best of their discounted reciprocal ranks."""
-    fresh = expansion.join(fused.select("question_id", "child_id"), ["question_id", "child_id"], "left_anti")
+    fresh = expansion.join(fused.select("question_id", "child_id").hint("merge"), ["question_id", "child_id"], "left_anti")
     return fresh.groupBy("question_id", "child_id", "parent_id").agg(F.min("grp_ord").alias("grp_ord"), F.round(F.max(EXPANSION / (RRF + F.col("rank"))), 12).alias("rrf"))
 
 
@@ -156,7 +165,7 @@ def context_pack(blocks: DataFrame, budget: int = 48_000) -> DataFrame:
 
 def parent_texts(parents: DataFrame, texts: DataFrame) -> DataFrame:
     """parents with their text, null where a parent is missing."""
-    return parents.join(texts, "parent_id", "left")
+    return parents.join(texts.hint("merge"), "parent_id", "left")
 
 
 def followup_query(history: DataFrame, limit: int = 800) -> DataFrame:
@@ -179,25 +188,25 @@ def history_window(history: DataFrame, turns: int = 4, limit: int = 1200) -> Dat
 
 
 def _dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors stand in for children: a question's vector is that of its number, its groups are two labels."""
+    """Every hundredth vector asks all vectors of two labels, its own and another."""
     v = V.vectors(spark, sf_dir)
-    asked = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(F.array(F.col("grp"), (F.col("grp") + 3) % 10)).alias("grp"))
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(F.array(F.col("grp"), (F.col("grp") + 3) % 10)).alias("grp"))
     return dense_topk(v, asked, 24)
 
 
-def _lexical(spark: SparkSession, sf_dir: str, total: int = CANDIDATES) -> DataFrame:
-    return bm25_topk(V.chunks(spark, sf_dir), V.questions(spark, sf_dir), V.question_groups(spark, sf_dir), total)
+def _scored(spark: SparkSession, sf_dir: str, questions: DataFrame | None = None) -> DataFrame:
+    return written(bm25_scores(V.chunks(spark, sf_dir), V.questions(spark, sf_dir) if questions is None else questions, V.question_groups(spark, sf_dir)), "scored")
 
 
-def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second ranking of the same children, by coverage: what a dense search would give."""
-    scored = bm25_scores(V.chunks(spark, sf_dir), V.questions(spark, sf_dir), V.question_groups(spark, sf_dir))
-    again = scored.select("question_id", "grp_ord", "child_id", "parent_id", F.round(F.col("coverage"), 6).alias("score"))
-    return top_hits(again, F.lit(24))
+def _lexical(spark: SparkSession, sf_dir: str, total: int = CANDIDATES) -> DataFrame:
+    return bm25_topk(_scored(spark, sf_dir), V.question_groups(spark, sf_dir), total)
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rrf_fuse(_second(spark, sf_dir), _lexical(spark, sf_dir))
+    """The lexical ranking fused with a second one of the same scored children, by coverage: the tables have no vectors of the chunks."""
+    scored = _scored(spark, sf_dir)
+    again = scored.select("question_id", "grp_ord", "child_id", "parent_id", F.round(F.col("coverage"), 6).alias("score"))
+    return written(rrf_fuse(top_hits(again, F.lit(24)), bm25_topk(scored, V.question_groups(spark, sf_dir))), "fused")
 
 
 _HIT = ("question_id", "grp_ord", "child_id", "parent_id")
@@ -218,7 +227,7 @@ def q_rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rrf_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expansion asks with another item's words, so that it finds other children."""
     shifted = V.questions(spark, sf_dir).select((F.col("question_id") + 1).alias("question_id"), "text")
-    found = bm25_topk(V.chunks(spark, sf_dir), shifted, V.question_groups(spark, sf_dir), 16)
+    found = bm25_topk(_scored(spark, sf_dir, shifted), V.question_groups(spark, sf_dir), 16)
     return rrf_expansions(_fused(spark, sf_dir), found).select(*_HIT, F.round("rrf", 9).alias("rrf"))
 
 
@@ -243,7 +252,7 @@ def q_parent_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = q_parent_select(spark, sf_dir)
     size = V.chunks(spark, sf_dir).groupBy("parent_id").agg(F.sum(F.length("text")).alias("n_chars"))
-    return chosen.join(size, "parent_id")
+    return chosen.join(size.hint("merge"), "parent_id")
 
 
 def q_context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +262,7 @@ def q_context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_parent_child_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = V.chunks(spark, sf_dir).groupBy("parent_id").agg(F.count("*").alias("children"))
     hits = _lexical(spark, sf_dir)
-    return hits.join(size, "parent_id").select("question_id", "grp_ord", "child_id", "parent_id", "children")
+    return hits.join(size.hint("merge"), "parent_id").select("question_id", "grp_ord", "child_id", "parent_id", "children")
 
 
 def q_parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,8 +274,10 @@ def q_parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, g = V.chunks(spark, sf_dir), V.question_groups(spark, sf_dir)
-    return g.join(c, in_scope(g, c)).groupBy("question_id", "grp_ord").agg(F.count("*").alias("chunks"))
+    """Chunks are counted by company and type before the groups meet them."""
+    c = V.chunks(spark, sf_dir).groupBy("ticker", "doc_type").agg(F.count("*").alias("n"))
+    g = V.question_groups(spark, sf_dir)
+    return g.join(c.hint("merge"), in_scope(g, c)).groupBy("question_id", "grp_ord").agg(F.sum("n").alias("chunks"))
 
 
 def q_chunk_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +348,7 @@ QUERIES = {
 }
 ORACLES = {
     "bm25_topk": _BASE + " SELECT question_id, grp_ord, child_id, parent_id, round(score, 6) AS score, round(coverage, 6) AS coverage, rank FROM lex",
-    "dense_topk": V.with_views("vectors") + ", q AS (SELECT vec_id AS query_id, embedding AS query, unnest([grp, (grp + 3) % 10]) AS grp FROM vectors WHERE vec_id < 10), s AS (SELECT query_id, vec_id, v.grp AS grp, round(list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]), 6) AS score FROM vectors v JOIN q ON v.grp = q.grp WHERE vec_id <> query_id) SELECT query_id, vec_id, grp, score, row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 24",
+    "dense_topk": V.with_views("vectors") + ", q AS (SELECT vec_id AS query_id, embedding AS query, unnest([grp, (grp + 3) % 10]) AS grp FROM vectors WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, v.grp AS grp, round(list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]), 6) AS score FROM vectors v JOIN q ON v.grp = q.grp WHERE vec_id <> query_id) SELECT query_id, vec_id, grp, score, row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 24",
     "rrf_fuse": _FUSED + " SELECT question_id, grp_ord, child_id, parent_id, round(fused, 6) AS fused, round(dense, 6) AS dense, round(coverage, 6) AS coverage FROM fused",
     "rrf_expansions": _FUSED + ", shifted AS (SELECT question_id + 1 AS question_id, text FROM questions)," + _bm25("shifted", "2") + ",\n" + _top("2", 16) + f" SELECT question_id, child_id, parent_id, min(grp_ord) AS grp_ord, round(round(max({EXPANSION}::DOUBLE / ({RRF} + rank)), 12), 9) AS rrf FROM lex2 ANTI JOIN fused USING (question_id, child_id) GROUP BY question_id, child_id, parent_id",
     "threshold_accept": _FUSED + ",\n" + _accept(0.5) + " SELECT question_id, grp_ord, child_id, parent_id, accepted FROM acc",

@@ -23,9 +23,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words of each benchmark item."""
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), 1)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(words, 1, 12), " ").alias("text"))
+    """The benchmark items, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def question_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +135,7 @@ def _starts(n: str, size: str, over: str) -> str:
 
 SQL = {
     "segments": "segments AS (SELECT doc_id, source AS ticker, lang AS doc_type, coalesce(text, '') AS text FROM documents)",
-    "questions": r"questions AS (SELECT item_id AS question_id, array_to_string((regexp_extract_all(coalesce(text, ''), '(\S+)', 1))[1:12], ' ') AS text FROM benchmark)",
+    "questions": "questions AS (SELECT item_id AS question_id, coalesce(text, '') AS text FROM benchmark)",
     "question_groups": "question_groups AS (SELECT item_id AS question_id, grp_ord, 'src' || ((item_id * m + 3 * grp_ord) % 20) AS ticker, CASE WHEN item_id % 4 = 0 THEN 'en' END AS doc_type FROM benchmark, (VALUES (0, 7), (1, 11)) v(grp_ord, m))",
     "vectors": "vectors AS (SELECT vec_id, label AS grp, embedding FROM embeddings)",
     "history": "history AS (SELECT conv_id, turn, role, coalesce(text, '') AS content FROM conversations)",

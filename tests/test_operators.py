@@ -13,7 +13,7 @@ def test_bm25_counts_coverage(spark):
     chunks = spark.createDataFrame([("a", "p1", "The CET1 ratio rose.", "JPM", "10-K"), ("b", "p2", "Nothing here.", "JPM", "10-K"), ("c", "p3", "CET1 elsewhere", "BAC", "10-K")], "child_id string, parent_id string, text string, ticker string, doc_type string")
     q = spark.createDataFrame([(1, "CET1")], "question_id long, text string")
     g = spark.createDataFrame([(1, 0, "JPM", None)], "question_id long, grp_ord int, ticker string, doc_type string")
-    assert rows(retrieval.bm25_topk(chunks, q, g), "child_id", "coverage", "rank") == [("a", 1.0, 1)]
+    assert rows(retrieval.bm25_topk(retrieval.bm25_scores(chunks, q, g), g), "child_id", "coverage", "rank") == [("a", 1.0, 1)]
 
 
 def test_context_pack_skips_what_does_not_fit(spark):
@@ -91,7 +91,8 @@ def test_near_duplicates_brute(spark):
     texts = [" ".join(base), " ".join(base[:-1] + ["z"]), " ".join(base), " ".join(base[:30]), "a b", "a b"]
     grams = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
     want = [(a, b) for a in (0, 1, 3) for b in (0, 1, 3) if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.92]
-    assert rows(joins.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text"), "a", "b") == want
+    pairs, members = joins.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    assert rows(pairs, "a", "b") == want and members.count() == len(texts)
 
 
 def test_catalog_errors():
