@@ -43,7 +43,7 @@ def grams(tokens_: Column, width: int = 3) -> Column:
     """The set of runs of width words; fewer words give one gram, none give none."""
 
     def of(t: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.array_join(F.slice(t, i, width), " "))
+        runs = F.transform(F.sequence(F.lit(0), F.size(t) - width), lambda i: F.concat_ws(" ", *[F.get(t, i + j) for j in range(width)]))
         return F.when(F.size(t) >= width, F.array_distinct(runs)).when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
 
     return let(tokens_, of)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.sources import views as V
+from factloom.sources.shared import hinted, written
 
 #: Prices of a million tokens, the priced model, the policy's limits and the split's shares.
 PRICE_INPUT, PRICE_CACHED, PRICE_OUTPUT, PRICED = 0.15, 0.075, 0.60, "gpt-4o-mini"
@@ -104,23 +105,38 @@ def regression_report(cases: DataFrame) -> DataFrame:
 
 
 def balanced_take(rows: DataFrame, bucket: str, order: str, limit: int) -> DataFrame:
-    """Round-robin over buckets, in order within each, to a limit (the feature: a balanced sample)."""
+    """Round-robin over buckets, in order within each, to a limit (the feature: a balanced sample). No bucket gives more than the limit, so each part of the table passes on so many rows of it at most."""
     turn = F.row_number().over(W.partitionBy(bucket).orderBy(order))
-    return rows.withColumn("turn", turn).orderBy("turn", bucket).limit(limit)
+    return rows.withColumn("turn", turn).filter(F.col("turn") <= limit).orderBy("turn", bucket).limit(limit)
 
 
 def hash_of(column: str) -> Column:
     return F.sha2(F.col(column).cast("string"), 256)
 
 
+def ranked_by_hash(rows: DataFrame, id_col: str, type_col: str) -> DataFrame:
+    """rows with _r, the place of each in its type by the hash of its id.
+
+    Rows are ranked within a type and the first three digits of the hash, and the counts of the digits before are added, so that
+    a common type is 4,096 groups and not one.
+    """
+    h = rows.withColumn("_h", hash_of(id_col)).withColumn("_b", F.substring("_h", 1, 3))
+    counts = h.groupBy(F.col(type_col).alias("_t"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_t").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = written(counts.select("_t", "_c", before.alias("_before")), "offsets")
+    near = h.withColumn("_r", F.row_number().over(W.partitionBy(type_col, "_b").orderBy("_h")))
+    met = near.join(hinted(offsets, offsets.count(), 200_000), F.col(type_col).eqNullSafe(F.col("_t")) & (F.col("_b") == F.col("_c")))
+    return met.select(*rows.columns, (F.col("_r") + F.col("_before")).alias("_r"))
+
+
 def cap_dataset(rows: DataFrame, id_col: str, type_col: str, maximum: int) -> DataFrame:
     """At most maximum rows: as if the most common type (ties: first by name) lost its largest hash again and again."""
     rank = F.row_number().over(W.partitionBy(type_col).orderBy(hash_of(id_col)))
-    return rows.withColumn("_r", rank).orderBy(F.col("_r"), F.desc(type_col)).limit(maximum).drop("_r")
+    return rows.withColumn("_r", rank).filter(F.col("_r") <= maximum).orderBy(F.col("_r"), F.desc(type_col)).limit(maximum).drop("_r")
 
 
 def balance_types(rows: DataFrame, id_col: str, type_col: str, max_share: float = MAX_SHARE) -> DataFrame:
-    """Rows of the largest type go, largest hash first, until no type has more than max_share.
+    """Rows of the largest type (ties: the first by name, null before all) go, largest hash first, until no type has more than max_share.
 
     The loop runs over the table of counts alone, one row a type.
     """
@@ -129,13 +145,14 @@ def balance_types(rows: DataFrame, id_col: str, type_col: str, max_share: float
     counts = {r[0]: r[1] for r in rows.groupBy(type_col).count().collect()}  # one row a type
     while counts:
         total = sum(counts.values())
-        kind = min(counts, key=lambda k: (-counts[k], k))
+        kind = min(counts, key=lambda k: (-counts[k], k is not None, k or ""))
         if counts[kind] <= max_share * total or len([k for k in counts if counts[k]]) == 1:
             break
         counts[kind] -= max(1, math.ceil((counts[kind] - max_share * total) / (1 - max_share)))
-    keep = F.element_at(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, v)]), F.col(type_col)) if counts else F.lit(0)
-    rank = F.row_number().over(W.partitionBy(type_col).orderBy(hash_of(id_col)))
-    return rows.withColumn("_r", rank).filter(F.col("_r") <= keep).drop("_r")
+    keep = F.lit(0)
+    for kind, n in counts.items():
+        keep = F.when(F.col(type_col).eqNullSafe(F.lit(kind)), F.lit(n)).otherwise(keep)
+    return ranked_by_hash(rows, id_col, type_col).filter(F.col("_r") <= keep).drop("_r")
 
 
 def split_of(group: Column, eligible: Column, reserved: Column) -> Column:
@@ -283,15 +300,15 @@ def q_text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = T.grams(T.words(F.col("text")))
-    return V.segments(spark, sf_dir).select("doc_id", F.size(g).cast("long").alias("n"), F.sha2(F.array_join(F.array_sort(g), "|"), 256).alias("grams_sha256"))
+    g = V.segments(spark, sf_dir).select("doc_id", F.array_sort(T.grams(T.words(F.col("text")))).alias("g"))
+    return g.select("doc_id", F.size("g").cast("long").alias("n"), F.sha2(F.array_join("g", "|"), 256).alias("grams_sha256"))
 
 
 def q_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's trigrams against those of the document with the next number."""
     d = V.segments(spark, sf_dir).select("doc_id", T.grams(T.words(F.col("text"))).alias("g"))
     after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
-    return d.join(after, "doc_id").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 9).alias("jaccard"))
+    return d.join(after.hint("merge"), "doc_id").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 9).alias("jaccard"))
 
 
 def q_stable_key(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,9 +47,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training examples: example_id, group_id, question, query_type, review_status, benchmark_overlap."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    first = F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^\n]*)", 1)
     return d.join(labels, "doc_id").select(
-        F.col("doc_id").alias("example_id"), F.col("source").alias("group_id"), first.alias("question"), F.col("lang").alias("query_type"),
+        F.col("doc_id").alias("example_id"), F.col("source").alias("group_id"), F.coalesce("text", F.lit("")).alias("question"), F.col("lang").alias("query_type"),
         F.when(F.col("quality") == 1, "approved").otherwise("pending").alias("review_status"), (F.col("doc_id") % 50 == 0).alias("benchmark_overlap"),
     )
 
@@ -139,7 +138,7 @@ SQL = {
     "question_groups": "question_groups AS (SELECT item_id AS question_id, grp_ord, 'src' || ((item_id * m + 3 * grp_ord) % 20) AS ticker, CASE WHEN item_id % 4 = 0 THEN 'en' END AS doc_type FROM benchmark, (VALUES (0, 7), (1, 11)) v(grp_ord, m))",
     "vectors": "vectors AS (SELECT vec_id, label AS grp, embedding FROM embeddings)",
     "history": "history AS (SELECT conv_id, turn, role, coalesce(text, '') AS content FROM conversations)",
-    "examples": r"examples AS (SELECT doc_id AS example_id, source AS group_id, regexp_extract(coalesce(text, ''), '^([^\n]*)', 1) AS question, lang AS query_type, CASE WHEN quality = 1 THEN 'approved' ELSE 'pending' END AS review_status, doc_id % 50 = 0 AS benchmark_overlap FROM documents JOIN labels USING (doc_id))",
+    "examples": r"examples AS (SELECT doc_id AS example_id, source AS group_id, coalesce(text, '') AS question, lang AS query_type, CASE WHEN quality = 1 THEN 'approved' ELSE 'pending' END AS review_status, doc_id % 50 = 0 AS benchmark_overlap FROM documents JOIN labels USING (doc_id))",
     "eval_rows": "eval_rows AS (SELECT doc_id AS id, CASE WHEN toxic = 0 THEN 'answered' ELSE 'refused' END AS decision, CASE WHEN doc_id % 37 = 0 THEN 'timeout' END AS error, quality = 1 AS scope_match, "
     + ", ".join(f"CASE WHEN (n_chars + {i}) % 7 <> 0 THEN ((n_chars * {m} + {i}) % 101) / 100.0 END::DOUBLE AS {name}" for i, (m, name) in enumerate(zip((3, 5, 7, 11, 13), METRICS, strict=True)))
     + " FROM documents JOIN labels USING (doc_id))",
