@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators import answers, calculations, datasets, documents, evidence, joins, retrieval, tables
+from factloom.sources import files
 from factloom.streaming import logs
 
-_MODULES: tuple = (retrieval, calculations, datasets, joins, documents, answers, tables, evidence, logs)
+_MODULES: tuple = (retrieval, calculations, datasets, joins, documents, answers, tables, evidence, files, logs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
