@@ -43,7 +43,7 @@ def citation_check(answers: DataFrame) -> DataFrame:
 def citation_expand(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """answer_id, labels: the label of each cited source once, in order of first use."""
     used = answers.select("answer_id", F.posexplode(F.array_distinct(F.regexp_extract_all(normal_citations(F.col("answer")), F.lit(r"\[(S[1-9]\d*)\]"), 1))).alias("pos", "source_id"))
-    met = used.join(sources, ["answer_id", "source_id"])
+    met = used.join(sources.hint("merge"), ["answer_id", "source_id"])
     return met.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), "; ").alias("labels"))
 
 
@@ -71,7 +71,7 @@ def table_check(answers: DataFrame) -> DataFrame:
     )
     faults = rows.withColumn("_w", why).filter("_w is not null").select("answer_id", F.struct(F.lit(1).alias("at"), F.col("n").alias("n"), F.col("_w").alias("why")).alias("f"))
     first = broken.unionByName(faults).groupBy("answer_id").agg(F.min("f").alias("f"))
-    return answers.select("answer_id", whole.alias("_whole")).join(first, "answer_id", "left").select("answer_id", F.coalesce("_whole", F.col("f.why")).alias("reason"))
+    return answers.select("answer_id", whole.alias("_whole")).join(first.hint("merge"), "answer_id", "left").select("answer_id", F.coalesce("_whole", F.col("f.why")).alias("reason"))
 
 
 def bullet_check(answers: DataFrame) -> DataFrame:
@@ -188,14 +188,14 @@ def validate_dataset(examples: DataFrame, split: Column) -> DataFrame:
 def review_apply(examples: DataFrame, reviews: DataFrame) -> DataFrame:
     """example_id, status, reason: a known, single review changes the status; approval needs no overlap, a reviewer and a zoned time."""
     n = reviews.groupBy("example_id").agg(F.count("*").alias("n"), F.min("status").alias("new"), F.min("reviewer").alias("reviewer"), F.min("at").alias("at"))
-    met = examples.join(n, "example_id", "left")
+    met = examples.join(n.hint("merge"), "example_id", "left")
     reason = F.when(F.col("n") > 1, "duplicate review").when((F.col("new") == "approved") & F.col("benchmark_overlap"), "overlap").when((F.col("new") == "approved") & F.col("reviewer").isNull(), "no reviewer").when((F.col("new") == "approved") & T.zoned_timestamp(F.col("at")).isNull(), "no zoned time")
     return met.select("example_id", F.when(F.col("n").isNotNull() & reason.isNull(), F.col("new")).otherwise(F.col("review_status")).alias("status"), reason.alias("reason"))
 
 
 def ai_review_gate(examples: DataFrame, decisions: DataFrame, least: float = 0.90) -> DataFrame:
     """example_id, status: overlap is rejected, checked by rule is approved, a model's decision counts from a confidence of 0.90."""
-    met = examples.join(decisions, "example_id", "left")
+    met = examples.join(decisions.hint("merge"), "example_id", "left")
     return met.select("example_id", F.when(F.col("benchmark_overlap"), "rejected").when(F.col("deterministic"), "approved").when(F.coalesce("confidence", F.lit(0.0)) < least, "needs_edit").otherwise(F.col("decision")).alias("status"))
 
 

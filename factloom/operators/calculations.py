@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.sources import views as V
+from factloom.sources.shared import written
 
 #: Scale names and multipliers; operations of two facts and of one.
 SCALES = {"ones": 1, "thousands": 1_000, "millions": 1_000_000, "billions": 1_000_000_000}
@@ -159,7 +160,7 @@ def calculate(requests: DataFrame, facts: DataFrame) -> DataFrame:
     known = facts.select("fact_id", "ticker", series(F.col("metric")).alias("series"), "base_value", "value_type", "currency", F.coalesce("scale", F.lit("ones")).alias("scale"), F.lower("basis").alias("basis"), multiplier.alias("m"))
     known = known.withColumn("kind", F.concat_ws(":", "value_type", F.when(F.col("value_type").isin("currency", "per_share"), F.col("currency"))))
     given = requests.select("request_id", "operation", "periods", F.size("inputs").alias("n"), (F.size(F.array_distinct("inputs")) < F.size("inputs")).alias("repeated"), F.posexplode_outer("inputs").alias("pos", "fact_id"))
-    met = given.join(known, "fact_id", "left")
+    met = given.join(known.hint("merge"), "fact_id", "left")
     at = lambda i, c: F.max(F.when(F.col("pos") == i, F.col(c)))
     dimensional = F.col("value_type").isin("currency", "count", "per_share", "basis_points")
     one = met.groupBy("request_id", "operation", "periods", "n", "repeated").agg(
@@ -223,19 +224,19 @@ def calculate(requests: DataFrame, facts: DataFrame) -> DataFrame:
 _SCALE_OF = {"total_revenue": "thousands", "cost_of_revenue": "thousands", "total_assets": "millions", "current_assets": "thousands"}
 
 
-def catalogued_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table with ids, types, currencies and scales."""
+def catalogued_facts(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+    """The fact table (facts, if it is there already) with ids, types, currencies and scales."""
     scale = F.when(F.col("metric").isin("total_revenue", "cost_of_revenue", "current_assets"), "thousands").when(F.col("metric") == "total_assets", "millions").otherwise("ones")
-    f = V.facts(spark, sf_dir)
+    f = V.facts(spark, sf_dir) if facts is None else facts
     return f.select(
         F.concat_ws(":", "ticker", "metric", F.col("fiscal_year").cast("string")).alias("fact_id"), "ticker", "metric", "fiscal_year", "base_value", F.col("unit").alias("value_type"),
         F.when(F.col("unit").isin("currency", "per_share"), "USD").alias("currency"), scale.alias("scale"), F.when(F.col("fiscal_year") == 2001, "GAAP").when(F.col("fiscal_year") == 2000, "non-GAAP").alias("basis"),
     )
 
 
-def calc_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calc_requests(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Requests over the fact table: each operation over consecutive years or over metrics of a year, good and bad."""
-    f = V.facts(spark, sf_dir).select("ticker", "metric", "fiscal_year")
+    f = (V.facts(spark, sf_dir) if facts is None else facts).select("ticker", "metric", "fiscal_year")
     key = lambda t, m, y: F.concat_ws(":", t, m, y.cast("string"))
     t, m, y = F.col("ticker"), F.col("metric"), F.col("fiscal_year")
     temporal = f.filter("fiscal_year < 2001").select(
@@ -291,7 +292,8 @@ SELECT request_id, operation, result, result_unit, scale, reason FROM calc WHERE
 
 def _calc(where: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return calculate(calc_requests(spark, sf_dir), catalogued_facts(spark, sf_dir)).filter(where)
+        facts = written(V.facts(spark, sf_dir), "facts")  # five tables meet once
+        return calculate(calc_requests(spark, sf_dir, facts), catalogued_facts(spark, sf_dir, facts)).filter(where)
 
     return query
 

@@ -57,7 +57,7 @@ def policy_check(examples: DataFrame, group_of: Column, required: tuple[str, ...
         F.struct(F.lit("largest_share").alias("check"), F.round(F.col("largest") / F.nullif(F.col("total"), F.lit(0)), 6).alias("value"), F.lit(max_share).alias("limit"), (F.col("largest") <= F.col("total") * max_share).alias("passed")),
     )).alias("x")).select("x.*")
     wanted = examples.sparkSession.createDataFrame([(g,) for g in required], "g string")
-    each = wanted.join(counts, "g", "left").select(F.concat(F.lit("group:"), "g").alias("check"), F.coalesce("n", F.lit(0)).cast("double").alias("value"), F.lit(float(least)).alias("limit"), (F.coalesce("n", F.lit(0)) >= least).alias("passed"))
+    each = wanted.join(counts.hint("merge"), "g", "left").select(F.concat(F.lit("group:"), "g").alias("check"), F.coalesce("n", F.lit(0)).cast("double").alias("value"), F.lit(float(least)).alias("limit"), (F.coalesce("n", F.lit(0)) >= least).alias("passed"))
     return overall.unionByName(each)
 
 
@@ -274,7 +274,7 @@ def q_set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that each benchmark item shares with the item after it."""
     q = V.questions(spark, sf_dir).select("question_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
     after = q.select((F.col("question_id") - 1).alias("question_id"), F.col("terms").alias("other"))
-    return q.join(after, "question_id").select("question_id", F.size(F.array_intersect("terms", "other")).cast("long").alias("shared"), F.arrays_overlap("terms", "other").alias("any"))
+    return q.join(after.hint("merge"), "question_id").select("question_id", F.size(F.array_intersect("terms", "other")).cast("long").alias("shared"), F.arrays_overlap("terms", "other").alias("any"))
 
 
 def q_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

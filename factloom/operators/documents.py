@@ -116,7 +116,7 @@ def turn_metadata(turns: DataFrame) -> DataFrame:
     listed = firsts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "speaker", "role"))).alias("s"))
     section = turns.groupBy("doc_id").agg(F.min_by("section", "pos").alias("section"), F.count("*").alias("turns"))
     one = F.size("s") == 1
-    return section.join(listed, "doc_id", "left").select("doc_id", "section", "turns", F.array_join(F.transform("s", lambda x: x["speaker"]), ", ").alias("speakers"), F.when(one, F.get("s", F.lit(0))["speaker"]).alias("speaker"), F.when(one, F.get("s", F.lit(0))["role"]).alias("role"))
+    return section.join(listed.hint("merge"), "doc_id", "left").select("doc_id", "section", "turns", F.array_join(F.transform("s", lambda x: x["speaker"]), ", ").alias("speakers"), F.when(one, F.get("s", F.lit(0))["speaker"]).alias("speaker"), F.when(one, F.get("s", F.lit(0))["role"]).alias("role"))
 
 
 def block_split(lines: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def compress_context(blocks: DataFrame, terms: DataFrame, keep: int = 6) -> Data
     terms: doc_id, terms (array). A document of at most ``keep`` blocks, without terms or without a match is kept whole.
     """
     doc, line = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("block")
-    met = blocks.join(terms, "doc_id", "left").withColumn("_overlap", F.coalesce(F.size(F.array_intersect(F.array_distinct(T.tokens(F.col("text"))), "terms")), F.lit(0)))
+    met = blocks.join(terms.hint("merge"), "doc_id", "left").withColumn("_overlap", F.coalesce(F.size(F.array_intersect(F.array_distinct(T.tokens(F.col("text"))), "terms")), F.lit(0)))
     met = met.withColumns({"_n": F.count("*").over(doc), "_best": F.max("_overlap").over(doc), "_rank": F.row_number().over(doc.orderBy(F.desc("_overlap"), "block"))})
     whole = (F.col("_n") <= keep) | F.coalesce(F.size("terms") <= 0, F.lit(True)) | (F.col("_best") <= 0)
     picked = met.withColumn("_whole", whole).withColumn("_pick", ((F.col("_rank") <= keep) & (F.col("_overlap") > 0)).cast("int"))

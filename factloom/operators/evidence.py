@@ -38,7 +38,7 @@ def fact_rejects(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """
     n = sources.groupBy("source_id").agg(F.count("*").alias("_n"))
     alone = sources.join(n.filter("_n = 1"), "source_id", "left_semi").select("source_id", F.col("ticker").alias("_ticker"), "in_scope", shown(F.col("text")).alias("_t"))
-    met = facts.join(n, "source_id", "left").join(alone, "source_id", "left").withColumns({"_f": F.lower("_t"), "_e": folded(F.col("excerpt"))})
+    met = facts.join(n.hint("merge"), "source_id", "left").join(alone.hint("merge"), "source_id", "left").withColumns({"_f": F.lower("_t"), "_e": folded(F.col("excerpt"))})
     met = met.withColumns({"_et": F.regexp_extract_all("_e", F.lit(TOKEN), 1), "_st": F.array_distinct(F.regexp_extract_all("_f", F.lit(TOKEN), 1))})
     compact = lambda c: F.lower(F.regexp_replace(c, r"[\s,$€£¥]", ""))
     here = lambda t: F.array_contains("_st", t)
@@ -63,7 +63,7 @@ def change_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     number = lambda c: c.cast("decimal(18,6)")
     said = evidence.join(answers.select("answer_id", "metric"), "answer_id").select("answer_id", F.explode(F.regexp_extract_all("text", pattern, 1)).alias("p"))
     known = said.groupBy("answer_id").agg(F.min(number(F.col("p"))).alias("_e"), F.max(number(F.col("p"))).alias("_m")).filter("_e = _m")
-    met = answers.join(known, "answer_id", "left").withColumn("_c", F.transform(F.regexp_extract_all("answer", pattern, 1), number))
+    met = answers.join(known.hint("merge"), "answer_id", "left").withColumn("_c", F.transform(F.regexp_extract_all("answer", pattern, 1), number))
     wrong = F.exists("_c", lambda c: c != F.col("_e"))
     reason = F.when(F.col("_e").isNull(), "change_inconclusive").when(wrong, F.concat(F.lit("change_mismatch:"), F.col("_e").cast("string"), F.lit("%"))).when(F.size("_c") > 0, "change_verified").otherwise("change_unstated")
     return met.select("answer_id", (~reason.startswith("change_mismatch")).alias("valid"), reason.alias("reason"))
@@ -87,11 +87,11 @@ def reported_amount_check(answers: DataFrame, rows: DataFrame) -> DataFrame:
     slack = lambda m: F.when(F.contains(F.lower(m), F.lit("billion")), (F.lit(500.0) / F.pow(F.lit(10.0), places(m))).cast("decimal(24,6)")).otherwise(F.lit(0).cast("decimal(24,6)"))
     claims = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(MONEY), 1), lambda m: F.struct(_amount(m).alias("v"), slack(m).alias("s")))
     told = answers.select("answer_id", claims.alias("_c"), F.coalesce("cited", F.array().cast("array<string>")).alias("cited"))
-    met = rows.withColumn("_v", _amount(F.concat_ws(" ", "value", "scale"))).join(told, "answer_id")
+    met = rows.withColumn("_v", _amount(F.concat_ws(" ", "value", "scale"))).join(told.hint("merge"), "answer_id")
     fault = F.when(~F.exists("_c", lambda c: F.abs(c["v"] - F.col("_v")) <= c["s"]), F.concat(F.lit("reported_value_missing_or_wrong:"), "label")).when(~F.array_contains("cited", F.col("source_id")), F.concat(F.lit("reported_value_source_not_cited:"), "label"))
     first = met.groupBy("answer_id").agg(F.min(F.when(fault.isNotNull(), F.struct("ord", fault.alias("why")))).alias("f"), F.collect_set("_v").alias("_vs"))
     other = F.exists("_c", lambda c: ~F.exists("_vs", lambda v: F.abs(c["v"] - v) <= c["s"]))
-    return told.join(first, "answer_id").select("answer_id", F.coalesce(F.col("f.why"), F.when(other, "unsupported_reported_amount")).alias("reason"))
+    return told.join(first.hint("merge"), "answer_id").select("answer_id", F.coalesce(F.col("f.why"), F.when(other, "unsupported_reported_amount")).alias("reason"))
 
 
 def narrative_coverage(sources: DataFrame) -> DataFrame:
@@ -111,10 +111,10 @@ def transcript_citation_check(answers: DataFrame, sources: DataFrame) -> DataFra
     """
     lines = answers.select("answer_id", F.posexplode(F.split("answer", "\n")).alias("n", "line")).filter(F.lower("line").rlike(SPOKEN))
     own = sources.groupBy("answer_id", "ticker").agg(F.collect_set(F.when(F.upper("doc_type") == "TRANSCRIPT", F.upper("source_id"))).alias("own"))
-    named = lines.join(own, "answer_id").filter(F.expr(r"lower(line) rlike concat('\\b\\Q', lower(ticker), '\\E\\b')"))
+    named = lines.join(own.hint("merge"), "answer_id").filter(F.expr(r"lower(line) rlike concat('\\b\\Q', lower(ticker), '\\E\\b')"))
     cited = F.transform(F.regexp_extract_all("line", F.lit(r"(?i)\[(S\d+)\]"), 1), F.upper)
     bad = named.filter(~F.arrays_overlap(cited, "own")).groupBy("answer_id").agg(F.min(F.struct("n", "ticker")).alias("f"))
-    return answers.select("answer_id").join(bad, "answer_id", "left").select("answer_id", F.coalesce(F.col("f.ticker"), F.lit("")).alias("missing"))
+    return answers.select("answer_id").join(bad.hint("merge"), "answer_id", "left").select("answer_id", F.coalesce(F.col("f.ticker"), F.lit("")).alias("missing"))
 
 
 def quote_repair(claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -125,9 +125,9 @@ def quote_repair(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     cut = F.regexp_replace("quote", r"[ .!?;:,]+$", "")
     bare = F.regexp_replace(cut, r"(?i)^(?:we|management|the company)\s+", "")
     forms = claims.select("claim_id", "request_id", "quote", F.posexplode(F.array(F.col("quote"), cut, bare)).alias("k", "q")).filter((F.col("k") == 0) | (F.length("q") >= 12))
-    found = forms.join(evidence, "request_id").filter(F.contains(T.fold_text(F.col("text")), T.fold_text(F.col("q"))))
+    found = forms.join(evidence.hint("merge"), "request_id").filter(F.contains(T.fold_text(F.col("text")), T.fold_text(F.col("q"))))
     best = found.groupBy("claim_id").agg(F.min(F.struct("k", (-F.col("score")).alias("s"), (-F.col("evidence_id")).alias("e"), "q")).alias("b"))
-    return claims.join(best, "claim_id", "left").select("claim_id", F.coalesce("b.q", "quote").alias("quote"), (-F.col("b.e")).alias("evidence_id"))
+    return claims.join(best.hint("merge"), "claim_id", "left").select("claim_id", F.coalesce("b.q", "quote").alias("quote"), (-F.col("b.e")).alias("evidence_id"))
 
 
 def candidate_errors(candidates: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def primary_statement_filter(sources: DataFrame) -> DataFrame:
     primary = F.contains(F.lower("section"), F.lit(SUPPLEMENT)) & F.col("text").rlike(STATEMENT)
     flagged = sources.select("ask_id", "source_id", F.coalesce(primary, F.lit(False)).alias("_p"))
     some = flagged.groupBy("ask_id").agg(F.max("_p").alias("_any"))
-    return flagged.join(some, "ask_id").filter("_p = _any").select("ask_id", "source_id")
+    return flagged.join(some.hint("merge"), "ask_id").filter("_p = _any").select("ask_id", "source_id")
 
 
 def statement_answer(rows: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def gold_schema_check(records: DataFrame) -> DataFrame:
         F.when(F.col("id").isNull(), "missing id"), F.when(F.col("_n") > 1, "duplicate id"), *[F.when(empty(c), f"missing {c}") for c in ("category", "question", "reference")], *[F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, f"scope.{c} is empty") for c in ("tickers", "years", "doc_types")],
         F.when(F.exists("doc_types", lambda t: ~t.isin("10K", "TRANSCRIPT")), "invalid document types"),
     ))
-    return records.join(n, "id", "left").select("id", F.array_join(errors, ",").alias("errors"))
+    return records.join(n.hint("merge"), "id", "left").select("id", F.array_join(errors, ",").alias("errors"))
 
 
 def gold_export(claims: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def gold_export(claims: DataFrame, reviews: DataFrame) -> DataFrame:
     """
     fine = reviews.filter((F.lower(F.trim("status")) == "approved") & F.col("passed")).select("record_id").distinct()
     key = F.concat_ws("#", "source", "section")
-    each = claims.join(fine, "record_id", "left_semi").groupBy("record_id", key.alias("s")).agg(F.min("evidence_no").alias("n"))
+    each = claims.join(fine.hint("merge"), "record_id", "left_semi").groupBy("record_id", key.alias("s")).agg(F.min("evidence_no").alias("n"))
     return each.groupBy("record_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), ";").alias("sources"))
 
 
@@ -240,7 +240,7 @@ def gen_targeted_table(facts: DataFrame) -> DataFrame:
 
 def gen_calculation(facts: DataFrame, existing: DataFrame) -> DataFrame:
     """ticker, metric, operation, result: of the newest change of each metric, the difference or the percentage in turn; existing ones (ticker, metric) are left out."""
-    fresh = _newest(facts).filter("older <> 0").join(existing, ["ticker", "metric"], "left_anti")
+    fresh = _newest(facts).filter("older <> 0").join(existing.hint("merge"), ["ticker", "metric"], "left_anti")
     turn = F.row_number().over(W.partitionBy("ticker").orderBy("metric")) % 2
     diff = (F.col("base_value") - F.col("older")).cast("decimal(24,2)").cast("double")
     ranked = fresh.withColumns({"_turn": turn, "_d": diff})
@@ -270,13 +270,13 @@ def resolve_scope(asked: DataFrame, available: DataFrame) -> DataFrame:
     loaded = available.distinct()
     any_type = loaded.groupBy("ticker", "year").agg(F.lit("*").alias("doc_type"), F.count("*").alias("kinds"))
     listed = loaded.withColumn("kinds", F.lit(1).cast("long")).unionByName(any_type)
-    there = wanted.join(listed, ["ticker", "year", "doc_type"], "left").groupBy("question_id").agg(F.max(F.col("kinds").isNull()).alias("_lacks"), F.max(F.coalesce("kinds", F.lit(0)) > 1).alias("_both"))
+    there = wanted.join(listed.hint("merge"), ["ticker", "year", "doc_type"], "left").groupBy("question_id").agg(F.max(F.col("kinds").isNull()).alias("_lacks"), F.max(F.coalesce("kinds", F.lit(0)) > 1).alias("_both"))
     decision = (
         F.when(F.col("out_of_scope") | F.col("unsupported") | (~F.col("relevant") & ~F.col("followup") & ~some("q_tickers") & ~some("q_years")), "out_of_scope")
         .when(differ("ui_tickers", "q_tickers") | differ("ui_years", "q_years") | (F.col("ui_type").isNotNull() & some("q_types") & (F.col("q_types") != F.array("ui_type"))), "scope_conflict")
         .when(~some("tickers") | ~some("years"), "clarify").when(F.col("_lacks"), "data_unavailable").when(F.col("performance") & ~some("q_types") & F.col("doc_type").isNull() & F.col("_both"), "clarify_basis").otherwise("search")
     )
-    return s.join(there, "question_id", "left").select("question_id", decision.alias("decision"), F.array_join("tickers", ",").alias("tickers"), F.array_join("years", ",").alias("years"), "doc_type")
+    return s.join(there.hint("merge"), "question_id", "left").select("question_id", decision.alias("decision"), F.array_join("tickers", ",").alias("tickers"), F.array_join("years", ",").alias("years"), "doc_type")
 
 
 # -- queries ------------------------------------------------------------------------------------------

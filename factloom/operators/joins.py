@@ -79,8 +79,8 @@ def merge_inputs(*inputs: DataFrame, key: str) -> DataFrame:
 def missing_sources(groups: DataFrame, available: DataFrame) -> DataFrame:
     """Requested groups that aren't available; one without a type is missing only where no type exists."""
     key = ["ticker", "fiscal_year"]
-    typed = groups.filter("doc_type is not null").join(available, [*key, "doc_type"], "left_anti").select("question_id", *key, "doc_type")
-    untyped = groups.filter("doc_type is null").join(available, key, "left_anti").select("question_id", *key, "doc_type")
+    typed = groups.filter("doc_type is not null").join(available.hint("merge"), [*key, "doc_type"], "left_anti").select("question_id", *key, "doc_type")
+    untyped = groups.filter("doc_type is null").join(available.hint("merge"), key, "left_anti").select("question_id", *key, "doc_type")
     return typed.unionByName(untyped)
 
 
@@ -95,11 +95,11 @@ def ambiguous(available: DataFrame) -> DataFrame:
 
 def nearest_years(mentions: DataFrame, years: DataFrame, reach: int = 28) -> DataFrame:
     """question_id, ticker, year: each company's nearest year mention within reach, where a question's years are all used."""
-    near = mentions.join(years, "question_id").withColumn("gap", F.abs(F.col("at") - F.col("year_at"))).filter(F.col("gap") <= reach)
+    near = mentions.join(years.hint("merge"), "question_id").withColumn("gap", F.abs(F.col("at") - F.col("year_at"))).filter(F.col("gap") <= reach)
     best = near.withColumn("_r", F.row_number().over(W.partitionBy("question_id", "ticker").orderBy("gap", "year"))).filter("_r = 1").select("question_id", "ticker", "year")
     used = best.groupBy("question_id").agg(F.countDistinct("year").alias("used"))
     asked = years.groupBy("question_id").agg(F.countDistinct("year").alias("asked"))
-    return best.join(used.join(asked, "question_id").filter("used = asked").select("question_id"), "question_id", "left_semi")
+    return best.join(used.join(asked.hint("merge"), "question_id").filter("used = asked").select("question_id"), "question_id", "left_semi")
 
 
 # -- similarity -------------------------------------------------------------------------------------
@@ -184,7 +184,7 @@ def benchmark_overlap(texts: DataFrame, gold: DataFrame, facts: DataFrame, gold_
 def stored_against_current(current: DataFrame, stored: DataFrame) -> DataFrame:
     """id, reason of stored reviews that can't be used: unknown id, repeated, or of another version of the row."""
     s = stored.groupBy("id").agg(F.count("*").alias("n"), F.min("row_hash").alias("stored_hash"))
-    met = s.join(current, "id", "left")
+    met = s.join(current.hint("merge"), "id", "left")
     reason = F.when(F.col("row_hash").isNull(), "unknown").when(F.col("n") > 1, "duplicate").when(F.col("row_hash") != F.col("stored_hash"), "stale")
     return met.select("id", reason.alias("reason")).filter("reason is not null")
 
@@ -257,7 +257,7 @@ def q_manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children, parents and vectors (here the documents of even number) by id: those that one side lacks."""
     c = V.chunks(spark, sf_dir).select("doc_id").distinct().withColumn("lexical", F.lit(True))
     v = V.table(spark, sf_dir, "documents").filter("doc_id % 10 <> 3").select("doc_id", F.lit(True).alias("vector"))
-    met = c.join(v, "doc_id", "full_outer").filter("lexical is null or vector is null")
+    met = c.join(v.hint("merge"), "doc_id", "full_outer").filter("lexical is null or vector is null")
     return met.select("doc_id", F.when(F.col("vector").isNull(), "no vector").otherwise("no text").alias("reason"))
 
 
@@ -276,7 +276,7 @@ def q_facts_sources_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items against orders: the mismatch of each item whose order is missing or of another status."""
     line = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus")
     o = V.table(spark, sf_dir, "orders").filter("o_orderkey % 9 <> 0").select("o_orderkey", "o_orderstatus")
-    met = line.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    met = line.join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     reason = F.when(F.col("o_orderkey").isNull(), "unknown source").when(~F.col("o_orderstatus").isin("P") & (F.col("o_orderstatus") != F.col("l_linestatus")), "status mismatch")
     return met.groupBy(reason.alias("reason"), (F.col("l_orderkey") % 100).alias("bucket")).agg(F.count("*").alias("rows"))
 
@@ -284,7 +284,7 @@ def q_facts_sources_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_group_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk's first requested group of each question."""
     c, g = V.chunks(spark, sf_dir), V.question_groups(spark, sf_dir)
-    met = g.join(c, (g["ticker"] == c["ticker"]) & (g["doc_type"].isNull() | (g["doc_type"] == c["doc_type"])))
+    met = g.join(c.hint("merge"), (g["ticker"] == c["ticker"]) & (g["doc_type"].isNull() | (g["doc_type"] == c["doc_type"])))
     return met.groupBy("question_id", "child_id").agg(F.min("grp_ord").alias("grp_ord"))
 
 
@@ -295,12 +295,12 @@ def q_missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_missing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of a comparison without a chunk of 60 words or more."""
     c, g = V.chunks(spark, sf_dir).filter(F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)) >= 60).select("ticker", "doc_type").distinct(), V.question_groups(spark, sf_dir).withColumn("ticker", F.when(F.col("question_id") % 6 == 0, "srcX").otherwise(F.col("ticker")))
-    return g.join(c, (g["ticker"] == c["ticker"]) & (g["doc_type"].isNull() | (g["doc_type"] == c["doc_type"])), "left_anti").select("question_id", "grp_ord", "ticker")
+    return g.join(c.hint("merge"), (g["ticker"] == c["ticker"]) & (g["doc_type"].isNull() | (g["doc_type"] == c["doc_type"])), "left_anti").select("question_id", "grp_ord", "ticker")
 
 
 def q_doc_type_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = ambiguous(available(spark, sf_dir))
-    return asked_scopes(spark, sf_dir).filter("doc_type is null").join(both, ["ticker", "fiscal_year"], "left_semi").select("question_id")
+    return asked_scopes(spark, sf_dir).filter("doc_type is null").join(both.hint("merge"), ["ticker", "fiscal_year"], "left_semi").select("question_id")
 
 
 def q_latest_available(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +326,7 @@ def q_cross_company_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of companies on the same year and metric, and the winner."""
     f = V.facts(spark, sf_dir).filter(F.col("metric").isin("total_revenue", "net_income"))
     a, b = (f.select("fiscal_year", "metric", "unit", F.col("ticker").alias(f"{s}_ticker"), F.col("base_value").alias(f"{s}_value")) for s in ("left", "right"))
-    met = a.join(b, ["fiscal_year", "metric", "unit"]).filter("left_ticker < right_ticker")
+    met = a.join(b.hint("merge"), ["fiscal_year", "metric", "unit"]).filter("left_ticker < right_ticker")
     return met.select("fiscal_year", "metric", "left_ticker", "right_ticker", F.when(F.col("left_value") > F.col("right_value"), F.col("left_ticker")).when(F.col("left_value") < F.col("right_value"), F.col("right_ticker")).alias("winner"))
 
 
@@ -368,7 +368,7 @@ def q_gold_answer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.examples(spark, sf_dir)
     gold = e.select("example_id", F.col("query_type").alias("category"), F.sha2("question", 256).alias("q"))
     saved = e.filter("example_id % 9 <> 0").select("example_id", F.when(F.col("example_id") % 10 == 0, "other").otherwise(F.col("query_type")).alias("c2"), F.when(F.col("example_id") % 4 == 0, "x").otherwise(F.sha2("question", 256)).alias("q2"))
-    met = gold.join(saved, "example_id", "left")
+    met = gold.join(saved.hint("merge"), "example_id", "left")
     differ = F.array_compact(F.array(F.when(F.col("c2").isNull(), "missing"), F.when(F.col("category") != F.col("c2"), "category"), F.when(F.col("q") != F.col("q2"), "question")))
     return met.select("example_id", F.array_join(differ, ",").alias("mismatches"))
 
@@ -385,7 +385,7 @@ def q_question_source_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's expected source against the inventory's for its key."""
     a = asked_scopes(spark, sf_dir).filter("doc_type is not null").withColumn("expected", F.when(F.col("question_id") % 4 == 0, F.concat_ws("_", "ticker", "doc_type")))
     have = available(spark, sf_dir).withColumn("actual", F.concat_ws("_", "ticker", "doc_type"))
-    return a.join(have, ["ticker", "fiscal_year", "doc_type"], "left").select("question_id", F.col("expected").eqNullSafe(F.col("actual")).alias("matches"))
+    return a.join(have.hint("merge"), ["ticker", "fiscal_year", "doc_type"], "left").select("question_id", F.col("expected").eqNullSafe(F.col("actual")).alias("matches"))
 
 
 QUERIES = {k[2:]: f for k, f in dict(globals()).items() if k.startswith("q_")}

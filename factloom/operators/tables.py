@@ -39,9 +39,9 @@ def table_facts(cells: DataFrame, keys: list[str]) -> DataFrame:
     numeric = F.col("value").rlike(r"^[$(]*-?[\d,]*\.?\d+\)?%?$")
     has = body.groupBy(*keys, "row").agg(F.max(numeric).alias("_any"))
     line = W.partitionBy(*keys).orderBy("row")
-    named = label.join(has, [*keys, "row"], "left").withColumn("_g", F.last(F.when(~F.coalesce("_any", F.lit(False)), F.col("label")), True).over(line))
+    named = label.join(has.hint("merge"), [*keys, "row"], "left").withColumn("_g", F.last(F.when(~F.coalesce("_any", F.lit(False)), F.col("label")), True).over(line))
     full = F.when(F.col("_g").isNull(), F.col("label")).otherwise(F.concat("_g", F.lit(" - "), "label"))
-    return body.filter(numeric).join(header, [*keys, "col"]).join(named.filter("_any").select(*keys, "row", full.alias("label")), [*keys, "row"]).filter(F.length("label").between(3, 180)).select(*keys, "label", "period", F.col("value").alias("raw_value"))
+    return body.filter(numeric).join(header.hint("merge"), [*keys, "col"]).join(named.filter("_any").select(*keys, "row", full.alias("label")), [*keys, "row"]).filter(F.length("label").between(3, 180)).select(*keys, "label", "period", F.col("value").alias("raw_value"))
 
 
 def table_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def table_match(tables: DataFrame, asked: DataFrame, keys: list[str]) -> DataFra
 
     tables: keys, doc_id, title, words (array); asked: ask_id, doc_id, terms (array).
     """
-    met = asked.join(tables, "doc_id").filter(F.size(F.array_except("terms", F.array_union("title_terms", "words"))) == 0)
+    met = asked.join(tables.hint("merge"), "doc_id").filter(F.size(F.array_except("terms", F.array_union("title_terms", "words"))) == 0)
     scored = met.withColumn("score", F.round(F.size(F.array_intersect("terms", "title_terms")) / F.greatest(F.lit(1), F.size("title_terms")), 9))
     best = scored.withColumn("_m", F.max("score").over(W.partitionBy("ask_id"))).filter("score = _m")
     return best.groupBy("ask_id").agg(F.count("*").alias("n"), F.min("table_no").alias("table_no")).filter("n = 1").select("ask_id", "table_no")
@@ -92,7 +92,7 @@ def gen_yoy(facts: DataFrame) -> DataFrame:
 def gen_comparison(facts: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """Of each year and pair of companies, the sentence that names the larger."""
     a, b = (facts.filter(F.col("metric").isin(*metrics)).select("fiscal_year", "metric", "unit", F.col("ticker").alias(f"{s}t"), F.col("base_value").alias(f"{s}v")) for s in ("l", "r"))
-    met = a.join(b, ["fiscal_year", "metric", "unit"]).filter("lt < rt and lv <> rv")
+    met = a.join(b.hint("merge"), ["fiscal_year", "metric", "unit"]).filter("lt < rt and lv <> rv")
     win = F.when(F.col("lv") > F.col("rv"), F.col("lt")).otherwise(F.col("rt"))
     return met.select("fiscal_year", "metric", "lt", "rt", F.concat(win, F.lit(" had the higher "), F.replace("metric", F.lit("_"), F.lit(" ")), F.lit(".")).alias("answer"))
 
@@ -233,7 +233,7 @@ def q_narrative_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = V.examples(spark, sf_dir).filter("query_type = 'en' and review_status = 'approved'").join(V.segments(spark, sf_dir).filter(F.length("text") >= 500).select(F.col("doc_id").alias("example_id")), "example_id", "left_semi")
     gold = V.examples(spark, sf_dir).filter("benchmark_overlap").select("example_id")
-    return balanced_take(e.join(gold, "example_id", "left_anti"), "group_id", "example_id", 200).select("example_id", "group_id")
+    return balanced_take(e.join(gold.hint("merge"), "example_id", "left_anti"), "group_id", "example_id", 200).select("example_id", "group_id")
 
 
 def q_ensure_scope_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +266,7 @@ def q_route_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_scope_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested groups that the permitted ones (here: of the sources with a good English document) don't hold."""
     permitted = V.examples(spark, sf_dir).filter("review_status = 'approved' and query_type = 'fr'").select(F.col("group_id").alias("ticker")).distinct()
-    return V.question_groups(spark, sf_dir).join(permitted, "ticker", "left_anti").select("question_id", "grp_ord")
+    return V.question_groups(spark, sf_dir).join(permitted.hint("merge"), "ticker", "left_anti").select("question_id", "grp_ord")
 
 
 def q_merge_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
