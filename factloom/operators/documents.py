@@ -302,6 +302,8 @@ r AS (SELECT *, last_value(CASE WHEN head THEN CASE WHEN title = '' THEN label E
 sec AS (SELECT doc_id, page_no, frag::BIGINT AS frag, CASE WHEN toc THEN 'Table of Contents' ELSE coalesce(s, 'Document') END AS section, CASE WHEN NOT toc THEN i END AS item, (sum(length(text) + 1) - 1)::BIGINT AS n_chars FROM r GROUP BY ALL HAVING sum(length(text) + 1) - 1 >= 40)"""
 _DATES = "pg AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page_no, o_orderkey, o_orderdate FROM orders)"
 _SEGS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_TOKENS = r"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+(?:[.&''-][\p{{L}}\p{{N}}]+)*', 0), lambda t: t NOT IN (" + _STOP + "))"
 ORACLES = {
     "clean_text": f"SELECT page_id, sha256({_CLEAN}) AS clean_sha256 FROM pages",
     "readable_text": f"SELECT page_id, sha256({_READ}) AS readable_sha256 FROM pages",
@@ -313,4 +315,5 @@ ORACLES = {
     "block_split": f"WITH {_LINES}, k AS (SELECT *, CASE WHEN contains(text, '|') THEN 'table' ELSE 'prose' END AS kind FROM raw), c AS (SELECT *, (lag(kind) OVER w IS DISTINCT FROM kind OR coalesce(trim(lag(text) OVER w) = '', false))::INT AS nw FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), g AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS block FROM c) SELECT doc_id, block, min(kind) AS kind, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM g GROUP BY doc_id, block",
     "bounded_excerpt": f"WITH {_LINES}, e AS (SELECT doc_id, text, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS \"end\" FROM raw), s AS (SELECT doc_id, \"end\" - length(text) - 100 AS start, \"end\" FROM e WHERE regexp_matches(lower(text), 'the [a-z]{{9}}')), m AS (SELECT *, max(\"end\") OVER (PARTITION BY doc_id ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s), g AS (SELECT *, sum((far IS NULL OR start > far + 200)::INT) OVER (PARTITION BY doc_id ORDER BY start, \"end\") AS r FROM m) SELECT doc_id, min(start) AS start, max(\"end\") AS \"end\" FROM g GROUP BY doc_id, r",
     "tokenize": V.with_views("segments") + r", t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[.&''-][\p{L}\p{N}]+)*', 0), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")) AS t FROM segments) SELECT doc_id, len(t) AS n, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM t",
+    "compress_context": V.with_views("segments") + ", raw AS (SELECT doc_id, unnest(ls) AS text, unnest(range(0, len(ls))) AS block, ls[-1] AS last FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM segments)), t AS (SELECT doc_id, block, text, list_distinct(" + _TOKENS.format(t="text") + ") AS a, list_distinct(" + _TOKENS.format(t="last") + r") AS b FROM raw), o AS (SELECT *, len(list_intersect(a, b)) AS overlap FROM t), r AS (SELECT *, count(*) OVER d AS n, max(overlap) OVER d AS best, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, block) AS rank FROM o WINDOW d AS (PARTITION BY doc_id)), p AS (SELECT *, n <= 6 OR len(b) = 0 OR best = 0 AS whole, CASE WHEN rank <= 6 AND overlap > 0 THEN 1 ELSE 0 END AS pick FROM r), k AS (SELECT doc_id, whole OR max(pick) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 OR regexp_matches(text, '\d') AS kept FROM p) SELECT doc_id, count(*) AS blocks, count(*) FILTER (WHERE kept) AS kept FROM k GROUP BY doc_id",
 }

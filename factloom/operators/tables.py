@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.datasets import _keys
 from factloom.sources import views as V
 
 TABLE, ROW, CELL = r"(?is)(<table\b.*?</table>)", r"(?is)<tr\b[^>]*>(.*?)</tr>", r"(?is)(<t[hd]\b[^>]*>.*?</t[hd]>)"
@@ -122,8 +123,10 @@ def sft_records(examples: DataFrame) -> DataFrame:
 def gen_refusals(groups: DataFrame, per_category: int) -> DataFrame:
     """Unanswerable questions of five kinds in equal numbers, one a group, kinds in turn."""
     kinds = F.array(*[F.lit(k) for k in ("missing_year", "missing_company", "future", "opinion", "other_document")])
-    ranked = groups.withColumn("_r", F.row_number().over(W.partitionBy(F.pmod(F.crc32("group_id"), F.lit(5))).orderBy("group_id")))
-    return ranked.filter(F.col("_r") <= per_category).select("group_id", F.get(kinds, F.pmod(F.crc32("group_id"), F.lit(5)).cast("int")).alias("category"))
+    kind = (F.conv(F.substring(F.sha2("group_id", 256), 1, 12), 16, 10).cast("long") % 5).cast("int")
+    # no kind gives more than per_category: each part of the table passes on so many of it at most
+    ranked = groups.withColumn("_k", kind).withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy("group_id")))
+    return ranked.filter(F.col("_r") <= per_category).select("group_id", F.get(kinds, F.col("_k")).alias("category"))
 
 
 # -- questions --------------------------------------------------------------------------------------
@@ -347,4 +350,7 @@ ORACLES = {
     "evidence_merge": V.with_views("segments") + " SELECT doc_type, min(doc_id) AS first_id, count(*) AS merged, 'S' || row_number() OVER (PARTITION BY doc_type ORDER BY min(doc_id)) AS source_id FROM segments GROUP BY doc_type, text",
     "tax_factors_top5": _F + ", r AS (SELECT ticker, fiscal_year, round(base_value::DOUBLE - lag(base_value::DOUBLE) OVER (PARTITION BY ticker ORDER BY fiscal_year), 6) AS rate FROM facts WHERE metric = 'effective_tax_rate') SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(rate) DESC, fiscal_year) AS rank FROM r WHERE rate IS NOT NULL QUALIFY rank <= 5",
     "quote_rank": V.with_views("segments") + r", s AS (SELECT ticker, doc_id, unnest(ss) AS s, unnest(range(0, len(ss))) AS pos FROM (SELECT *, regexp_extract_all(text, '([^.!?\n]+[.!?])', 1) AS ss FROM segments)), c AS (SELECT ticker, doc_id, pos, len(list_filter(regexp_split_to_array(lower(trim(s)), '[^\p{L}\p{M}\p{N}]+'), lambda w: w IN ('the', 'of', 'and', 'de', 'la', 'der', 'die'))) AS score FROM s WHERE length(trim(s)) BETWEEN 60 AND 500) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY score DESC, doc_id, pos) = 1",
+    "gen_refusals": "WITH g AS (SELECT DISTINCT source || '-' || lang AS group_id FROM documents), k AS (SELECT group_id, ('0x' || substr(sha256(group_id), 1, 12))::BIGINT % 5 AS k FROM g) SELECT group_id, ['missing_year', 'missing_company', 'future', 'opinion', 'other_document'][k + 1] AS category FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY group_id) <= 8",
+    "sft_records": V.with_views("examples") + " SELECT example_id, sha256(to_json({'messages': [{'role': 'system', 'content': 'Answer from the evidence.'}, {'role': 'user', 'content': question}, {'role': 'assistant', 'content': to_json({'type': query_type, 'status': review_status})::VARCHAR}]})::VARCHAR) AS record_sha256 FROM examples",
+    "strongest_evidence": V.with_views("segments") + ", e AS (SELECT ticker, doc_type, doc_id, round(4 * len(" + _keys("text") + r") + len(regexp_extract_all(text, '(\S+)', 1)) / 1000.0::DOUBLE, 6) AS score FROM segments) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY ticker, doc_type ORDER BY score DESC, doc_id) = 1",
 }
