@@ -172,12 +172,13 @@ def mojibake(text: Column) -> Column:
 
 
 def repair_mojibake(df: DataFrame, text_col: str = "text", out_col: str = "repaired") -> DataFrame:
-    """Runs of characters that are UTF-8 read as Windows-1252 are read again; others stay."""
+    """Runs of characters that are UTF-8 read as Windows-1252 (its five free places as controls) are read again; others stay."""
+
     @F.pandas_udf("string")
     def repaired(texts: pd.Series) -> pd.Series:
         def again(m: re.Match) -> str:
             try:
-                return m.group().encode("cp1252").decode("utf-8")
+                return b"".join(bytes([ord(c)]) if "\x80" <= c < "\xa0" else c.encode("cp1252") for c in m.group()).decode("utf-8")
             except UnicodeError:
                 return m.group()
 
@@ -272,11 +273,15 @@ def q_bounded_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_spans(spans)
 
 
+#: The characters of Windows-1252 at the places where ISO-8859-1 has controls.
+_C1 = [i for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+
+
 def q_mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that look broken, by language, among the texts as they are and as broken by reading UTF-8 as Windows-1252."""
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    d = V.segments(spark, sf_dir)
-    return d.select("doc_type", mojibake(F.col("text")).alias("before"), mojibake(broken).alias("after")).groupBy("doc_type").agg(F.count("*").alias("rows"), F.count_if("before").alias("broken_before"), F.count_if("after").alias("broken_after"))
+    """Texts broken by reading their UTF-8 as Windows-1252, and repaired: the repaired text is the one that was broken."""
+    broken = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), "".join(map(chr, _C1)), bytes(_C1).decode("cp1252"))
+    d = V.segments(spark, sf_dir).select("doc_id", broken.alias("text"))
+    return repair_mojibake(d).select("doc_id", F.sha2("repaired", 256).alias("repaired_sha256"))
 
 
 def q_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,4 +321,5 @@ ORACLES = {
     "bounded_excerpt": f"WITH {_LINES}, e AS (SELECT doc_id, text, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS \"end\" FROM raw), s AS (SELECT doc_id, \"end\" - length(text) - 100 AS start, \"end\" FROM e WHERE regexp_matches(lower(text), 'the [a-z]{{9}}')), m AS (SELECT *, max(\"end\") OVER (PARTITION BY doc_id ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s), g AS (SELECT *, sum((far IS NULL OR start > far + 200)::INT) OVER (PARTITION BY doc_id ORDER BY start, \"end\") AS r FROM m) SELECT doc_id, min(start) AS start, max(\"end\") AS \"end\" FROM g GROUP BY doc_id, r",
     "tokenize": V.with_views("segments") + r", t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[.&''-][\p{L}\p{N}]+)*', 0), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")) AS t FROM segments) SELECT doc_id, len(t) AS n, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM t",
     "compress_context": V.with_views("segments") + ", raw AS (SELECT doc_id, unnest(ls) AS text, unnest(range(0, len(ls))) AS block, ls[-1] AS last FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM segments)), t AS (SELECT doc_id, block, text, list_distinct(" + _TOKENS.format(t="text") + ") AS a, list_distinct(" + _TOKENS.format(t="last") + r") AS b FROM raw), o AS (SELECT *, len(list_intersect(a, b)) AS overlap FROM t), r AS (SELECT *, count(*) OVER d AS n, max(overlap) OVER d AS best, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, block) AS rank FROM o WINDOW d AS (PARTITION BY doc_id)), p AS (SELECT *, n <= 6 OR len(b) = 0 OR best = 0 AS whole, CASE WHEN rank <= 6 AND overlap > 0 THEN 1 ELSE 0 END AS pick FROM r), k AS (SELECT doc_id, whole OR max(pick) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 OR regexp_matches(text, '\d') AS kept FROM p) SELECT doc_id, count(*) AS blocks, count(*) FILTER (WHERE kept) AS kept FROM k GROUP BY doc_id",
+    "mojibake_repair": "SELECT doc_id, sha256(coalesce(text, '')) AS repaired_sha256 FROM documents",
 }

@@ -150,12 +150,13 @@ def route_question(text: Column) -> Column:
 
 
 def asked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, each after one of six questions in which its source stands."""
     forms = F.array(*[F.lit(x) for x in ("What was the reveune of %s in10 k2020?", "How did   margni change, and why?", "List the items of %s", "What is it? And when?", "Compare %s versus src1 in FY2021", "who audits %s")])
     d = V.table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("question_id"), F.replace(F.get(forms, (F.col("doc_id") % 6).cast("int")), F.lit("%s"), F.col("source")).alias("text"))
+    return d.select(F.col("doc_id").alias("question_id"), F.concat(F.replace(F.get(forms, (F.col("doc_id") % 6).cast("int")), F.lit("%s"), F.col("source")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
-_ASKED = "asked AS (SELECT doc_id AS question_id, replace((['What was the reveune of %s in10 k2020?', 'How did   margni change, and why?', 'List the items of %s', 'What is it? And when?', 'Compare %s versus src1 in FY2021', 'who audits %s'])[(doc_id % 6)::INT + 1], '%s', source) AS text FROM documents)"
+_ASKED = "asked AS (SELECT doc_id AS question_id, replace((['What was the reveune of %s in10 k2020?', 'How did   margni change, and why?', 'List the items of %s', 'What is it? And when?', 'Compare %s versus src1 in FY2021', 'who audits %s'])[(doc_id % 6)::INT + 1], '%s', source) || ' ' || coalesce(text, '') AS text FROM documents)"
 
 
 # -- queries ----------------------------------------------------------------------------------------
