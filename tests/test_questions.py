@@ -43,3 +43,17 @@ def test_table_values(spark):
     out = [(r["passed"], r["reason"]) for r in Q.table_value_check(answers, values).orderBy("id").collect()]
     missing = (False, "value missing from the answer")
     assert out == [(True, "verified"), (True, "verified"), missing, (True, "no numeric claim"), (True, "not applicable"), (True, "composite question"), (True, "inconclusive"), missing]
+
+
+def test_quotes(spark):
+    from factloom.operators.quotes import quote_verify
+
+    body = "Total company revenue grew, driven by demand in all places. Net income rose  because of lower costs at home. Cash may be insufficient for the coming months. <td> 12 </td> because net income rose a lot. Net income will rise because of the outlook."
+    quotes = [
+        ("Net income was never said to be driven by this.", "net income: reasons"), ("Net income rose because of lower costs at home.", "net income: reasons"), ("Net income will rise because of the outlook.", "net income: reasons"), ("because net income", "what"),
+        ("<td> 12 </td> because net income rose a lot.", "net income: drivers"), ("“Cash may be insufficient for the coming months.”", "liquidity"), ("Net income rose because of lower costs at home.", "liquidity"), ("Total company revenue grew, driven by demand in all places.", "revenue: drivers"),
+        ("Net income rose because of lower costs at home.", "revenue: drivers"), ("Net income rose because of lower costs at home.", "anything"),
+    ]
+    choices = spark.createDataFrame([(i, 1, "S1", q, t) for i, (q, t) in enumerate(quotes)] + [(9, 0, "S1", "Cash may be insufficient for the coming months.", "anything")], "ask_id long, choice_no long, source_id string, quote string, task string")
+    sources = spark.createDataFrame([(i, "S1", "g", body) for i in range(len(quotes))], "ask_id long, source_id string, grp string, text string")
+    assert {(r["ask_id"], r["choice_no"]) for r in quote_verify(choices, sources).collect()} == {(1, 1), (5, 1), (7, 1), (9, 0)}
