@@ -374,8 +374,8 @@ def q_staged_sum_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_comparison_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each year and formula, the company with the largest value, where two or more have one; ties by name."""
     v = q_formula_eval(spark, sf_dir).filter("value is not null")
-    return v.groupBy("fiscal_year", "formula").agg(F.max(F.struct("value", (-F.hash("ticker") * 0).alias("z"))).alias("m"), F.count("*").alias("companies"), F.collect_list(F.struct("value", "ticker")).alias("all")).filter("companies >= 2").select(
-        "fiscal_year", "formula", "companies", F.col("m.value").alias("value"), F.array_min(F.transform(F.filter("all", lambda x: x["value"] == F.col("m.value")), lambda x: x["ticker"])).alias("winner"))
+    best = v.groupBy("fiscal_year", "formula").agg(F.max("value").alias("value"), F.min(F.struct((-F.col("value")).alias("low"), "ticker")).alias("m"), F.count("*").alias("companies"))
+    return best.filter("companies >= 2").select("fiscal_year", "formula", "companies", "value", F.col("m.ticker").alias("winner"))
 
 
 def record_recalc(records: DataFrame) -> DataFrame:
