@@ -132,6 +132,38 @@ def merge_clarification(pending: DataFrame, reply: DataFrame) -> DataFrame:
     return met.select("id", F.when(merged, tickers).alias("tickers"), F.when(merged, years).alias("years"), F.when(merged, types).alias("doc_types"), merged.alias("merged"))
 
 
+def semantic_apply(understood: DataFrame, suggested: DataFrame, supported: list[str]) -> DataFrame:
+    """id, tickers, years, reference_years, unsupported, candidates, ambiguous, accepted, followup: only what a question or its past proves is taken from a suggestion.
+
+    understood: id, text, tickers, years, unsupported_companies (lists joined by commas, as annotate() gives them). suggested: id, candidates,
+    mentions, period (earlier, later or none), fields, previous_tickers, previous_years. A mention counts where it stands in the question with a
+    capital; a candidate where it is the one company of the previous scope; a year where the previous scope has two.
+    """
+    known = F.array(*[F.lit(x.lower()) for x in supported])
+    place = lambda m: F.instr(F.lower("pad"), F.concat(F.lit(" "), F.lower(m), F.lit(" ")))
+    said = lambda m: F.substring(F.col("pad"), place(m) + 1, F.length(m))
+    met = understood.select("id", "text", "tickers", "years", "unsupported_companies").join(suggested.hint("merge"), "id")
+    met = met.withColumn("pad", F.concat(F.lit(" "), F.regexp_replace("text", r"[^\p{L}\p{N}_]+", " "), F.lit(" "))).withColumn("candidates", F.array_intersect("candidates", F.array(*[F.lit(x) for x in supported])))
+    found = F.array_distinct(F.transform(F.filter("mentions", lambda m: (place(m) > 0) & ~F.array_contains(known, F.lower(m)) & said(m).rlike("[A-Z]")), said))
+    met = met.withColumn("found", found)
+    company, year = F.col("tickers") != "", F.col("years") != ""
+    inherited = ~company & (F.size("candidates") == 1) & (F.col("candidates") == F.col("previous_tickers"))
+    unsure = ~company & (F.size("candidates") > 0) & ~inherited
+    ends = F.array_sort(F.array_distinct("previous_years"))
+    relative = ~year & (F.col("period") != "none")
+    derived = relative & (F.size(ends) == 2)
+    target = F.when(F.col("period") == "later", F.get(ends, F.lit(1))).otherwise(F.get(ends, F.lit(0)))
+    other = F.when(F.col("period") == "later", F.get(ends, F.lit(0))).otherwise(F.get(ends, F.lit(1)))
+    fields = F.filter("fields", lambda f: ~((f == "company") & company) & ~(f.isin("year", "comparison years") & (year | derived)))
+    ambiguous = F.array_distinct(F.concat(F.array_compact(F.array(F.when(unsure, "company"), F.when(relative & ~derived, "comparison years"))), fields))
+    accepted = F.array_compact(F.array(F.when(F.size("found") > 0, "explicit unsupported company"), F.when(inherited, "company inherited from previous scope"), F.when(derived, "year derived from previous two-year scope")))
+    joined = lambda c: F.array_join(c, ",")
+    return met.select(
+        "id", "tickers", F.when(derived, target).otherwise(F.col("years")).alias("years"), F.when(derived, other).alias("reference_years"), F.concat_ws(",", F.nullif("unsupported_companies", F.lit("")), F.nullif(joined("found"), F.lit(""))).alias("unsupported"),
+        joined("candidates").alias("candidates"), joined(ambiguous).alias("ambiguous"), joined(accepted).alias("accepted"), (inherited | derived).alias("followup"),
+    )
+
+
 NUMBER = r"(?:^|[^A-Za-z0-9_.])(-?\(?\$?\s*\d[\d,]*(?:\.\d+)?\)?(?:\s*billion)?)"
 
 
@@ -224,7 +256,20 @@ def q_table_value_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_value_check(rows, values)
 
 
-QUERIES = {"annotate_questions": q_annotate_questions, "clarification_merge": q_clarification_merge, "table_value_check": q_table_value_check}
+def q_semantic_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions for whole documents as questions: companies, names that some heads have, years by the number of the document."""
+    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    i = F.col("id")
+    candidates = F.when(i % 3 == 0, F.array("source")).when(i % 3 == 1, F.array(F.lit("src3"), F.lit("nowhere"), F.lit("src4"))).otherwise(F.array().cast("array<string>"))
+    mentions = F.array(F.lit("Apple"), F.lit("src1"), F.lit("income statement"), F.lit("Give me"), F.lit("K"))
+    period = F.when(i % 4 == 0, "later").when(i % 4 == 1, "earlier").otherwise("none")
+    fields = F.when(i % 5 < 2, F.array(F.lit("company"), F.lit("year"))).when(i % 5 == 2, F.array(F.lit("comparison years"), F.lit("document type"))).otherwise(F.array().cast("array<string>"))
+    years = F.when(i % 2 == 0, F.array(F.lit("2025"), F.lit("2024"))).otherwise(F.array(F.lit("2024")))
+    suggested = d.select("id", candidates.alias("candidates"), mentions.alias("mentions"), period.alias("period"), fields.alias("fields"), F.when(i % 7 < 5, F.array("source")).otherwise(F.array().cast("array<string>")).alias("previous_tickers"), years.alias("previous_years"))
+    return semantic_apply(annotate(asked(spark, sf_dir), "text", ALIASES, YEARS), suggested, list(ALIASES))
+
+
+QUERIES = {"annotate_questions": q_annotate_questions, "clarification_merge": q_clarification_merge, "table_value_check": q_table_value_check, "semantic_apply": q_semantic_apply}
 
 
 def _sql_text(s: str) -> str:
@@ -262,4 +307,12 @@ r AS (SELECT *, (((value * 100)::HUGEINT % 7) + 7) % 7 AS k FROM f), x AS (SELEC
 a AS (SELECT *, {_AMOUNT} AS raw FROM x), h AS (SELECT a.*, v.value AS want, list_transform(raw, lambda z: (regexp_replace(z, '[^0-9.]', '', 'g')::DECIMAL(28,6) * (CASE WHEN contains(z, '(') OR contains(z, '-') THEN -1 ELSE 1 END) * (CASE WHEN ends_with(z, 'billion') THEN 1000 ELSE 1 END))::DECIMAL(38,6)) AS vals, list_transform(raw, lambda z: (CASE WHEN ends_with(z, 'billion') THEN 500.0 / pow(10, length(regexp_extract(z, '\.(\d+)', 1))) ELSE 0 END)::DECIMAL(38,6)) AS tols FROM a LEFT JOIN v USING (ticker, metric, year)),
 s AS (SELECT *, len(list_filter(vals, lambda z, i: abs(z - want) <= tols[i])) > 0 AS hit FROM h), q AS (SELECT ticker || ':' || metric || ':' || year AS id, CASE WHEN k = 5 THEN 'composite question' WHEN metric = 'total debt' OR k = 6 THEN 'not applicable' WHEN len(raw) = 0 THEN 'no numeric claim' WHEN want IS NULL THEN 'inconclusive' WHEN hit THEN 'verified' ELSE 'value missing from the answer' END AS reason FROM s)
 SELECT id, reason <> 'value missing from the answer' AS passed, reason FROM q""",
+    "semantic_apply": f"WITH asked AS (SELECT doc_id AS id, source, replace(replace({_HEADS}[(doc_id % {len(HEADS)})::INT + 1], '{{a}}', replace(source, 'src', '')), '{{c}}', substr('ABCDEFGHIJKLMNOPQRST', replace(source, 'src', '')::INT + 1, 1)) || '. ' || coalesce(text, '') AS text FROM documents), "
+    + _annotate_sql("asked") + rf""", known AS (SELECT [{", ".join(_sql_text(x) for x in ALIASES)}] AS ks), g AS (SELECT a.id, x.tickers, x.years, x.unsupported_companies AS uns, ' ' || regexp_replace(a.text, '[^\p{{L}}\p{{N}}_]+', ' ', 'g') || ' ' AS pad, list_filter(CASE a.id % 3 WHEN 0 THEN [source] WHEN 1 THEN ['src3', 'nowhere', 'src4'] ELSE [] END, lambda c: list_contains(ks, c)) AS cand, ks,
+ CASE a.id % 4 WHEN 0 THEN 'later' WHEN 1 THEN 'earlier' ELSE 'none' END AS period, CASE WHEN a.id % 5 < 2 THEN ['company', 'year'] WHEN a.id % 5 = 2 THEN ['comparison years', 'document type'] ELSE [] END AS fields, CASE WHEN a.id % 7 < 5 THEN [source] ELSE [] END AS pt, CASE WHEN a.id % 2 = 0 THEN ['2024', '2025'] ELSE ['2024'] END AS ends FROM asked a JOIN annotated x USING (id), known),
+f AS (SELECT *, list_transform(list_filter(['Apple', 'src1', 'income statement', 'Give me', 'K'], lambda m: instr(lower(pad), ' ' || lower(m) || ' ') > 0 AND NOT list_contains(ks, lower(m)) AND regexp_matches(substr(pad, instr(lower(pad), ' ' || lower(m) || ' ') + 1, length(m)), '[A-Z]')), lambda m: substr(pad, instr(lower(pad), ' ' || lower(m) || ' ') + 1, length(m))) AS found FROM g),
+b AS (SELECT *, tickers = '' AND len(cand) = 1 AND cand = pt AS inh, years = '' AND period <> 'none' AS rel, years = '' AND period <> 'none' AND len(ends) = 2 AS der FROM f),
+h AS (SELECT *, list_concat(list_filter([CASE WHEN tickers = '' AND len(cand) > 0 AND NOT inh THEN 'company' END, CASE WHEN rel AND NOT der THEN 'comparison years' END], lambda z: z IS NOT NULL), list_filter(fields, lambda z: NOT (z = 'company' AND tickers <> '') AND NOT (z IN ('year', 'comparison years') AND (years <> '' OR der)))) AS am FROM b)
+SELECT id, tickers, CASE WHEN der THEN CASE WHEN period = 'later' THEN ends[2] ELSE ends[1] END ELSE years END AS years, CASE WHEN der THEN CASE WHEN period = 'later' THEN ends[1] ELSE ends[2] END END AS reference_years, concat_ws(',', nullif(uns, ''), nullif(array_to_string(found, ','), '')) AS unsupported, array_to_string(cand, ',') AS candidates, array_to_string(list_filter(am, lambda z, k: list_position(am, z) = k), ',') AS ambiguous,
+ concat_ws(',', CASE WHEN len(found) > 0 THEN 'explicit unsupported company' END, CASE WHEN inh THEN 'company inherited from previous scope' END, CASE WHEN der THEN 'year derived from previous two-year scope' END) AS accepted, inh OR der AS followup FROM h""",
 }
