@@ -10,7 +10,8 @@ a fixed number of rows. It deals a family of values and a family of places indep
 of the two is fixed, and labels them by both: a value of a key's form is a secret unless its words say
 that it is a checksum, a version, an identifier or an example; a value of another form never is.
 
-The dictionary is the corpus's own: the ``dictionary_words`` words in most rows, counted over all texts.
+The dictionary is the corpus's own: the ``dictionary_words`` words (of 3 to 64 letters; longer runs are no words) in
+most rows, counted over all texts.
 
 Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; a null
 path counts as empty; only the named columns are read, so others can't clash; an empty table gives an
@@ -61,12 +62,13 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _coverage(value: str, words: frozenset[str], longest: int) -> float:
-    """The share of characters that the longest dictionary words of three letters or more cover, from the left."""
+def _coverage(value: str, words: frozenset[str], lengths: list[int]) -> float:
+    """The share of characters that the longest dictionary words cover, from the left."""
     low, i, covered = value.lower(), 0, 0
     while i < len(low):
-        for n in range(min(longest, len(low) - i), 2, -1):
+        for n in lengths:
             if low[i : i + n] in words:
+                n = min(n, len(low) - i)
                 covered += n
                 i += n
                 break
@@ -76,8 +78,9 @@ def _coverage(value: str, words: frozenset[str], longest: int) -> float:
 
 
 @lru_cache(maxsize=4)
-def _longest(words: frozenset[str]) -> int:
-    return max(map(len, words), default=0)
+def _lengths(words: frozenset[str]) -> list[int]:
+    """The lengths that words have, longest first."""
+    return sorted({len(w) for w in words}, reverse=True)
 
 
 def features(value: str, before: str, after: str, path: str, kind: str, words: frozenset[str]) -> list[float]:
@@ -90,19 +93,19 @@ def features(value: str, before: str, after: str, path: str, kind: str, words: f
         float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("m") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, sum({a, b} == {"u", "l"} for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         0.0 - sum(c / n * math.log2(c / n) for c in counts.values()), float(all(c in "0123456789abcdefABCDEF" for c in value)),
-        sum(c in "aeiouAEIOU" for c in value) / n, _coverage(value, words, _longest(words)), hit(CUES), hit(NOT_CUES),
+        sum(c in "aeiouAEIOU" for c in value) / n, _coverage(value, words, _lengths(words)), hit(CUES), hit(NOT_CUES),
         float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in ('"', "'") and before[-1:] == after[:1]), float(any(c in path.lower() for c in PATH_CUES)),
         (value.count(".") + value.count("/") + value.count("-")) / n, max(counts.values(), default=0) / n, float(kind == "private_key"),
     ]
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000) -> frozenset[str]:
-    """The ``size`` lower-case words (three letters or more) that most texts hold; ties by the word.
+    """The ``size`` lower-case words (3 to 64 letters) that most texts hold; ties by the word.
 
     The counts are written; a histogram of them, of at most 64 x 8 rows, tells which count is enough, so
     that few words but those asked for are ordered.
     """
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+"))).alias("w")).filter(F.length("w") >= 3)
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+"))).alias("w")).filter(F.length("w").between(3, 64))
     counts = written(words.groupBy("w").agg(F.count("*").alias("n")), "counts")
     steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
     have, least = 0, 1

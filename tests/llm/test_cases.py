@@ -10,9 +10,9 @@ from tests.conftest import SMALL
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 #: Names that helpers have had, beside the columns of documents.
 CLASHES = ["_id", "_key", "_k", "_w", "_words", "_m1", "_text", "_row", "_pid", "_pkey", "stats", "score", "gone", "kept", "n", "item_id", "label", "h", "fp", "first", "component_id", "a`b"]
-LINES = "\n".join(f"line {i % 7}" for i in range(100_000))
+LINES = "\n".join(f"line {i % 7}" for i in range(30_000))
 ROWS = [
-    (1, "a b c d e f\ng h\ni j k\nl"), (1, "a b c d e f\ng h\ni j k\nl"), (1, "another text of the same id"), (2, None), (3, ""), (None, "no id"), (None, None), (4, "x" * 1_000_000), (5, "word and " * 110_000), (6, LINES), (7, LINES), (8, "Released under the MIT License.\n\na@b.co"),
+    (1, "a b c d e f\ng h\ni j k\nl"), (1, "a b c d e f\ng h\ni j k\nl"), (1, "another text of the same id"), (2, None), (3, ""), (None, "no id"), (None, None), (4, "x" * 300_000), (5, "word and " * 40_000), (6, LINES), (7, LINES), (8, "Released under the MIT License.\n\na@b.co"),
 ]
 
 
