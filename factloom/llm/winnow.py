@@ -23,6 +23,8 @@ replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,16 +80,19 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fing
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
+    # helpers with names that no table has: packing the row into a struct would hide how it is dealt out, and shuffle it again
+    own = f"_{uuid.uuid4().hex}_"
     kept = [F.col(quoted(c)) for c in df.columns if c != out_col]
-    out = df.select(F.struct(*kept, F.lit(0)).alias("_row"), F.transform(words_of(text_of(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
-    out = out.select("_row", _grams(F.col("_h"), k).alias("_m1"))
+    out = df.select(*kept, F.transform(words_of(text_of(text_col)), lambda w: F.xxhash64(w)).alias(f"{own}h"))
+    out = out.select(*kept, _grams(F.col(f"{own}h"), k).alias(f"{own}1"))
     span = 1
     while span < window:
-        out = out.withColumn(f"_m{2 * span}", F.when(F.size(f"_m{span}") > span, _least_of(F.col(f"_m{span}"), span)).otherwise(F.col("_m1")))
+        out = out.withColumn(f"{own}{2 * span}", F.when(F.size(f"{own}{span}") > span, _least_of(F.col(f"{own}{span}"), span)).otherwise(F.col(f"{own}1")))
         span *= 2
     # fewer than ``window`` hashes: one window
-    chosen = F.when(F.size("_m1") >= window, F.array_distinct(f"_m{window}")).when(F.size("_m1") > 0, F.array(F.array_min("_m1"))).otherwise(F.col("_m1"))
-    return out.select(*[F.col(quoted(c, "_row")) for c in df.columns if c != out_col], chosen.alias(out_col))
+    first = F.col(f"{own}1")
+    chosen = F.when(F.size(first) >= window, F.array_distinct(f"{own}{window}")).when(F.size(first) > 0, F.array(F.array_min(first))).otherwise(first)
+    return out.select(*kept, chosen.alias(out_col))
 
 
 def hash_of(gram: Column) -> Column:
