@@ -100,7 +100,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                         parts.append(more.span())
                     dots_end = stop
                     for i in range(0, len(parts) - 3, 4):
-                        if all(e - s < 4 or len(text[s:e].lstrip("0")) < 4 for s, e in parts[i : i + 4]) and all(int(text[s:e]) <= 255 for s, e in parts[i : i + 4]):
+                        if all(len(x := text[s:e].lstrip("0")) < 4 and int(x or "0") <= 255 for s, e in parts[i : i + 4]):
                             found["ip"].append((parts[i][0], parts[i + 3][1]))
                 if start >= chain_end:
                     chain_end = _CHAIN.match(text, start).end()

@@ -1,16 +1,15 @@
 r"""SimHash fingerprints and near-duplicate groups.
 
 A fingerprint has 64 bits over the hashes of 3-word shingles, repeats included. Groups join
-fingerprints that differ in at most ``bits`` (0 to 2) bits, found by a byte-position inverted index: of
-the eight bytes of two such fingerprints at least ``8 - bits`` are equal in the same position. The index
-is read in two steps. Its first lists are keyed by two of the four pairs of neighbouring bytes (two
-changed bits leave two pairs equal), six lists a fingerprint; those with one fingerprint go. Within
-each other list the fingerprints are listed again by two of their four remaining bytes, so that a list
-of the second step shares six positional bytes, the guaranteed minimum for two bits. Pairs meet in
-these lists alone; the join tallies the shared positional bytes of a pair, keeps those that reach
-``8 - bits`` and verifies the number of differing bits. All links come through the index, whatever the
-length of a list: lists of single bytes would hold 1/256 of the table each, while at most 65,536
-different fingerprints share six bytes.
+fingerprints that differ in at most ``bits`` (0 to 2) bits, found by a byte-position inverted index with
+count filtering: of the eight bytes of two such fingerprints at least ``8 - bits`` are equal in the same
+position. The lists of the index are keyed by two of the four pairs of neighbouring bytes (two changed
+bits leave two pairs equal), six lists a fingerprint; those with one fingerprint go. Pairs meet in these
+lists; their shared positional bytes are tallied, pairs below ``8 - bits`` go, and the others are verified
+by the number of differing bits. A list of over ``longest`` fingerprints, whose pairs would be too many to
+tally, is first dealt out by two of its four remaining bytes: every pair that reaches the minimum of six
+shared bytes still meets there, and at most 65,536 different fingerprints share six bytes. All links come
+through the index, whatever the length of a list.
 
 Defined cases: null and empty texts have the fingerprint zero and link as any other; texts of one or
 two words have one shingle, the whole sequence; repeated rows have equal results; a null doc_id
@@ -82,21 +81,26 @@ FIRST = [a + b for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
 SECOND = {n: [(*places, *more) for more in combinations([i for i in range(8) if i not in places], 2)] for n, places in enumerate(FIRST)}
 
 
-def links(prints: DataFrame, bits: int = 2) -> DataFrame:
+def tallied(listed: DataFrame, bits: int) -> DataFrame:
+    """Pairs a < b that meet in a list, share at least ``8 - bits`` positional bytes and differ in at most ``bits`` bits."""
+    x, y = listed.select("list", "bytes", F.col("fp").alias("a")), listed.select("list", "bytes", F.col("fp").alias("b"))
+    enough = (F.col("a") < F.col("b")) & (shared_bytes(F.col("a"), F.col("b")) >= 8 - bits)
+    return x.join(y.hint("merge"), ["list", "bytes"]).filter(enough).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
+
+
+def links(prints: DataFrame, bits: int = 2, longest: int = 64) -> DataFrame:
     """All pairs a < b of distinct fingerprints (column fp) that differ in at most ``bits`` bits, 0 to 2."""
     if not 0 <= bits <= 2:
         raise ValueError("bits must be 0, 1 or 2: the lists of the index are those of at least six equal bytes")
     index = written(prints.select("fp", F.explode(_keyed_by(F.col("fp"), FIRST)).alias("k")).select("k.list", "k.bytes", "fp"), "index")
-    sizes = written(index.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "sizes")
-    listed = index.join(sizes.hint("merge"), ["list", "bytes"])
+    sizes = written(index.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    listed = written(index.join(sizes.hint("merge"), ["list", "bytes"]), "listed")
     keys = None
     for n, choices in SECOND.items():
         keys = F.when(F.col("list") == n, _keyed_by(F.col("fp"), choices)) if keys is None else keys.when(F.col("list") == n, _keyed_by(F.col("fp"), choices))
-    deeper = listed.select("list", F.explode(keys).alias("k"), "fp").select((F.col("list") * F.lit(6).cast("byte") + F.col("k.list")).cast("byte").alias("list"), "k.bytes", "fp")
-    deeper = written(deeper, "deeper")
-    x, y = deeper.withColumnRenamed("fp", "a"), deeper.withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (shared_bytes(F.col("a"), F.col("b")) >= 8 - bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return x.join(y.hint("merge"), ["list", "bytes"]).filter(near).select("a", "b").distinct()
+    deeper = listed.filter(F.col("n") > longest).select("list", F.explode(keys).alias("k"), "fp").select((F.col("list") * F.lit(6).cast("byte") + F.col("k.list")).cast("byte").alias("list"), "k.bytes", "fp")
+    short = tallied(listed.filter(F.col("n") <= longest), bits)
+    return short.unionByName(tallied(written(deeper, "deeper"), bits)).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = 2) -> DataFrame:

@@ -55,6 +55,15 @@ def test_pii_is_the_patterns():
         assert [s for s in pii.find_spans(t) if s[0] in pii.BASE] == plain_spans(t)
 
 
+@pytest.mark.parametrize("zeros", [4_301, 100_000])
+def test_pii_long_runs_of_digits(zeros):
+    for t in ("0" * zeros + ".1.1.1", "1.1.1." + "0" * zeros + "9", "9" * zeros + ".1.1.1", "1.1.1.1." + "0" * zeros, "0" * zeros + "255.0.0.0" + "x" + "4111111111111111"):
+        parts = re.match(r"[0-9.]*", t).group().split(".")[:4]
+        want = all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in parts)
+        assert [s[:2] for s in pii.find_spans(t) if s[0] == "ip"] == [("ip", 0)] * want
+    assert [s[0] for s in pii.find_spans("0" * zeros + "255.0.0.0" + "x" + "4111111111111111")] == ["ip", "card"]
+
+
 def test_pii_added_kinds_and_redaction(spark):
     text = "account number: 12345678 at 12 Main Street, IBAN GB82 WEST 1234 5698 7654 32. ssn 123-45-6789 see https://a.example.com/x?q=1."
     assert [k for k, _, _ in pii.find_spans(text)] == ["url", "iban", "account", "ssn", "street"]
@@ -198,14 +207,29 @@ def test_simhash_links(spark, bits):
     prints |= {seeds[0] ^ sum(1 << rng.choice((0, 1, 2, 9, 17, 18, 30, 31)) for _ in range(4)) for _ in range(200)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= bits
-    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), bits)
-    assert {(r["a"], r["b"]) for r in links.collect()} == {(a, b) for a in signed for b in signed if a < b and near(a, b)}
+    frame, want = spark.createDataFrame([(p,) for p in signed], "fp long"), {(a, b) for a in signed for b in signed if a < b and near(a, b)}
+    links = simhash.links(frame, bits)
+    for found in (links, simhash.links(frame, bits, longest=3), simhash.links(frame, bits, longest=10_000)):
+        rows = [(r["a"], r["b"]) for r in found.collect()]
+        assert set(rows) == want and len(rows) == len(want)
     found = components.components(links).collect()
     want = groups(signed, near)
     sizes = Counter(want.values())
     assert {r["node"]: r["root"] for r in found} == {v: r for v, r in want.items() if sizes[r] > 1}
 
 
+def test_simhash_counts_filter(spark):
+    """Of the pairs that meet in a list by four equal bytes, the tally rejects those of four or five equal bytes."""
+    base = 0x0123456789ABCDEF
+    listed = [base, base ^ 0x0101010100000000, base ^ 0x0001010100000000, base ^ 0x0000010100000000, base ^ 0x0300000000000000, base ^ 0x0700000000000000]
+    rows = spark.createDataFrame([(0, 7, p) for p in listed], "list int, bytes long, fp long")
+    met = rows.alias("x").join(rows.alias("y"), F.col("x.fp") < F.col("y.fp")).select(simhash.shared_bytes(F.col("x.fp"), F.col("y.fp")).alias("n"))
+    shares = Counter(r["n"] for r in met.collect())
+    enough = lambda a, b: sum((a >> 8 * i & 255) == (b >> 8 * i & 255) for i in range(8)) >= 6
+    near = {(a, b) for a in listed for b in listed if a < b and enough(a, b) and (a ^ b).bit_count() <= 2}
+    assert shares[4] and shares[5] and {(r["a"], r["b"]) for r in simhash.tallied(rows, 2).collect()} == near
+
+
 def test_simhash_cases(awkward, empty):
     rows = simhash.near_duplicates(awkward).collect()
     assert len(rows) == len(AWKWARD)
