@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, licenses, linededup, pii, quality, secrets, simhash, suffix, variants, winnow
+from . import bpe, chat, decontaminate, licenses, linededup, pii, quality, repair, secrets, simhash, suffix, variants, winnow
 
-_MODULES = (pii, quality, bpe, simhash, decontaminate, licenses, linededup, chat, secrets, winnow, variants, suffix)
+_MODULES = (pii, quality, bpe, simhash, decontaminate, licenses, linededup, chat, secrets, winnow, variants, suffix, repair)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
