@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators.datasets import _keys
+from factloom.operators.grids import grid
 from factloom.sources import views as V
 
-TABLE, ROW, CELL = r"(?is)(<table\b.*?</table>)", r"(?is)<tr\b[^>]*>(.*?)</tr>", r"(?is)(<t[hd]\b[^>]*>.*?</t[hd]>)"
+TABLE = r"(?is)(<table\b.*?</table>)"
 LABELS = ("total_revenue", "cost_of_revenue", "operating_income", "net_income", "diluted_eps")
 
 
@@ -23,12 +24,8 @@ def extract_tables(texts: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def table_cells(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, row, col, value: each cell at its place in the grid; a cell over n columns fills n places."""
-    rows = tables.select(*keys, F.posexplode(F.regexp_extract_all("html", F.lit(ROW), 1)).alias("row", "_r"))
-    cells = rows.select(*keys, "row", F.posexplode(F.regexp_extract_all("_r", F.lit(CELL), 1)).alias("_i", "_c"))
-    span = F.greatest(F.lit(1), F.coalesce(F.nullif(F.regexp_extract("_c", r"(?is)^<t[hd][^>]*colspan=[\"']?(\d+)", 1), F.lit("")).cast("int"), F.lit(1)))
-    wide = cells.select(*keys, "row", "_i", F.trim(F.regexp_replace(F.regexp_replace("_c", r"<[^>]+>", ""), r"\s+", " ")).alias("value"), F.explode(F.sequence(F.lit(1), span)).alias("_k"))
-    return wide.withColumn("col", F.row_number().over(W.partitionBy(*keys, "row").orderBy("_i", "_k")) - 1).select(*keys, "row", "col", "value")
+    """keys, row, col, value: each cell at its places in the grid; a cell over n columns or rows fills them."""
+    return grid(tables, keys).select(*keys, "row", "col", "value")
 
 
 def table_facts(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,10 +183,6 @@ def q_extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir).select("doc_id", F.col("table_no").cast("long").alias("table_no"), "title", F.sha2("html", 256).alias("html_sha256"))
 
 
-def q_table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_cells(_tables(spark, sf_dir), _KEYS).select("doc_id", F.col("table_no").cast("long").alias("table_no"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
-
-
 def q_table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_facts(table_cells(_tables(spark, sf_dir), _KEYS), _KEYS).select("doc_id", F.col("table_no").cast("long").alias("table_no"), "label", "period", "raw_value")
 
@@ -331,7 +324,6 @@ tgrid AS (SELECT doc_id, table_no, row, k AS col, trim(regexp_replace(c, '<[^>]+
 )
 ORACLES = {
     "extract_tables": _TT + " SELECT doc_id, table_no, title, sha256(html) AS html_sha256 FROM tn",
-    "table_grid": _TT + " SELECT doc_id, table_no, row, col, value FROM tgrid",
     "table_facts": _TT + " SELECT t.doc_id, t.table_no, 'Consolidated - ' || l.value AS label, h.value::INT AS period, t.value AS raw_value FROM tgrid t JOIN tgrid l ON t.doc_id = l.doc_id AND t.table_no = l.table_no AND t.row = l.row AND l.col = 0 AND t.col > 0 AND t.row > 1 JOIN tgrid h ON h.doc_id = t.doc_id AND h.table_no = t.table_no AND h.row = 0 AND h.col = t.col",
     "table_dedupe": _TT + " SELECT doc_id, min(table_no) AS table_no FROM tn GROUP BY doc_id, html",
     "table_markdown": _TT + ", l AS (SELECT doc_id, table_no, row, '| ' || string_agg(value, ' | ' ORDER BY col) || ' |' || CASE WHEN row = 0 THEN chr(10) || '|' || repeat(' --- |', count(*)::INT) ELSE '' END AS line FROM tgrid GROUP BY doc_id, table_no, row) SELECT doc_id, table_no, sha256(string_agg(line, chr(10) ORDER BY row)) AS markdown_sha256 FROM l GROUP BY doc_id, table_no",
