@@ -9,12 +9,15 @@ hold a few times the input, where one row for each byte wouldn't:
 - Ranks are 64-bit Karp-Rabin names, so that a position carries the rank at its offset with it and no
   join has to fetch it: equal strings have equal names, wherever they stand. The last rank is a pair of
   names of independent halves, 128 bits.
-- The first round ranks only sampled positions. The position of the smallest name of ``GRAM`` bytes within
+- The first rounds rank only sampled positions. The position of the smallest name of ``GRAM`` bytes within
   each string of ``length`` bytes, about one in 39, is its anchor. Equal strings have their anchors at
   equal places, so a string whose anchor has a unique rank is unique. Of anchors with a repeated rank the
-  neighbourhoods (all strings that the anchor stands for) are ranked: an anchor whose neighbourhood stands
-  earlier has only repeated strings. Where one rank has several neighbourhoods, as at the ends of shared
-  passages, all positions of the first of each enter the doubling: a quarter, a half and all of the length.
+  neighbourhoods (all strings that the anchor stands for) are ranked: a neighbourhood that stands earlier
+  has only repeated strings. Where one rank has several neighbourhoods, as at the ends of shared passages,
+  the first of each is cut into blocks of ``BLOCK`` starts at equal distances from the anchor. These are
+  ranked in the same way, by the bytes that all strings of a block share and by the whole block, and all
+  positions of the blocks that stay open enter the last doubling: the ranks of a half, whose unique ones
+  go, and the pairs of the rank at a position and the rank at the offset.
 
 Every sort and count is Spark's; Python names the strings of a text, in pieces of ``PIECE`` bytes.
 
@@ -38,10 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import at_key, hinted, keyed, quoted, row_key, small_batches, table, text_of, written
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM, BLOCK = 100, 24, 8
 #: Positions of a text that are named at once; the place in a piece fits PLACE bits.
 PIECE, PLACE = 1 << 19, 20
 _LOW = np.uint64((1 << PLACE) - 1)
+#: A row's place: its first start, over the number of its starts and the distance of the first from the anchor.
+STARTS, DISTANCE = 20, 10
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
@@ -83,8 +88,20 @@ class Names:
         return (self.sums[size:] - self.sums[:n]) * self.inverse[:n]
 
 
+def packed(lo: np.ndarray, n: np.ndarray, d: np.ndarray | int = 0) -> np.ndarray:
+    return lo << (STARTS + DISTANCE) | n << DISTANCE | d
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> (STARTS + DISTANCE), place >> DISTANCE & (1 << STARTS) - 1, place & (1 << DISTANCE) - 1
+
+
+def _with(name: np.ndarray, distance: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return (name ^ (distance << STARTS | starts).astype(np.uint64)) * np.uint64(_BASES[0])
+
+
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """rank, neighbourhood, first start and number of starts of each anchor of at most PIECE starts; runs of equal ones are two rows."""
+    """rank, neighbourhood and place of each anchor of at most PIECE starts; runs of equal ones are two rows."""
     starts, width = len(data) - length + 1, length - gram + 1
     names = Names(data)
     ranks = names.all_of(gram)
@@ -98,7 +115,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     hi = np.concatenate((lo[1:], [starts]))
     at = at[lo]
     rank, around = ranks[at], Names(data, _BASES[1]).of(lo, hi - 1 + length)
-    around = (around ^ ((at - lo) << 8 | (hi - lo)).astype(np.uint64)) * np.uint64(_BASES[0])
+    around = _with(around, at - lo, hi - lo)
     new = np.ones(len(lo), bool)
     new[1:] = (rank[1:] != rank[:-1]) | (around[1:] != around[:-1])
     first = np.flatnonzero(new)
@@ -106,7 +123,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     again = end - first > 1  # the rest of a run stands after its first
     rows = np.concatenate((first, first[again] + 1))
     until = np.concatenate((hi[first], hi[end[again] - 1]))
-    return rank[rows].view(np.int64), around[rows].view(np.int64), lo[rows], until - lo[rows]
+    return rank[rows].view(np.int64), around[rows].view(np.int64), packed(lo[rows], until - lo[rows], (at - lo)[rows])
 
 
 def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
@@ -132,61 +149,71 @@ def _out(batch: pa.RecordBatch, rows: list[int], counts: list[int], columns: lis
     return pa.RecordBatch.from_arrays([*ids, *made], names=["_id", "_key", *names])
 
 
-def anchored(texts: DataFrame, length: int = LENGTH, piece_size: int = PIECE) -> DataFrame:
-    """_id, _key, rank, around, lo, n of the anchors of all texts. texts: _id, _key, _text."""
+def _named(df: DataFrame, of, names: tuple[str, ...], length: int, piece_size: int) -> DataFrame:
+    """_id, _key and the columns that ``of`` gives for each piece of each text; where places are listed each piece gets its own. df: _id, _key, _text, and places perhaps."""
+    listed = "places" in df.columns
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, counts, columns = [], [], [[], [], [], []]
-            for i, data in enumerate(_bytes(batch.column(batch.schema.get_field_index("_text")))):
+            column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+            rows, counts, columns = [], [], [[] for _ in names]
+            for i, data in enumerate(_bytes(column("_text"))):
+                if listed:
+                    lo, n, d = unpacked(column("places")[i].values.to_numpy(zero_copy_only=False))
                 for at, piece in _pieces(data, length, piece_size):
-                    rank, around, lo, n = anchors(piece, length)
+                    if listed:
+                        mine = (lo >= at) & (lo < at + piece_size)
+                        if not mine.any():
+                            continue
+                        found = of(piece, lo[mine] - at, n[mine], d[mine])
+                    else:
+                        found = of(piece)
                     rows.append(i)
-                    counts.append(len(rank))
-                    for c, v in zip(columns, (rank, around, lo + at, n), strict=True):
-                        c.append(v)
-            yield _out(batch, rows, counts, columns, ("rank", "around", "lo", "n"))
+                    counts.append(len(found[0]))
+                    for c, name, v in zip(columns, names, found, strict=True):
+                        c.append(v + (at << STARTS + DISTANCE) if name == "place" else v)
+            yield _out(batch, rows, counts, columns, names)
 
-    return texts.mapInArrow(named, f"_id {texts.schema['_id'].dataType.simpleString()}, _key long, rank long, around long, lo long, n long")
+    return df.mapInArrow(made, f"_id {df.schema['_id'].dataType.simpleString()}, _key long, " + ", ".join(f"{n} long" for n in names))
 
 
-def positions(listed: DataFrame, length: int = LENGTH, piece_size: int = PIECE) -> DataFrame:
-    """_id, _key, p and the ranks quarter, half and rest of the strings at the listed starts. listed: _id, _key, _text, los, ns."""
-    quarter, half = length // 4, length // 2
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1 to lo + n - 1 of each."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = lambda c, b=batch: b.column(b.schema.get_field_index(c))
-            rows, counts, columns = [], [], [[], [], [], []]
-            for i, data in enumerate(_bytes(of("_text"))):
-                lo, n = of("los")[i].values.to_numpy(zero_copy_only=False), of("ns")[i].values.to_numpy(zero_copy_only=False)
-                for at, piece in _pieces(data, length, piece_size):
-                    mine = (lo >= at) & (lo < at + piece_size)
-                    if not mine.any():
-                        continue
-                    starts, sizes = lo[mine] - at, n[mine]
-                    p = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-                    names, other = Names(piece), Names(piece, _BASES[1])
-                    rows.append(i)
-                    counts.append(len(p))
-                    for c, v in zip(columns, (p + at, names.of(p, p + quarter).view(np.int64), names.of(p, p + half).view(np.int64), other.of(p + half, p + length).view(np.int64)), strict=True):
-                        c.append(v)
-            yield _out(batch, rows, counts, columns, ("p", "quarter", "half", "rest"))
 
-    return listed.mapInArrow(ranked, f"_id {listed.schema['_id'].dataType.simpleString()}, _key long, p long, quarter long, half long, rest long")
+def blocks(data: np.ndarray, lo: np.ndarray, n: np.ndarray, d: np.ndarray, length: int, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """rank, around and place of the blocks of starts of neighbourhoods, cut by the distance of a start from its anchor.
+
+    The rank names the bytes that all strings of a whole block have, so that equal strings have equal ranks however their blocks are cut.
+    """
+    many = d // block - (d - n + 1) // block + 1
+    j, at = _spread((d - n + 1) // block, many), np.repeat(lo + d, many)
+    first, last = np.maximum(at - (j + 1) * block + 1, np.repeat(lo, many)), np.minimum(at - j * block, np.repeat(lo + n - 1, many))
+    core = Names(data).of(at - j * block, at - (j + 1) * block + 1 + length)
+    whole = Names(data, _BASES[1]).of(first, last + length)
+    whole = _with(whole, at - first, last - first + 1)
+    return core.view(np.int64), whole.view(np.int64), packed(first, last - first + 1, at - first)
 
 
-def _repeated(rows: DataFrame, *by: str) -> DataFrame:
-    """The rows whose rank isn't unique."""
-    again = rows.groupBy(*by).agg(F.count("*").alias("_m")).filter("_m > 1").drop("_m")
-    return rows.join(again.hint("merge"), list(by), "left_semi")
+def ranks(data: np.ndarray, lo: np.ndarray, n: np.ndarray, d: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The ranks of the half of the strings at all starts, the ranks at the offset, and the places."""
+    p, half = _spread(lo, n), length // 2
+    return Names(data).of(p, p + half).view(np.int64), Names(data, _BASES[1]).of(p + half, p + length).view(np.int64), packed(p, np.int64(1))
+
 
+def _later(rows: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """The first place of each rank and its rows, and the rows of a rank at another place than its first. Ranks are never null, ids may be."""
+    place = F.struct("_id", "_key", "place")
+    firsts = written(rows.groupBy(*by).agg(F.min(place).alias("first"), F.count("*").alias("m")), "firsts")
+    met = rows.join(firsts.filter("m > 1").drop("m").hint("merge"), list(by)).filter(~place.eqNullSafe(F.col("first")))
+    return firsts, met.select("_id", "_key", "place")
 
-def _later(rows: DataFrame, place: list[str], *by: str) -> tuple[DataFrame, DataFrame]:
-    """The first place of each rank, and the rows of a rank at another place than its first. Ranks are never null, ids may be."""
-    firsts = written(rows.groupBy(*by).agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("_m")), "firsts")
-    met = rows.join(firsts.filter("_m > 1").drop("_m").hint("merge"), list(by)).filter(~F.struct(*place).eqNullSafe(F.col("first")))
-    return firsts.drop("_m"), met
+
+def _repeated(rows: DataFrame, rank: str) -> DataFrame:
+    """The rows whose rank isn't unique."""
+    again = written(rows.groupBy(rank).agg(F.count("*").alias("m")).filter("m > 1").select(rank), "ranks")
+    return written(rows.join(again.hint("merge"), rank), "shared")
 
 
 def unique_ids(df: DataFrame, id_col: str) -> bool:
@@ -194,48 +221,54 @@ def unique_ids(df: DataFrame, id_col: str) -> bool:
     return df.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, broadcast_rows: int = 1_000_000, unique: bool = False, piece_size: int = PIECE) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, broadcast_rows: int = 8_000_000, unique: bool = False, piece_size: int = PIECE) -> DataFrame:
     """_pid, _pkey and spans, the starts and ends (exclusive, in turn) of the maximal removed runs of bytes, of each row that has some.
 
-    broadcast_rows: up to so many counted neighbourhoods their places are broadcast to the texts; beyond that the texts are
+    broadcast_rows: up to so many places, which are counted (a long each), they are broadcast to the texts; beyond that the texts are
     shuffled. unique: ids are, and _pkey is zero. piece_size: positions of a text that are named at once, at most PIECE.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if not 2 * GRAM <= length < 1 << DISTANCE:
+        raise ValueError(f"length must be {2 * GRAM} at least and under {1 << DISTANCE}")
     small_batches(df.sparkSession)
     key = F.lit(0).cast("long") if unique else row_key(id_col, text_col)
     texts = df.select(F.col(id_col).alias("_id"), key.alias("_key"), text_of(text_col).cast("binary").alias("_text")).filter(F.octet_length("_text") >= length)
-    # the first round: sampled positions, unique ranks go
-    sampled = anchored(texts, length, piece_size)
-    again = written(sampled.groupBy("rank").agg(F.count("*").alias("m")).filter("m > 1").select("rank"), "ranks")
-    shared = written(sampled.join(again.hint("merge"), "rank"), "shared")
-    firsts, later = _later(shared, ["_id", "_key", "lo", "n"], "rank", "around")
-    # neighbourhoods that stand earlier as a whole have nothing but repeated strings
-    gone = later.select("_id", "_key", "lo", "n")
-    kinds = written(firsts.groupBy("rank").agg(F.count("*").alias("m")).filter("m > 1").select("rank"), "kinds")
-    open_ = written(firsts.join(kinds.hint("merge"), "rank").select("first.*"), "open")
-    listed = open_.groupBy("_id", "_key").agg(F.collect_list(F.struct("lo", "n")).alias("x"))
-    listed = written(listed.select(F.col("_id").alias("_pid"), F.col("_key").alias("_pkey"), F.col("x.lo").alias("los"), F.col("x.n").alias("ns")), "listed")
-    met = texts.join(hinted(listed, open_.count(), broadcast_rows), at_key()).select("_id", "_key", "_text", "los", "ns")
-    # the doubling: ranks of a quarter, of a half, of all
-    rows = written(positions(met, length, piece_size), "positions")
-    rows = written(_repeated(rows, "quarter").select("_id", "_key", "p", "half", "rest"), "quarters")
-    rows = written(_repeated(rows, "half"), "halves")
-    _, twice = _later(rows, ["_id", "_key", "p"], "half", "rest")
-    gone = gone.unionByName(twice.select("_id", "_key", F.col("p").alias("lo"), F.lit(1).cast("long").alias("n")))
-    return written(merged(gone, length), "spans")
+    of = lambda f: lambda *x: f(*x, length=length)
+    # the first rounds: sampled positions, then blocks of positions
+    columns = ("rank", "around", "place")
+    gone, open_ = _settled(_repeated(_named(texts, of(anchors), columns, length, piece_size), "rank"))
+    more, open_ = _settled(written(_named(_met(texts, open_, broadcast_rows), of(blocks), columns, length, piece_size), "blocks"))
+    # the last: ranks of a half, then of all
+    rows = written(_named(_met(texts, open_, broadcast_rows), of(ranks), ("half", "rest", "place"), length, piece_size), "positions")
+    _, twice = _later(_repeated(rows, "half"), "half", "rest")
+    return written(merged(gone.unionByName(more).unionByName(twice), length), "spans")
+
+
+def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What has only repeated strings, since it stands earlier as a whole, and what stays open: the first of each kind of a rank that has several.
+
+    What has a unique rank has no repeated strings.
+    """
+    firsts, later = _later(rows, "rank", "around")
+    kinds = written(firsts.groupBy("rank").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("rank"), "kinds")
+    return later, written(firsts.join(kinds.hint("merge"), "rank").select("first.*"), "open")
+
+
+def _met(texts: DataFrame, open_: DataFrame, broadcast_rows: int) -> DataFrame:
+    """_id, _key, _text and places of the texts with something open, at most one a start."""
+    listed = written(open_.groupBy(F.col("_id").alias("_pid"), F.col("_key").alias("_pkey")).agg(F.collect_list("place").alias("places")), "listed")
+    return texts.join(hinted(listed, open_.count(), broadcast_rows), at_key()).select("_id", "_key", "_text", "places")
 
 
 def merged(gone: DataFrame, length: int) -> DataFrame:
-    """_pid, _pkey, spans of the runs that the strings at the starts lo to lo + n - 1 cover; at most one start a byte of a text."""
-    runs = gone.groupBy("_id", "_key").agg(F.collect_list(F.struct("lo", "n")).alias("x")).select("_id", "_key", F.col("x.lo").alias("los"), F.col("x.n").alias("ns"))
+    """_pid, _pkey, spans of the runs that the strings at the starts of places cover; at most one a byte of a text."""
+    runs = gone.groupBy("_id", "_key").agg(F.collect_list("place").alias("places"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = lambda c, b=batch: b.column(b.schema.get_field_index(c))
             spans = []
             for i in range(batch.num_rows):
-                lo, n = of("los")[i].values.to_numpy(zero_copy_only=False), of("ns")[i].values.to_numpy(zero_copy_only=False)
+                lo, n, _ = unpacked(of("places")[i].values.to_numpy(zero_copy_only=False))
                 order = np.argsort(lo, kind="stable")
                 lo, end = lo[order], np.maximum.accumulate((lo + n - 1 + length)[order])
                 cut = np.flatnonzero(lo[1:] > end[:-1]) + 1
@@ -260,7 +293,7 @@ def _kept(text: Column, spans: Column) -> Column:
     return kept(text, spans)
 
 
-def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, broadcast_rows: int = 1_000_000, piece_size: int = PIECE) -> DataFrame:
+def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, broadcast_rows: int = 8_000_000, piece_size: int = PIECE) -> DataFrame:
     """df with kept (binary: the bytes that stay, which may end inside a character), n_bytes, n_removed and n_spans (long)."""
     unique = unique_ids(df, id_col)
     spans = repeated_spans(df, id_col, text_col, length, broadcast_rows, unique, piece_size)
