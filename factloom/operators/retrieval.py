@@ -56,22 +56,53 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame, groups: DataFrame) -> D
     return summed.select("question_id", "grp_ord", "child_id", "parent_id", F.round("score", 9).alias("score"), (F.col("hits") / F.col("n_terms")).alias("coverage"))
 
 
-def top_hits(scored: DataFrame, k: Column, score: str = "score", item: str = "child_id") -> DataFrame:
-    """The best k of each question and group, with their rank; ties by item."""
+def top_hits(scored: DataFrame, k: Column, score: str = "score", item: str = "child_id", most: int = CANDIDATES) -> DataFrame:
+    """The best k (``most`` at most) of each question and group, with their rank; ties by item.
+
+    The fixed limit comes first: with it each part of the hits passes on only its best, and no task sorts all hits of a group.
+    """
     rank = F.row_number().over(W.partitionBy("question_id", "grp_ord").orderBy(F.desc(score), item))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= most).filter(F.col("rank") <= k)
 
 
 def bm25_topk(scored: DataFrame, groups: DataFrame, total: int = CANDIDATES) -> DataFrame:
     """The best scored chunks of each group, by its share of the candidates."""
     share = group_budget(groups, total).select(F.col("question_id").alias("_q2"), F.col("grp_ord").alias("_g2"), "k")
     met = scored.join(share.hint("merge"), (F.col("question_id") == F.col("_q2")) & (F.col("grp_ord") == F.col("_g2")))
-    return top_hits(met, F.col("k")).select("question_id", "grp_ord", "child_id", "parent_id", "score", "coverage", "rank")
+    return top_hits(met, F.col("k"), most=total).select("question_id", "grp_ord", "child_id", "parent_id", "score", "coverage", "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
+
+
+#: Dimensions of the vectors of texts: one for each digit of a term's MD5.
+DIMENSIONS = 32
+
+
+def text_vectors(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, embedding: the sum over all terms of a text (stop words left out) of a random projection, a sign in each dimension by the term's hash.
+
+    Whole numbers, so that every order of the terms gives the same vector; texts without terms have none.
+    """
+    said = texts.select(*keys, F.explode(T.tokens(F.col(text_col))).alias("_t")).withColumn("_m", F.md5("_t"))
+    sign = lambda d: F.when(F.substring("_m", d, 1) >= "8", 1).otherwise(-1)
+    summed = said.groupBy(*keys).agg(*[F.sum(sign(d)).alias(f"_{d}") for d in range(1, DIMENSIONS + 1)])
+    return summed.select(*keys, F.array(*[F.col(f"_{d}").cast("float") for d in range(1, DIMENSIONS + 1)]).alias("embedding"))
+
+
+def dense_children(chunks: DataFrame, questions: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """question_id, grp_ord, child_id, parent_id, score, rank: the k chunks nearest to each question in each of its groups, of all that are in scope."""
+    vectors = written(text_vectors(chunks, ["child_id", "parent_id", "ticker", "doc_type"]), "vectors")
+    asked = groups.join(text_vectors(questions, ["question_id"]).hint("merge"), "question_id")
+    asked = written(asked.select(F.concat_ws("/", "question_id", "grp_ord").alias("query_id"), "question_id", "grp_ord", F.col("ticker").alias("grp"), F.col("doc_type").alias("_d"), F.col("embedding").alias("query")), "asked")
+    # a query of any type asks each type that there is
+    kinds = written(vectors.select(F.col("ticker").alias("grp"), "doc_type").distinct(), "kinds")
+    each = asked.join(kinds.hint("merge"), "grp").filter(F.col("_d").isNull() | (F.col("_d") == F.col("doc_type"))).select("query_id", F.struct("grp", "doc_type").alias("grp"), "query")
+    found = dense_topk(vectors.select(F.col("child_id").alias("vec_id"), F.struct(F.col("ticker").alias("grp"), "doc_type").alias("grp"), "embedding"), each, k)
+    back = found.drop("rank").join(asked.select("query_id", "question_id", "grp_ord").hint("merge"), "query_id").join(vectors.select(F.col("child_id").alias("vec_id"), "parent_id").hint("merge"), "vec_id")
+    return top_hits(back.select("question_id", "grp_ord", F.col("vec_id").alias("child_id"), "parent_id", "score"), F.lit(k))
 
 
 def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, deal: int = 64) -> DataFrame:
@@ -203,10 +234,9 @@ def _lexical(spark: SparkSession, sf_dir: str, total: int = CANDIDATES) -> DataF
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical ranking fused with a second one of the same scored children, by coverage: the tables have no vectors of the chunks."""
-    scored = _scored(spark, sf_dir)
-    again = scored.select("question_id", "grp_ord", "child_id", "parent_id", F.round(F.col("coverage"), 6).alias("score"))
-    return written(rrf_fuse(top_hits(again, F.lit(24)), bm25_topk(scored, V.question_groups(spark, sf_dir))), "fused")
+    """The lexical ranking fused with that of the nearest vectors among all chunks in scope."""
+    chunks, questions, groups = V.chunks(spark, sf_dir), V.questions(spark, sf_dir), V.question_groups(spark, sf_dir)
+    return written(rrf_fuse(dense_children(chunks, questions, groups, 24), bm25_topk(_scored(spark, sf_dir), groups)), "fused")
 
 
 _HIT = ("question_id", "grp_ord", "child_id", "parent_id")
@@ -318,7 +348,11 @@ _BASE = V.with_views("questions", "question_groups", "chunks") + "," + _bm25() +
 _FUSED = (
     _BASE
     + f""",
-second AS (SELECT * FROM (SELECT question_id, grp_ord, child_id, parent_id, round(coverage, 6) AS score, row_number() OVER (PARTITION BY question_id, grp_ord ORDER BY round(coverage, 6) DESC, child_id) AS rank FROM scored) WHERE rank <= 24),
+cv AS (SELECT child_id, list(s ORDER BY d) AS v FROM (SELECT child_id, d, sum(CASE WHEN substr(md5(term), d::INT, 1) >= '8' THEN tf ELSE -tf END)::DOUBLE AS s FROM post, range(1, {DIMENSIONS + 1}) r(d) GROUP BY child_id, d) GROUP BY child_id),
+qt AS (SELECT question_id, term, count(*) AS tf FROM (SELECT question_id, unnest({_TOKENS}) AS term FROM questions) GROUP BY ALL),
+qv AS (SELECT question_id, list(s ORDER BY d) AS v FROM (SELECT question_id, d, sum(CASE WHEN substr(md5(term), d::INT, 1) >= '8' THEN tf ELSE -tf END)::DOUBLE AS s FROM qt, range(1, {DIMENSIONS + 1}) r(d) GROUP BY question_id, d) GROUP BY question_id),
+near AS (SELECT g.question_id, g.grp_ord, t.child_id, t.parent_id, round(list_cosine_similarity(cv.v, qv.v), 6) AS score FROM question_groups g JOIN qv USING (question_id) JOIN tok t ON g.ticker = t.ticker AND (g.doc_type IS NULL OR g.doc_type = t.doc_type) JOIN cv ON cv.child_id = t.child_id),
+second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, grp_ord ORDER BY score DESC, child_id) AS rank FROM near) WHERE rank <= 24),
 both_ AS (SELECT question_id, grp_ord, child_id, parent_id, rank, score AS dense, 0.0::DOUBLE AS coverage FROM second UNION ALL SELECT question_id, grp_ord, child_id, parent_id, rank, 0.0, coverage FROM lex),
 agg_ AS (SELECT question_id, child_id, parent_id, min(grp_ord) AS grp_ord, round(sum(1.0::DOUBLE / ({RRF} + rank)), 12) AS rrf, max(dense) AS dense, max(coverage) AS coverage FROM both_ GROUP BY ALL),
 fused AS (SELECT *, round(rrf / max(rrf) OVER (PARTITION BY question_id), 9) AS fused FROM agg_)"""
