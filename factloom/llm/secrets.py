@@ -2,13 +2,14 @@ r"""Secret scan: candidates by pattern, false positives removed by a random fore
 
 Candidates are long runs of letters, digits and the marks of encoded values (16 characters or more,
 with a letter and a digit), values assigned to words such as token or password, and private key
-blocks. The forest sees a candidate's length, its character classes and transitions between them, its
+blocks up to their END lines. The forest sees a candidate's length, its character classes and transitions between them, its
 coverage by a dictionary, its path and the words beside it (the last five of the 60 characters before
 it, the first three of the 40 after it). It is trained, on Spark, from labelled findings: a table of
 value, before, after, path and label. Without one, ``example_findings`` makes a labelled table by rule, of
 a fixed number of rows. It deals a family of values and a family of places independently, so that no pair
 of the two is fixed, and labels them by both: a value of a key's form is a secret unless its words say
-that it is a checksum, a version, an identifier or an example; a value of another form never is.
+that it is a checksum, a version, an identifier or an example; a value of another form never is. A third of
+the places use words that no feature counts. Whole key blocks are secrets, their first lines in prose are not.
 
 The dictionary is the corpus's own: the ``dictionary_words`` words (of 3 to 64 letters; longer runs are no words) in
 most rows, counted over all texts.
@@ -42,7 +43,9 @@ NOT_CUES = ("example", "sample", "test", "dummy", "commit", "sha", "sha256", "ch
 PATH_CUES = ("test", "example", "sample", "doc", "mock", "fixture")
 _LONG = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9=+/_-](?![A-Za-z0-9])"
 _ASSIGNED = r"(?:key|token|secret|passw(?:or)?d|pwd|credential)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"'<>]{6,})"
-_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: A key block ends at its END line, within KEY characters and before another begins; without one it is its first line.
+KEY = 20_000
+_BLOCK = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S]){{0,{KEY}}}?-----END [A-Z ]*PRIVATE KEY-----)?"
 _FIND = re.compile(f"(?P<block>{_BLOCK})|(?i:{_ASSIGNED})|(?P<long>{_LONG})")
 _WORD = re.compile(r"[A-Za-z]+[0-9]*")
 KINDS = {"block": "private_key", "value": "assigned", "long": "long"}
@@ -119,6 +122,9 @@ def dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000) -> fro
 
 #: The words by which the labelled examples are made. A family of places by what it says of a value.
 ASSIGNED = ("token", "secret", "api_key", "password", "auth_token", "client_secret", "private_key", "access_key", "credential")
+#: The same outside the words that features count, so that the forest must also judge by a value's form and marks.
+ASSIGNED_ELSE = ("login", "signing", "webhook", "vault", "session", "deploy", "service", "cookie")
+NAMED_ELSE = ("revision", "digest", "snapshot", "ticket", "release", "document", "trace", "fingerprint")
 NAMED = ("commit", "sha256", "md5 checksum", "uuid", "etag", "build", "version", "image", "example", "sample", "test", "placeholder", "host", "file")
 
 
@@ -137,14 +143,20 @@ def _example(i: int, words: list[str]) -> tuple[str, str, str, str, int]:
         "host": lambda: f"{w()}{rng.randrange(99)}.{w()}.{rng.choice(('internal', 'org', 'net', 'example'))}", "time": lambda: f"20{rng.randint(10, 40)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T00-00-0{rng.randint(0, 9)}Z",
         "version": lambda: f"v{rng.randrange(9)}.{rng.randrange(20)}.{rng.randrange(9)}-{w()}-{w()}", "repeat": lambda: rng.choice("x*0a") * rng.randint(14, 20) + "1", "words": lambda: w() + w() + w() + str(rng.randrange(10)),
     }
+    if rng.random() < 0.1:  # key blocks, and their first lines in prose
+        kind, whole = rng.choice(("", "RSA ", "EC ", "OPENSSH ")), rng.random() < 0.6
+        lines = "\n".join(some(lower + lower.upper() + digits + "+/", 64) for _ in range(rng.randint(3, 26)))
+        head = f"-----BEGIN {kind}PRIVATE KEY-----"
+        return (f"{head}\n{lines}\n-----END {kind}PRIVATE KEY-----", f"{w()} {w()}\n", "\n", "", 1) if whole else (head, f"{w()} line ", f" {w()} {w()}", "", 0)
     named = rng.random() < 0.4
     real = rng.random() < 0.65
+    elsewhere = rng.random() < 0.3
     value = rng.choice(list((keyed_ if real else plain).values()))()
     lead = " ".join(w() for _ in range(3))
     if named:
-        before, after = f"{lead} {rng.choice(NAMED)}{rng.choice((' ', ':', ': ', ' is '))}", rng.choice((" ", ", ", "")) + w()
+        before, after = f"{lead} {rng.choice(NAMED_ELSE if elsewhere else NAMED)}{rng.choice((' ', ':', ': ', ' is '))}", rng.choice((" ", ", ", "")) + w()
     else:
-        cue, quote = rng.choice(ASSIGNED), rng.choice(('"', "'", ""))
+        cue, quote = rng.choice(ASSIGNED_ELSE if elsewhere else ASSIGNED), rng.choice(('"', "'", ""))
         before = rng.choice((f"{lead} {cue} = {quote}", f"{lead} {cue}: {quote}", f"{lead} {cue.upper()}={quote}", f"{lead} bearer {quote}"))
         after = quote + " " + w()
     if not named and not real and rng.random() < 0.5:  # names of things beside no cue at all

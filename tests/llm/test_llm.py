@@ -443,6 +443,8 @@ def test_secrets_precision_and_recall(spark):
     feats = [(secrets.features(v, b, a, p, "long", WORDS), y) for v, b, a, p, y in other_findings()]
     judged = forest.transform(spark.createDataFrame(feats, "f array<double>, label int").withColumn("vector", array_to_vector("f"))).collect()
     hit = sum(r["prediction"] == 1 and r["label"] == 1 for r in judged)
+    families = [f"{sum(r['prediction'] == r['label'] for r in judged[i::7])} of {len(judged[i::7])}" for i in range(7)]
+    print("right by family (bearer, password, token; commit, checksum, release, host):", families)
     assert hit / sum(r["label"] == 1 for r in judged) > 0.9 and hit / sum(r["prediction"] == 1 for r in judged) > 0.9
 
 
@@ -467,6 +469,21 @@ def test_secrets_found(spark, awkward, empty):
     assert {r["secret"] for r in secrets.find_secrets(docs, findings=labelled.withColumn("label", F.lit(0))).collect()} == {False}
 
 
+def test_key_blocks(spark):
+    """A block up to its END line, one that never ends by its first line, two beside each other, and one past the bound."""
+    body = "\n".join("MIIEabc+/0123456789" * 3 for _ in range(20))
+    one = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    for text, want in (
+        (f"see {one} there", [one]), (f"{one}\n{one}", [one, one]), ("a line -----BEGIN PRIVATE KEY----- and no more", ["-----BEGIN PRIVATE KEY-----"]),
+        ("-----BEGIN PRIVATE KEY-----\n" + one, ["-----BEGIN PRIVATE KEY-----", one]), ("-----BEGIN PRIVATE KEY-----" + " " * (secrets.KEY + 1) + "-----END PRIVATE KEY-----", ["-----BEGIN PRIVATE KEY-----"]),
+    ):
+        assert [text[s:e] for k, s, e in secrets.candidates(text) if k == "private_key"] == want
+        assert all(k == "private_key" for k, s, e in secrets.candidates(text))
+    docs = spark.createDataFrame([(1, f"my key\n{one}\n", "s"), (2, "The line -----BEGIN PRIVATE KEY----- starts a key.", "s")], "doc_id long, text string, source string")
+    got = secrets.find_secrets(docs).collect()
+    assert {(r["doc_id"], r["value"], r["secret"]) for r in got} == {(1, one, True), (2, "-----BEGIN PRIVATE KEY-----", False)}
+
+
 def test_dictionary(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["one", "two", "three", "four", "ab", "Five"]) + rng.choice(["", "x", "y"]) for _ in range(rng.randint(0, 9))) for _ in range(200)]
