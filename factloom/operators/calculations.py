@@ -338,18 +338,21 @@ h AS (SELECT question_id, name, row_number() OVER (PARTITION BY question_id ORDE
 def calc_chain(facts: DataFrame) -> DataFrame:
     """Steps that use earlier results: profit, then margin, then the change of the margin to the year before.
 
-    Each step is a calculate() over the facts and the results so far: as many jobs as the plan is deep.
+    Each step is a calculate() over the facts and the results so far, written before the next: as many jobs as the plan is deep.
     """
     base = facts.withColumn("step", F.lit(0))
     key = lambda m, y: F.concat_ws(":", "ticker", F.lit(m), y.cast("string"))
-    groups, y = facts.select("ticker", "fiscal_year").distinct(), F.col("fiscal_year")
+    y = F.col("fiscal_year")
 
     def step(known: DataFrame, rows: DataFrame, name: str, kind: str, op: str, inputs: Column) -> DataFrame:
         asked = rows.select("ticker", "fiscal_year", key(name, y).alias("request_id"), F.lit(op).alias("operation"), inputs.alias("inputs"), F.lit(None).cast("int").alias("periods"))
-        done = calculate(asked, known).join(asked.select("request_id", "ticker", "fiscal_year"), "request_id")
-        return done.select(F.col("request_id").alias("fact_id"), "ticker", F.lit(name).alias("metric"), "fiscal_year", F.col("result").cast("decimal(38,10)").alias("base_value"), F.lit(kind).alias("value_type"), F.when(F.lit(kind) == "currency", "USD").alias("currency"), F.lit("ones").alias("scale"), F.lit(None).cast("string").alias("basis"), F.col("reason"))
+        done = calculate(asked, known).join(asked.select("request_id", "ticker", "fiscal_year").hint("merge"), "request_id")
+        done = done.select(F.col("request_id").alias("fact_id"), "ticker", F.lit(name).alias("metric"), "fiscal_year", F.col("result").cast("decimal(38,10)").alias("base_value"), F.lit(kind).alias("value_type"), F.when(F.lit(kind) == "currency", "USD").alias("currency"), F.lit("ones").alias("scale"), F.lit(None).cast("string").alias("basis"), F.col("reason"))
+        return written(done, name)
 
     plain = base.drop("step").withColumns({"scale": F.lit("ones"), "basis": F.lit(None).cast("string")})
+    plain = written(plain, "facts")
+    groups = plain.select("ticker", "fiscal_year").distinct()
     profit = step(plain, groups, "gross_profit", "currency", "difference", F.array(key("total_revenue", y), key("cost_of_revenue", y)))
     known = plain.unionByName(profit.filter("reason is null").drop("reason"))
     margin = step(known, groups, "gross_margin", "ratio", "ratio", F.array(key("gross_profit", y), key("total_revenue", y)))

@@ -129,6 +129,21 @@ def ranked_by_hash(rows: DataFrame, id_col: str, type_col: str) -> DataFrame:
     return met.select(*rows.columns, (F.col("_r") + F.col("_before")).alias("_r"))
 
 
+def numbered(rows: DataFrame, group_col: str, order_col: str) -> DataFrame:
+    """rows with _r, the place of each in its group by a column without repeats.
+
+    Rows are dealt out by ranges of group and order, numbered within a range, and the counts of the ranges before are added,
+    so that a group of any size is as many tasks as it fills.
+    """
+    dealt = written(rows.repartitionByRange(group_col, order_col).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(F.col(group_col).alias("_g"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = written(counts.select("_g", "_p", before.alias("_before")), "offsets")
+    near = dealt.withColumn("_r", F.row_number().over(W.partitionBy(group_col, "_part").orderBy(order_col)))
+    met = near.join(hinted(offsets, offsets.count(), 200_000), F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return met.select(*rows.columns, (F.col("_r") + F.col("_before")).alias("_r"))
+
+
 def cap_dataset(rows: DataFrame, id_col: str, type_col: str, maximum: int) -> DataFrame:
     """At most maximum rows: as if the most common type (ties: first by name) lost its largest hash again and again."""
     rank = F.row_number().over(W.partitionBy(type_col).orderBy(hash_of(id_col)))
@@ -138,11 +153,14 @@ def cap_dataset(rows: DataFrame, id_col: str, type_col: str, maximum: int) -> Da
 def balance_types(rows: DataFrame, id_col: str, type_col: str, max_share: float = MAX_SHARE) -> DataFrame:
     """Rows of the largest type (ties: the first by name, null before all) go, largest hash first, until no type has more than max_share.
 
-    The loop runs over the table of counts alone, one row a type.
+    The loop runs over the table of counts alone, one row a type; types are a short list, over 10,000 are an error.
     """
     import math
 
-    counts = {r[0]: r[1] for r in rows.groupBy(type_col).count().collect()}  # one row a type
+    listed = rows.groupBy(type_col).count().limit(10_001).collect()
+    if len(listed) > 10_000:
+        raise ValueError("over 10,000 types")
+    counts = {r[0]: r[1] for r in listed}
     while counts:
         total = sum(counts.values())
         kind = min(counts, key=lambda k: (-counts[k], k is not None, k or ""))
