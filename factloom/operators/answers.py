@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators.calculations import SCALES
 from factloom.operators.joins import NEAR, _gram_sql, near_duplicates
+from factloom.operators.retrieval import _TOKENS
 from factloom.sources import views as V
 from factloom.sources.shared import written
 
@@ -338,7 +339,11 @@ _E = V.with_views("examples")
 _NORM = r"regexp_replace(regexp_replace(answer, '(?i)\((?:source\s+)?S(\d+)\)', '[S\1]', 'g'), '(?i)\[source\s+S(\d+)\]', '[S\1]', 'g')"
 _FOLDED = r"trim(regexp_replace(lower(translate(question, '‘’“”–—' || chr(160), '''''" + '""' + r"-- ')), '\s+', ' ', 'g'))"
 _FP = rf"sha256(array_to_string(regexp_extract_all({_FOLDED}, '([a-z0-9]+)', 1), ' '))"
+_EXCERPT = "CASE id % 3 WHEN 0 THEN array_to_string(w, ' ') WHEN 1 THEN array_to_string(list_reverse(w), ' ') || ' zzz' ELSE array_to_string(w, ' ') || ' 987654321' END"
 ORACLES = {
+    "excerpt_support": rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '(\S+)', 1)[3:10] AS w FROM documents), x AS (SELECT id, {_FOLDED.replace('question', _EXCERPT)} AS e, {_FOLDED.replace('question', 'text')} AS s FROM d),
+t AS (SELECT id, e, s, list_distinct({_TOKENS.replace('lower(text)', 'e')}) AS et, {_TOKENS.replace('lower(text)', 's')} AS st FROM x), m AS (SELECT *, list_filter(et, lambda y: NOT list_contains(st, y)) AS ms FROM t)
+SELECT id, e <> '' AND (contains(s, e) OR (len(et) >= 3 AND len(list_filter(ms, lambda y: regexp_matches(y, '\d'))) = 0 AND len(et) - len(ms) >= 0.7 * len(et))) AS supported FROM m""",
     "citation_check": rf"WITH {_ANSWERS}, n AS (SELECT *, trim({_NORM}) AS t FROM answers), c AS (SELECT *, list_distinct(regexp_extract_all(t, '\[(S[1-9]\d*)\]', 1)) AS i FROM n), b AS (SELECT *, list_filter(regexp_extract_all(t, '\[(S[1-9]\d*)\]', 1), lambda x: NOT list_contains(sources, x)) AS bi, list_filter(declared, lambda x: NOT list_contains(sources, x)) AS bd FROM c), r AS (SELECT answer_id, CASE WHEN t = '' THEN 'empty_answer' WHEN len(bi) > 0 THEN 'unknown_inline_source_ids:' || array_to_string(bi, ',') WHEN len(bd) > 0 THEN 'unknown_declared_source_ids:' || array_to_string(bd, ',') WHEN len(i) > 0 THEN 'valid_inline_citations' WHEN len(declared) > 0 THEN 'valid_structured_ids_appended' ELSE 'missing_source_ids' END AS reason FROM b) SELECT answer_id, starts_with(reason, 'valid') AS valid, reason FROM r",
     "citation_expand": rf"WITH {_ANSWERS}, u AS (SELECT answer_id, sources, regexp_extract_all({_NORM}, '\[(S[1-9]\d*)\]', 1) AS ids FROM answers), e AS (SELECT answer_id, sources, unnest(ids) AS id, unnest(range(0, len(ids))) AS pos FROM u), f AS (SELECT answer_id, id, min(pos) AS pos FROM e WHERE list_contains(sources, id) GROUP BY answer_id, id) SELECT answer_id, string_agg('Filing ' || id || ' ' || answer_id, '; ' ORDER BY pos) AS labels FROM f GROUP BY answer_id",
     "bullet_citation_check": r"WITH l AS (SELECT doc_id, ls, unnest(ls) AS x, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)), b AS (SELECT doc_id, '- ' || x || CASE WHEN i % 4 = 0 THEN ' [S1]' ELSE '' END AS line FROM l) SELECT doc_id AS answer_id, count(*) FILTER (WHERE regexp_matches(line, '^\s*[-*•]\s+') AND (length(line) >= 70 OR regexp_matches(line, '\d')) AND NOT regexp_matches(line, '\[S\d+\]')) AS uncited FROM b GROUP BY doc_id",

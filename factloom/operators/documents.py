@@ -310,6 +310,9 @@ _SEGS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _TOKENS = r"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+(?:[.&''-][\p{{L}}\p{{N}}]+)*', 0), lambda t: t NOT IN (" + _STOP + "))"
 ORACLES = {
+    "evidence_windows": f"""WITH {_LINES}, z AS (SELECT doc_id, list([least(length(text), 3000)] ORDER BY line_no) AS ns FROM raw WHERE length(text) >= 80 GROUP BY doc_id),
+w AS (SELECT doc_id, list_filter(list_reduce(ns, lambda acc, x: CASE WHEN acc[-1] + 2 + x[1] <= 3000 THEN list_append(acc[:-2], acc[-1] + 2 + x[1]) ELSE list_concat(acc, x) END), lambda n: n >= 500)[1:4] AS w FROM z)
+SELECT doc_id, unnest(range(0, len(w)))::INT AS "window", unnest(w)::INT AS n_chars FROM w""",
     "clean_text": f"SELECT page_id, sha256({_CLEAN}) AS clean_sha256 FROM pages",
     "readable_text": f"SELECT page_id, sha256({_READ}) AS readable_sha256 FROM pages",
     "html_text_blocks": f"WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '{CHROME}', '', 'g'), '{BLOCK}', 1) AS bs FROM pages), e AS (SELECT page_id, unnest(bs) AS b, unnest(range(0, len(bs))) AS pos FROM b), t AS (SELECT page_id, pos, trim(regexp_replace({_un(chr(114) + 'egexp_replace(b, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '\\s+', ' ', 'g')) AS block FROM e), f AS (SELECT * FROM t WHERE block <> '') SELECT page_id, pos, sha256(block) AS block_sha256 FROM f QUALIFY lag(block) OVER (PARTITION BY page_id ORDER BY pos) IS DISTINCT FROM block",

@@ -393,6 +393,9 @@ r2 AS (SELECT *, ig <= {PER_GROUP} AND groups > 1 AS first_ FROM r1 JOIN rg USIN
 r3 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY first_ DESC, rerank DESC, child_id) AS o FROM r2)
 SELECT question_id, grp_ord, child_id, parent_id, row_number() OVER (PARTITION BY question_id ORDER BY rerank DESC, child_id) AS place FROM r3 WHERE o <= CASE WHEN groups > 1 THEN greatest({KEPT}, {PER_GROUP} * groups) ELSE {KEPT} END""",
     "parent_select": _POOL + " SELECT question_id, parent_id, place FROM chosen",
+    "context_pack": _POOL + """, sz AS (SELECT parent_id, sum(length(text))::BIGINT AS n FROM chunks GROUP BY parent_id), bl AS (SELECT question_id, list([n, place] ORDER BY place) AS b FROM chosen JOIN sz USING (parent_id) GROUP BY question_id),
+pk AS (SELECT question_id, list_reduce(list_concat([[0::BIGINT]], b), lambda acc, x: CASE WHEN acc[1] + x[1] <= 6000 THEN list_concat([acc[1] + x[1]], acc[2:], [x[2]]) ELSE acc END)[2:] AS kept FROM bl)
+SELECT question_id, unnest(kept) AS place, 'S' || unnest(range(1, len(kept) + 1)) AS source_id FROM pk""",
     "parent_child_join": _BASE + ", sz AS (SELECT parent_id, count(*) AS children FROM chunks GROUP BY parent_id) SELECT question_id, grp_ord, child_id, parent_id, children FROM lex JOIN sz USING (parent_id)",
     "parent_lookup": V.with_views("chunks") + ", t AS (SELECT doc_id, parent_id, sha256(text) AS text_sha256 FROM chunks WHERE child_index = 0), a AS (SELECT doc_id AS ord, CASE WHEN doc_id % 5 = 0 THEN 'missing-' || doc_id ELSE parent_id END AS parent_id FROM t) SELECT ord, parent_id, text_sha256 FROM a LEFT JOIN (SELECT parent_id, text_sha256 FROM t) USING (parent_id)",
     "scope_filter": V.with_views("question_groups", "chunks") + " SELECT question_id, grp_ord, count(*) AS chunks FROM question_groups g JOIN chunks c ON g.ticker = c.ticker AND (g.doc_type IS NULL OR g.doc_type = c.doc_type) GROUP BY question_id, grp_ord",
