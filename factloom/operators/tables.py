@@ -303,13 +303,6 @@ def q_tax_factors_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("rank", F.row_number().over(W.partitionBy("ticker").orderBy(F.desc(F.abs("rate")), "fiscal_year")).cast("long")).filter("rank <= 5")
 
 
-def q_quote_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each source, the best sentence of 60 to 500 characters: the one with most stop words, then the first."""
-    s = V.segments(spark, sf_dir).select("ticker", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([^.!?\n]+[.!?])"), 1)).alias("pos", "s")).withColumn("s", F.trim("s")).filter(F.length("s").between(60, 500))
-    score = F.size(F.filter(F.split(F.lower("s"), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w.isin("the", "of", "and", "de", "la", "der", "die")))
-    return s.withColumn("score", score.cast("long")).withColumn("_r", F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("score"), "doc_id", "pos"))).filter("_r = 1").select("ticker", "doc_id", F.col("pos").cast("long").alias("pos"), "score")
-
-
 QUERIES = {k[2:]: f for k, f in dict(globals()).items() if k.startswith("q_")}
 _F = V.with_views("facts")
 _TT = (
@@ -343,7 +336,6 @@ ORACLES = {
     "evidence_select": V.with_views("examples") + " SELECT example_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, query_type, review_status = 'approved' ORDER BY example_id) AS r FROM examples) WHERE (review_status = 'approved' AND example_id % 4 = 0) OR (review_status <> 'approved' AND r <= 3)",
     "evidence_merge": V.with_views("segments") + " SELECT doc_type, min(doc_id) AS first_id, count(*) AS merged, 'S' || row_number() OVER (PARTITION BY doc_type ORDER BY min(doc_id)) AS source_id FROM segments GROUP BY doc_type, text",
     "tax_factors_top5": _F + ", r AS (SELECT ticker, fiscal_year, round(base_value::DOUBLE - lag(base_value::DOUBLE) OVER (PARTITION BY ticker ORDER BY fiscal_year), 6) AS rate FROM facts WHERE metric = 'effective_tax_rate') SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY abs(rate) DESC, fiscal_year) AS rank FROM r WHERE rate IS NOT NULL QUALIFY rank <= 5",
-    "quote_rank": V.with_views("segments") + r", s AS (SELECT ticker, doc_id, unnest(ss) AS s, unnest(range(0, len(ss))) AS pos FROM (SELECT *, regexp_extract_all(text, '([^.!?\n]+[.!?])', 1) AS ss FROM segments)), c AS (SELECT ticker, doc_id, pos, len(list_filter(regexp_split_to_array(lower(trim(s)), '[^\p{L}\p{M}\p{N}]+'), lambda w: w IN ('the', 'of', 'and', 'de', 'la', 'der', 'die'))) AS score FROM s WHERE length(trim(s)) BETWEEN 60 AND 500) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY score DESC, doc_id, pos) = 1",
     "gen_refusals": "WITH g AS (SELECT DISTINCT source || '-' || lang AS group_id FROM documents), k AS (SELECT group_id, ('0x' || substr(sha256(group_id), 1, 12))::BIGINT % 5 AS k FROM g) SELECT group_id, ['missing_year', 'missing_company', 'future', 'opinion', 'other_document'][k + 1] AS category FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY group_id) <= 8",
     "sft_records": V.with_views("examples") + " SELECT example_id, sha256(to_json({'messages': [{'role': 'system', 'content': 'Answer from the evidence.'}, {'role': 'user', 'content': question}, {'role': 'assistant', 'content': to_json({'type': query_type, 'status': review_status})::VARCHAR}]})::VARCHAR) AS record_sha256 FROM examples",
     "strongest_evidence": V.with_views("segments") + ", e AS (SELECT ticker, doc_type, doc_id, round(4 * len(" + _keys("text") + r") + len(regexp_extract_all(text, '(\S+)', 1)) / 1000.0::DOUBLE, 6) AS score FROM segments) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY ticker, doc_type ORDER BY score DESC, doc_id) = 1",
