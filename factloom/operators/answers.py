@@ -158,7 +158,7 @@ def fact_select(candidates: DataFrame) -> DataFrame:
 # -- examples and reviews ---------------------------------------------------------------------------
 
 
-def validate_examples(examples: DataFrame) -> DataFrame:
+def validate_questions(examples: DataFrame) -> DataFrame:
     """example_id, errors: all that is wrong with a question, joined."""
     q = F.col("question")
     errors = F.array_compact(F.array(
@@ -301,8 +301,8 @@ def q_fact_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("o_custkey", "year").agg(F.countDistinct("o_orderpriority").alias("v")).filter("v = 1").select("o_custkey", "year")
 
 
-def q_validate_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate_examples(V.examples(spark, sf_dir))
+def q_validate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate_questions(V.examples(spark, sf_dir))
 
 
 def q_validate_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +352,7 @@ SELECT id, e <> '' AND (contains(s, e) OR (len(et) >= 3 AND len(list_filter(ms,
     "fact_dedupe": "SELECT DISTINCT 'F' || left(sha256(concat_ws('|', o_custkey % 200, o_orderpriority, year(o_orderdate))), 16) AS fact_id FROM orders",
     "fact_select": "WITH c AS (SELECT o_custkey AS ref_id, o_orderkey AS fact_id, left(o_orderpriority, 1)::INT AS tier, o_orderkey % 3 AS value, o_orderkey % 2 AS places FROM orders), b AS (SELECT * FROM c QUALIFY tier = min(tier) OVER (PARTITION BY ref_id)), p AS (SELECT *, places = max(places) OVER (PARTITION BY ref_id) AS sharp FROM b), g AS (SELECT ref_id, count(DISTINCT value) AS v, min(fact_id) AS a, count(DISTINCT value) FILTER (WHERE sharp) AS s, min(fact_id) FILTER (WHERE sharp) AS si FROM p GROUP BY ref_id) SELECT ref_id, CASE WHEN v = 1 THEN a WHEN s = 1 THEN si END AS chosen, CASE WHEN v > 1 AND s > 1 THEN 'ambiguous' END AS reason FROM g",
     "fact_completeness": "WITH o AS (SELECT o_custkey, year(o_orderdate)::INT AS year, o_orderpriority, o_orderstatus = 'F' AS exact_ FROM orders), b AS (SELECT * FROM o QUALIFY exact_ = bool_or(exact_) OVER (PARTITION BY o_custkey, year)) SELECT o_custkey, year FROM b GROUP BY o_custkey, year HAVING count(DISTINCT o_orderpriority) = 1",
-    "validate_examples": _E + r" SELECT example_id, concat_ws(',', CASE WHEN trim(question) = '' THEN 'empty question' END, CASE WHEN length(question) > 400 THEN 'question too long' END, CASE WHEN NOT regexp_matches(question, '[.?!]\s*$') THEN 'no end mark' END, CASE WHEN regexp_matches(question, '[ÂÃ�]') THEN 'mojibake' END, CASE WHEN regexp_matches(question, '\d') THEN 'number without evidence' END, CASE WHEN review_status = 'approved' AND benchmark_overlap THEN 'approved with benchmark overlap' END) AS errors FROM examples",
+    "validate_questions": _E + r" SELECT example_id, concat_ws(',', CASE WHEN trim(question) = '' THEN 'empty question' END, CASE WHEN length(question) > 400 THEN 'question too long' END, CASE WHEN NOT regexp_matches(question, '[.?!]\s*$') THEN 'no end mark' END, CASE WHEN regexp_matches(question, '[ÂÃ�]') THEN 'mojibake' END, CASE WHEN regexp_matches(question, '\d') THEN 'number without evidence' END, CASE WHEN review_status = 'approved' AND benchmark_overlap THEN 'approved with benchmark overlap' END) AS errors FROM examples",
     "validate_dataset": _E + f", e AS (SELECT *, {_FP} AS fp, CASE WHEN example_id % 10 < 8 THEN 'train' WHEN example_id % 10 = 8 THEN 'validation' END AS split FROM examples), eq AS (SELECT example_id, question AS text, group_id FROM examples), " + _gram_sql("eq", "example_id", "n") + f""", sig AS (SELECT wn.id, sha256(coalesce(string_agg(g, '|' ORDER BY g), '')) AS s FROM wn LEFT JOIN en USING (id) GROUP BY wn.id), cl AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM sig), er AS (SELECT * FROM en WHERE id IN (SELECT class_id FROM cl)), c AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM er x JOIN er y ON x.g = y.g AND x.id <> y.id GROUP BY ALL), pr AS (SELECT a, b FROM c JOIN nn x ON x.id = a JOIN nn y ON y.id = b WHERE i / (x.n + y.n - i) >= {NEAR}), cg AS (SELECT DISTINCT class_id, group_id FROM cl JOIN eq ON eq.example_id = cl.id), mk AS (SELECT a, CASE WHEN EXISTS (SELECT 1 FROM cg x JOIN cg y USING (group_id) WHERE x.class_id = a AND y.class_id = b) THEN 'near_duplicate_in_group' ELSE 'near_duplicate_across_groups' END AS problem FROM pr) SELECT 'duplicate_id' AS problem, example_id::VARCHAR AS key, count(*) AS n FROM examples GROUP BY example_id HAVING count(*) > 1 UNION ALL SELECT problem, a::VARCHAR, count(*) FROM mk GROUP BY ALL UNION ALL SELECT 'duplicate_question' AS problem, fp AS key, count(*) AS n FROM e GROUP BY fp HAVING count(*) > 1 UNION ALL SELECT 'group_in_splits', group_id, count(DISTINCT split) FROM e WHERE split IS NOT NULL GROUP BY group_id HAVING count(DISTINCT split) > 1""",
     "review_apply": _E + ", r AS (SELECT *, CASE WHEN example_id % 3 = 0 THEN NULL WHEN example_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS new_ FROM examples), w AS (SELECT *, CASE WHEN new_ IS NOT NULL AND example_id % 11 = 0 THEN 'duplicate review' WHEN new_ = 'approved' AND benchmark_overlap THEN 'overlap' WHEN new_ = 'approved' AND example_id % 7 = 0 THEN 'no reviewer' WHEN new_ = 'approved' AND example_id % 5 = 0 THEN 'no zoned time' END AS reason FROM r) SELECT example_id, CASE WHEN new_ IS NOT NULL AND reason IS NULL THEN new_ ELSE review_status END AS status, reason FROM w",
     "ai_review_gate": _E + " SELECT example_id, CASE WHEN benchmark_overlap THEN 'rejected' WHEN example_id % 4 = 0 THEN 'approved' WHEN example_id % 6 = 0 OR (example_id % 20) / 20.0 < 0.9 THEN 'needs_edit' WHEN example_id % 5 = 0 THEN 'rejected' ELSE 'approved' END AS status FROM examples",

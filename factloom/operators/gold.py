@@ -57,10 +57,14 @@ def result_of(operation: Column, operands: Column, places: Column) -> Column:
     made = (
         F.when(operation == "difference", wide(value(0) - value(1))).when(operation == "percentage_change", wide((a - b) / b * 100)).when(operation == "percentage_of", wide(a / b * 100)).when(operation == "ratio", wide(a / b)).when(operation == "sum", wide(total))
     )
-    rounded = F.round(made, 0).cast("decimal(38,12)")
-    for n in range(1, PLACES + 1):
-        rounded = F.when(places == n, F.round(made, n).cast("decimal(38,12)")).otherwise(rounded)
-    return number_key(rounded.cast("string"))
+
+    def rounded(value: Column) -> Column:
+        out = F.round(value, 0).cast("decimal(38,12)")
+        for n in range(1, PLACES + 1):
+            out = F.when(places == n, F.round(value, n).cast("decimal(38,12)")).otherwise(out)
+        return out
+
+    return T.let(T.let(made, rounded), lambda r: number_key(r.cast("string")))
 
 
 def _claim_errors(requests: Column, evidence: Column) -> Column:
@@ -117,8 +121,9 @@ def _calculations(verified: Column) -> Column:
     def step(state: Column, c: Column) -> Column:
         at = lambda *x: _said("calculation_", state["n"].cast("string"), ":", *x)
         operands = _each(c["operands"], lambda o, i: F.when(number_key(o).isNull(), at("operand_", i, ":invalid:", o)).when(~F.array_contains(state["backed"], number_key(o)), at("operand_", i, ":not_evidence_backed:", o)))
-        expected, actual = result_of(c["operation"], c["operands"], c["places"]), number_key(c["result"])
-        wrong = F.when(expected.isNull(), at("not_computable")).when(actual.isNull(), at("not_a_number:", c["result"])).when(expected != actual, at("wrong_result:", actual, ":expected:", expected))
+        both = F.struct(result_of(c["operation"], c["operands"], c["places"]).alias("expected"), number_key(c["result"]).alias("actual"))
+        actual = number_key(c["result"])
+        wrong = T.let(both, lambda x: F.when(x["expected"].isNull(), at("not_computable")).when(x["actual"].isNull(), at("not_a_number:", c["result"])).when(x["expected"] != x["actual"], at("wrong_result:", x["actual"], ":expected:", x["expected"])))
         return F.struct(F.concat(state["errors"], operands, F.array_compact(F.array(wrong))).alias("errors"), F.when(wrong.isNull(), F.array_append(state["backed"], actual)).otherwise(state["backed"]).alias("backed"), (state["n"] + 1).alias("n"))
 
     return F.aggregate("calculations", start, step, lambda s: s["errors"])

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.operators import answers, calculations, datasets, documents, evidence, gathering, gold, joins, questions, quotes, retrieval, statements, tables, traces
+from factloom.operators import answers, calculations, datasets, documents, evidence, examples, gathering, gold, joins, questions, quotes, retrieval, statements, tables, traces
 from factloom.sources import files
 from factloom.streaming import logs
 
-_MODULES: tuple = (retrieval, calculations, datasets, joins, documents, answers, tables, evidence, questions, quotes, traces, statements, gold, gathering, files, logs)
+_MODULES: tuple = (retrieval, calculations, datasets, joins, documents, answers, tables, evidence, questions, quotes, traces, statements, gold, gathering, examples, files, logs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
