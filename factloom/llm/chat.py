@@ -9,7 +9,8 @@ The template marks a turn as ``### role: text</turn>`` and a line end. Inside ro
 backslash goes before each ``\``, ``###`` and ``</turn>`` (and ``:`` in roles), so the output can be read
 back exactly. The loss mask is the list of spans (code points, end exclusive) of assistant texts.
 
-Defined cases: null texts and roles count as empty; turns are ordered by turn, then role, then text,
+Defined cases: texts of any length are read whole;
+null texts and roles count as empty; turns are ordered by turn, then role, then text,
 so ties and repeated rows are turns of their own; a parent that isn't there makes a root; a message
 given twice under one id counts once, the smaller of the two; messages in a cycle are no path, and a
 branch that runs into a cycle is left out while the tree's others stay; branches of equal score are ranked by length, longest

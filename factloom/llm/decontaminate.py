@@ -9,7 +9,8 @@ sketch against the other, which would lose a short item in a long document), hit
 document and item, and pairs with enough of them are verified by exact containment of the shingles
 themselves. Texts are read and cut twice: to probe, and, of candidates alone, to verify.
 
-Defined cases: texts are compared as lower-case runs of letters, marks and digits; an item of fewer
+Defined cases: texts of any length are read whole;
+texts are compared as lower-case runs of letters, marks and digits; an item of fewer
 than five words is one shingle, the whole sequence; an item without words matches nothing, nor does
 an empty or null text; repeated items and repeated rows give repeated pairs once; a null doc_id is
 kept; drop_contaminated() passes columns of any name through, the others read the named ones alone; an

@@ -18,7 +18,8 @@ Windows of one licence that overlap are one find: the one that shares most bigra
 coefficient, the first, the shortest. Finds that cover each other by half or more are one as well, by the
 same order and then by name. So a notice inside its licence is part of the licence.
 
-Defined cases: null and empty texts and texts of one word have no bigrams and match nothing; repeated rows
+Defined cases: texts of any length are read whole;
+null and empty texts and texts of one word have no bigrams and match nothing; repeated rows
 give their finds once; a null doc_id is kept; only the named columns are read, so others can't clash; an
 empty table gives an empty table.
 """

@@ -5,7 +5,8 @@ Each document's lines are hashed, and each run of three consecutive lines is one
 first occurrence (by doc_id, then position) are later occurrences, and the lines that they cover,
 merged over overlapping windows, are removed.
 
-Defined cases: lines end at "\n", and spaces (not tabs or carriage returns) at a line's end don't count;
+Defined cases: texts of any length are read whole;
+lines end at "\n", and spaces (not tabs or carriage returns) at a line's end don't count;
 windows of blank lines alone are ignored; null texts count as empty; documents of fewer than three lines
 stay as they are; rows with the same doc_id and text are one occurrence and stay alike; of rows with one
 doc_id, or with none, and different texts the one with the smaller hash comes first at each position; a

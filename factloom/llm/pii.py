@@ -13,7 +13,8 @@ leftmost, without overlaps within a kind, and failing matches aren't tried again
 never remove a base span: url, iban (after its cue), account (a number after its cue), ssn (after its
 cue) and street (a house number before a street cue).
 
-Defined cases: null and empty texts have no spans; repeated rows give repeated results; input columns
+Defined cases: texts of any length are read whole;
+null and empty texts have no spans; repeated rows give repeated results; input columns
 pass through (an existing output column of that name is replaced); an empty table gives an empty
 table; spans count code points, the end is exclusive; equal starts are ordered by end.
 """

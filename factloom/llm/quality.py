@@ -5,7 +5,8 @@ adds up its share of the normal equations; the sums, of fixed size, are added up
 32 at a time, and solved on the driver. Scores are calibrated by isotonic regression over raw scores of
 other rows, in bins of a width of 1/1000 (a resolution: raw scores outside -1 to 2 are in the outer bins).
 
-Defined cases: null and empty texts have all statistics zero and get a score as any other; labels of
+Defined cases: texts of any length are read whole;
+null and empty texts have all statistics zero and get a score as any other; labels of
 a repeated doc_id are averaged, null labels are ignored; without labels every score is the prior (0.5);
 equal raw scores are one bin, and repeated rows have equal scores; keep_good() passes columns of any name
 through, the others read the named ones alone; an empty table gives an empty table.

@@ -14,7 +14,8 @@ the places use words that no feature counts. Whole key blocks are secrets, their
 The dictionary is the corpus's own: the ``dictionary_words`` words (of 3 to 64 letters; longer runs are no words) in
 most rows, counted over all texts.
 
-Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; a null
+Defined cases: texts of any length are read whole;
+null and empty texts have no candidates; repeated rows give repeated findings; a null
 path counts as empty; only the named columns are read, so others can't clash; an empty table gives an
 empty table; labelled findings of one class keep all candidates of that class's judgement; without any
 labelled findings all candidates are kept, with a probability of 0.5; null labels are left out; words that

@@ -11,7 +11,8 @@ tally, is first dealt out by two of its four remaining bytes: every pair that re
 shared bytes still meets there, and at most 65,536 different fingerprints share six bytes. All links come
 through the index, whatever the length of a list.
 
-Defined cases: null and empty texts have the fingerprint zero and link as any other; texts of one or
+Defined cases: texts of any length are read whole;
+null and empty texts have the fingerprint zero and link as any other; texts of one or
 two words have one shingle, the whole sequence; repeated rows have equal results; a null doc_id
 is kept, and counts as larger than any other id; columns of any name pass through keep_first(); an
 empty table gives an empty table.
