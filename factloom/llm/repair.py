@@ -323,7 +323,7 @@ crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
 base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS x FROM conversations),
 hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS k FROM base, crc),
 damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM hashed, range(2) c(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
-ends AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged),
+ends AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)),
 rows_ AS MATERIALIZED (SELECT conv_id, turn, i, role, text, role[1] AS r, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS was,
   CASE WHEN e = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM ends),
 chains AS (SELECT * FROM (VALUES (0, '', 0, 0, []::VARCHAR[]), (1, '', 1, 0, []), (2, '', 2, 0, []), (3, '', 3, 0, []), (0, 'I', 2, 5, ['user:']), (1, 'I', 2, 5, ['user:']), (3, 'I', 2, 5, ['user:']), (2, 'I', 3, 5, ['assistant:']),
