@@ -33,7 +33,7 @@ from .common import small_batches, table, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Cells of one matrix, bytes kept between batches, the longest word that is kept, characters cut at a time, and the longest row of a matrix.
-CELLS, CACHE, KEPT_WORD, CUT, LONGEST = 1 << 16, 48 << 20, 256, 500_000, 2048
+CELLS, CACHE, KEPT_WORD, CUT, LONGEST = 1 << 16, 24 << 20, 256, 500_000, 2048
 #: What an entry of a dict costs besides its characters and ids.
 ENTRY = 200
 #: A word of letters alone is one piece, and these marks after it are the next piece.
