@@ -210,12 +210,12 @@ QUERIES = {k[2:]: f for k, f in dict(globals()).items() if k.startswith("q_")}
 
 _PLAIN = "CASE WHEN contains({0}::VARCHAR, '.') THEN rtrim(rtrim({0}::VARCHAR, '0'), '.') ELSE {0}::VARCHAR END"
 ORACLES = {
-    "gold_validate": _O + f""", c AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 23 = 0 AS bare, price::DECIMAL(18,2) - o_custkey AS d, price::DECIMAL(18,2) - o_custkey + (o_orderkey % 9 = 0)::INT AS r FROM o),
+    "gold_validate": _O + f""", c AS (SELECT o_orderkey AS k, o_custkey AS c, price AS p, o_orderkey % 23 = 0 AS bare, price::DECIMAL(18,2) - o_custkey AS d, price::DECIMAL(18,2) - o_custkey + (o_orderkey % 9 = 0)::INT AS r FROM o),
 e AS (SELECT k, [CASE WHEN k % 17 = 0 THEN 'extractor_marked_unsupported' END, CASE WHEN k % 13 = 0 THEN 'reference_is_empty' END, CASE WHEN k % 11 = 0 AND k % 13 <> 0 THEN 'reference_contains_evidence_citation' END, CASE WHEN k % 19 = 0 THEN 'extractor_reported_limitations' END, CASE WHEN bare THEN 'claims_are_empty' END,
  CASE WHEN NOT bare AND k % 7 = 0 THEN 'claim_1:unknown_requirement:other' END, CASE WHEN NOT bare AND k % 5 = 0 THEN 'claim_1:unknown_evidence:E9' END, CASE WHEN NOT bare AND k % 6 = 0 THEN 'claim_1:quote_2:too_short' END, CASE WHEN NOT bare AND k % 4 = 0 THEN CASE WHEN k % 6 = 0 THEN 'claim_1:quote_3:not_found' ELSE 'claim_1:quote_2:not_found' END END,
  CASE WHEN NOT bare AND k % 3 = 0 THEN 'claim_2:requirement_not_supported_by_cited_evidence:ship' END, CASE WHEN NOT bare AND k % 3 = 0 THEN 'claim_2:quote_1:not_found' END, CASE WHEN bare THEN 'uncovered_requirement:price' END, CASE WHEN bare THEN 'uncovered_requirement:ship' END,
  CASE WHEN k % 5 = 1 THEN 'numeric_fact_3:unknown_evidence' END, CASE WHEN k % 8 = 0 THEN 'numeric_fact_4:invalid_value:n/a' END, CASE WHEN k % 10 = 0 THEN 'missing_calculation:sum' END, CASE WHEN k % 10 = 0 THEN 'unexpected_calculation:ratio' END,
- CASE WHEN k % 5 = 1 THEN 'calculation_1:operand_2:not_evidence_backed:' || c END, CASE WHEN k % 9 = 0 THEN 'calculation_1:wrong_result:' || {_PLAIN.format('r')} || ':expected:' || {_PLAIN.format('d')} END, CASE WHEN k % 9 = 0 THEN 'calculation_2:operand_1:not_evidence_backed:' || r END,
- CASE WHEN k % 29 = 0 AND k % 13 <> 0 THEN 'reference_number_not_supported:77777' END, CASE WHEN NOT bare AND k % 3 = 0 THEN 'expected_source_not_cited:x' END] AS es FROM c)
+ CASE WHEN k % 5 = 1 AND c <> p THEN 'calculation_1:operand_2:not_evidence_backed:' || c END, CASE WHEN k % 9 = 0 THEN 'calculation_1:wrong_result:' || {_PLAIN.format('r')} || ':expected:' || {_PLAIN.format('d')} END, CASE WHEN k % 9 = 0 AND r <> p AND (r <> c OR k % 5 = 1) THEN 'calculation_2:operand_1:not_evidence_backed:' || r END,
+ CASE WHEN k % 29 = 0 AND k % 13 <> 0 AND 77777 NOT IN (p, c, r) THEN 'reference_number_not_supported:77777' END, CASE WHEN NOT bare AND k % 3 = 0 THEN 'expected_source_not_cited:x' END] AS es FROM c)
 SELECT k AS record_id, len(list_filter(es, lambda x: x IS NOT NULL)) = 0 AS passed, coalesce(array_to_string(es, ','), '') AS errors FROM e""",
 }
