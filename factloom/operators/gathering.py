@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators import nearest
 from factloom.operators.datasets import _keys
 from factloom.operators.gold import NUMBER, number_key, number_keys
-from factloom.operators.retrieval import _TOKENS, RRF, _bm25, bm25_scores, top_hits
+from factloom.operators.retrieval import _TOKENS, QUERY_ROWS, RRF, _bm25, best_hits
 from factloom.sources import views as V
-from factloom.sources.shared import written
+from factloom.sources.shared import hinted, written
 
 #: Hits of a query that count, the weight of numbers, the score of a window around an asked number.
 HITS, NUMBERS, EXACT = 36, 4.0, 10.0
@@ -28,16 +29,30 @@ def _terms(text: Column) -> Column:
 def hint_scores(requests: DataFrame, chunks: DataFrame, kept: int) -> DataFrame:
     """spec_id, req_ord, parent_id, score, coverage: of each hint the ``kept`` parents of the source with most of its numbers, then of its terms.
 
-    A parent's terms are those of its chunks. Parents without any match can't rank before others, so only matches meet.
+    A parent's terms are those of its chunks, of which only the asked ones travel. Parents without any match can't rank before others, so
+    only matches meet. The hints are the query side: they are counted, and up to QUERY_ROWS of their terms go to the tasks (nearest.py).
     """
-    have = chunks.select(F.col("ticker").alias("source"), F.col("doc_type").alias("_kind"), "parent_id", F.explode(_terms(F.col("text"))).alias("term")).distinct()
     asked = requests.select("spec_id", "req_ord", "source", F.col("doc_type").alias("_d"), F.posexplode("hints").alias("hint", "_t")).withColumn("_terms", _terms(F.col("_t")))
     many = lambda kind: F.size(F.filter("_terms", lambda t: t.startswith(kind)))
-    asked = written(asked.withColumns({"nt": many("t"), "nn": many("n")}).filter("nt > 0").select("spec_id", "req_ord", "source", "_d", "hint", "nt", "nn", F.explode("_terms").alias("term")), "hints")
-    met = written(have, "parent_terms").join(asked.hint("merge"), ["source", "term"]).filter(F.col("_d").isNull() | (F.col("_d") == F.col("_kind")))
-    is_number = F.col("term").startswith("n").cast("int")
-    counts = met.groupBy("spec_id", "req_ord", "hint", "parent_id", "nt", "nn").agg(F.sum(1 - is_number).alias("t"), F.sum(is_number).alias("n"))
-    scored = counts.withColumns({"coverage": F.col("t") / F.col("nt"), "numeric": F.when(F.col("nn") > 0, F.col("n") / F.col("nn")).otherwise(0.0)})
+    asked = written(asked.withColumns({"nt": many("t"), "nn": many("n")}).filter("nt > 0"), "hints")
+    rows = asked.agg(F.sum(F.size("_terms"))).first()[0] or 0
+    kind = F.col("doc_type").alias("kind")
+    wanted = asked.select("source", F.explode("_terms").alias("term")).groupBy("source").agg(F.collect_set("term").alias("_want"))
+    have = chunks.select(F.col("ticker").alias("source"), kind, "parent_id", _terms(F.col("text")).alias("_have")).join(hinted(wanted, rows, QUERY_ROWS), "source")
+    have = have.select("source", "kind", "parent_id", F.array_intersect("_have", "_want").alias("_have")).filter(F.size("_have") > 0)
+    have = written(have.groupBy("source", "kind", "parent_id").agg(F.array_distinct(F.flatten(F.collect_list("_have"))).alias("terms")), "parent_terms")
+    if rows <= QUERY_ROWS:
+        listed = asked.select("spec_id", "req_ord", "hint", "source", "_d", "_terms").collect()
+        sent = chunks.sparkSession.sparkContext.broadcast([(r["source"], r["_d"], r["_terms"]) for r in listed])
+        types = dict(asked.dtypes) | dict(chunks.dtypes)
+        found = written(have.mapInPandas(nearest.hint_scorer(sent, kept), f"q int, parent_id {types['parent_id']}, numeric double, coverage double"), "matches")
+        named = chunks.sparkSession.createDataFrame([(q, r["spec_id"], r["req_ord"], r["hint"]) for q, r in enumerate(listed)], f"q int, spec_id {types['spec_id']}, req_ord {types['req_ord']}, hint int")
+        scored = found.join(named.hint("broadcast"), "q")
+    else:
+        met = have.withColumn("term", F.explode("terms")).drop("terms").join(asked.withColumn("term", F.explode("_terms")).drop("_terms", "_t").hint("merge"), ["source", "term"]).filter(F.col("_d").isNull() | (F.col("_d") == F.col("kind")))
+        is_number = F.col("term").startswith("n").cast("int")
+        counts = met.groupBy("spec_id", "req_ord", "hint", "parent_id", "nt", "nn").agg(F.sum(1 - is_number).alias("t"), F.sum(is_number).alias("n"))
+        scored = counts.withColumns({"coverage": F.col("t") / F.col("nt"), "numeric": F.when(F.col("nn") > 0, F.col("n") / F.col("nn")).otherwise(0.0)})
     rank = F.row_number().over(W.partitionBy("spec_id", "req_ord", "hint").orderBy(F.desc("numeric"), F.desc("coverage"), "parent_id"))
     best = scored.withColumn("rank", rank).filter(F.col("rank") <= kept).filter("coverage > 0")
     return best.select("spec_id", "req_ord", "parent_id", (1.0 / F.col("rank") + F.col("coverage") + NUMBERS * F.col("numeric")).alias("score"), "coverage")
@@ -47,8 +62,8 @@ def query_scores(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """spec_id, req_ord, parent_id, score, coverage of each hit of each distinct hint and of the question, by BM25 in the request's source."""
     each = requests.select("spec_id", "req_ord", F.col("source").alias("ticker"), "doc_type", F.explode(F.array_distinct(F.concat("hints", F.array("question")))).alias("text"))
     each = written(each.withColumn("question_id", F.concat_ws("/", "spec_id", "req_ord", F.md5("text"))), "queries")
-    scored = bm25_scores(chunks, each.select("question_id", "text"), each.select("question_id", F.lit(0).alias("grp_ord"), "ticker", "doc_type"))
-    hits = top_hits(scored, F.lit(HITS)).join(each.select("question_id", "spec_id", "req_ord").hint("merge"), "question_id")
+    hits = best_hits(chunks, each.select("question_id", "text"), each.select("question_id", F.lit(0).alias("grp_ord"), "ticker", "doc_type", F.lit(HITS).alias("k")))[0]
+    hits = hits.join(each.select("question_id", "spec_id", "req_ord").hint("merge"), "question_id")
     return hits.select("spec_id", "req_ord", "parent_id", (1.0 / (RRF + F.col("rank"))).alias("score"), "coverage")
 
 
