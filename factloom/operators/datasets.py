@@ -323,8 +323,8 @@ def q_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's trigrams against those of the document with the next number."""
-    d = V.segments(spark, sf_dir).select("doc_id", T.grams(T.words(F.col("text"))).alias("g"))
+    """Each document's trigrams, as 64-bit hashes, against those of the document with the next number."""
+    d = V.segments(spark, sf_dir).select("doc_id", F.transform(T.grams(T.words(F.col("text"))), lambda x: F.xxhash64(x)).alias("g"))
     after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
     return d.join(after.hint("merge"), "doc_id").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 9).alias("jaccard"))
 
