@@ -25,8 +25,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies (4): of each group at a five-word Jaccard of 0.8 the document with the smallest id stays, once. Pairs come from SimHash's index and an exact one."""
-    return simhash.keep_first(docs, groups=shingles.near_duplicates)
+    """Near copies (4): of each group the document with the smallest id stays, once. Texts whose SimHash fingerprints are linked as in op4_simhash are in one group, and so are those at a five-word Jaccard of 0.8."""
+    return simhash.keep_first(docs, groups=shingles.near_duplicates, fingerprints=True)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,22 +1,20 @@
 """Near-duplicate groups by SimHash and the exact Jaccard coefficient of sets of five-word shingles.
 
-A text's set has the 64-bit hashes of its shingles. Equal sets are one class. Candidates are pairs of
-classes
-
-- whose SimHash fingerprints, of the same shingles, differ in at most two bits, by the byte-position index
-  of simhash.py;
-- that share a shingle of their prefixes. Two sets of n and m shingles that reach the threshold t share one of
-  their first ``n - ceil(t * n) + 1`` shingles in any order that is common to all, so no pair at the threshold
-  can be missed: fingerprints can't promise that, since sets at 0.8 differ in about ten bits of 64, and eight
-  changed bits may leave no byte equal. Pairs whose prefixes share too few to reach the threshold go before
-  any set is read. The order is by hash, with frequent shingles last so that prefixes hold rare ones; which
-  are frequent is estimated from a part of the texts and touches the cost alone, not the pairs.
-
-All are verified by the exact coefficient of the sets. Pairs of a list of at most ``longest`` classes are all
+A text's set has the 64-bit hashes of its shingles. Equal sets are one class. With ``fingerprints`` the links of
+SimHash come first: fingerprints of simhash.py (three words, repeats included) that differ in at most two bits, by its
+byte-position index, link the classes of their texts, whatever the coefficient. Then candidates are pairs of classes
+that share a shingle of their prefixes. Two sets of n and m shingles that reach the threshold t share one of
+their first ``n - ceil(t * n) + 1`` shingles in any order that is common to all, so no pair at the threshold
+can be missed: fingerprints can't promise that, since sets at 0.8 differ in about ten bits of 64, and eight
+changed bits may leave no byte equal. Pairs whose prefixes share too few to reach the threshold go before
+any set is read. The order is by hash, with frequent shingles last so that prefixes hold rare ones; which
+are frequent is estimated from a part of the texts and touches the cost alone, not the pairs.
+
+Candidates are verified by the exact coefficient of the sets. Pairs of a list of at most ``longest`` classes are all
 candidates. Of a longer list every class first meets the ``CENTRES`` with most of their prefix in long lists:
 an edit puts rare shingles into a prefix, so these are the least edited, and what was copied from them meets
 them at once. Then only the classes outside the list's largest group meet those of other groups. The
-components are those of all pairs at the threshold.
+components are those of all pairs at the threshold and, with ``fingerprints``, of all links of SimHash.
 
 Defined cases: texts of any length are read whole;
 null and empty texts have the empty set and are copies of each other alone; texts of
@@ -37,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, hinted, row_key, small_batches, text_of, written
 from .components import components
-from .simhash import fingerprint_of
+from .simhash import fingerprint
 from .simhash import links as fingerprint_links
 
 WORDS, THRESHOLD = 5, 0.8
@@ -79,7 +77,7 @@ def prefix(found: np.ndarray, threshold: float, frequent: np.ndarray, place: np.
     return found[np.lexsort((found, late))[:keep]]
 
 
-def _marks(text: Column, words: int, threshold: float, frequent: np.ndarray, place: np.ndarray) -> Column:
+def _marks(text: Column, words: int, threshold: float, frequent: np.ndarray, place: np.ndarray, fingerprints: bool) -> Column:
     @F.pandas_udf("sig long, fp long, n int, prefix array<long>")
     def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -87,7 +85,7 @@ def _marks(text: Column, words: int, threshold: float, frequent: np.ndarray, pla
         for texts in batches:
             sets = [hashes(t or "", words) for t in texts]
             yield pd.DataFrame({
-                "sig": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), "fp": np.array([fingerprint_of(s.view(np.uint64)) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int32),
+                "sig": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), "fp": np.array([fingerprint(t or "") if fingerprints else 0 for t in texts], np.int64), "n": np.array([len(s) for s in sets], np.int32),
                 "prefix": pd.Series([prefix(s, threshold, frequent, place) for s in sets], dtype=object),
             })
 
@@ -150,17 +148,17 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return met.filter(F.col("i") >= (F.col("n") - F.col("i")) * threshold - 1e-9).select("a", "b")
 
 
-def by_fingerprint(classes: DataFrame) -> DataFrame:
-    """Pairs a, b of classes by the index of fingerprints: each with the first of its fingerprint, and the first ones of linked fingerprints."""
-    first = written(classes.groupBy("fp").agg(F.min("sig").alias("sig")), "firsts")
-    of = lambda f, s: first.select(F.col("fp").alias(f), F.col("sig").alias(s)).hint("merge")
-    linked = written(fingerprint_links(first.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"}), "linked").join(of("fa", "a"), "fa").join(of("fb", "b"), "fb")
-    same = classes.select("fp", F.col("sig").alias("b")).join(of("fp", "a"), "fp").filter("a <> b")
-    return _pairs(linked.unionByName(same, allowMissingColumns=True))
+def by_fingerprint(prints: DataFrame) -> DataFrame:
+    """The links of SimHash as pairs a < b of classes: of each component of linked fingerprints the first class with every other. prints: sig, fp."""
+    marks = written(prints.select("sig", "fp").distinct(), "marks")
+    roots = components(fingerprint_links(marks.select("fp").distinct())).withColumnRenamed("node", "fp")
+    rooted = written(marks.join(roots.hint("merge"), "fp", "left").select("sig", F.coalesce("root", "fp").alias("root")).distinct(), "rooted")
+    first = written(rooted.groupBy("root").agg(F.min("sig").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    return rooted.join(first.hint("merge"), "root").select("a", F.col("sig").alias("b")).filter("a <> b")
 
 
-def grouped(docs: DataFrame, classes: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, longest: int = 64, broadcast_rows: int = 100_000) -> DataFrame:
-    """node, root of the components of all pairs of classes at the threshold. classes: sig, fp, n, at, prefix."""
+def grouped(docs: DataFrame, classes: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, longest: int = 64, broadcast_rows: int = 100_000, given: DataFrame | None = None) -> DataFrame:
+    """node, root of the components of all pairs of classes at the threshold and of those given. classes: sig, n, at, prefix; given: a, b."""
     index = written(classes.select("sig", "n", F.posexplode("prefix").alias("i", "h")), "index")
     sizes = written(index.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
     listed = index.join(sizes.hint("merge"), "h")
@@ -171,7 +169,9 @@ def grouped(docs: DataFrame, classes: DataFrame, words: int = WORDS, threshold:
     centre = F.row_number().over(W.partitionBy("h").orderBy(F.desc("l"), "sig"))
     centres = written(_side(long_.withColumn("_r", centre).filter(F.col("_r") <= CENTRES), "a"), "centres")
     stars = _pairs(_side(long_, "b").join(centres.hint("merge"), "h").filter("a <> b").filter(possible))
-    first = verified(by_fingerprint(classes).unionByName(near).unionByName(stars).distinct(), docs, classes, words, threshold, broadcast_rows)
+    first = verified(near.unionByName(stars).distinct(), docs, classes, words, threshold, broadcast_rows)
+    if given is not None:
+        first = first.unionByName(given)
     roots = written(components(written(first, "first")), "roots")
     rooted = written(long_.join(roots.withColumnRenamed("node", "sig").hint("merge"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "rooted")
     groups = rooted.groupBy("h", "root").agg(F.count("*").alias("c"))
@@ -190,16 +190,20 @@ def grouped(docs: DataFrame, classes: DataFrame, words: int = WORDS, threshold:
     return components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, longest: int = 64, broadcast_rows: int = 100_000) -> DataFrame:
-    """id_col, _key (tells rows of one id apart), fp (long, the group) and component_id (the smallest id reachable) of each row."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, longest: int = 64, broadcast_rows: int = 100_000, fingerprints: bool = False) -> DataFrame:
+    """id_col, _key (tells rows of one id apart), fp (long, the group) and component_id (the smallest id reachable) of each row.
+
+    fingerprints: the links of op4_simhash are links too.
+    """
     small_batches(df.sparkSession, size=BATCH_BYTES // 4)  # sets of shingles take several times their texts
     text = text_of(text_col)
     docs = df.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), text.alias("t"))
     frequent, place = frequent_shingles(df, text, words)
-    marked = docs.select("_id", "_key", _marks(F.col("t"), words, threshold, frequent, place).alias("m")).select("_id", "_key", "m.*")
+    marked = docs.select("_id", "_key", _marks(F.col("t"), words, threshold, frequent, place, fingerprints).alias("m")).select("_id", "_key", "m.*")
     prints = written(marked, "prints")
-    classes = written(prints.groupBy("sig").agg(F.min("_id").alias("least"), F.min("_key").alias("at"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    roots = grouped(docs.select("_key", "t"), classes, words, threshold, longest, broadcast_rows).withColumnRenamed("node", "sig")
+    classes = written(prints.groupBy("sig").agg(F.min("_id").alias("least"), F.min("_key").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    given = written(by_fingerprint(prints), "given") if fingerprints else None
+    roots = grouped(docs.select("_key", "t"), classes, words, threshold, longest, broadcast_rows, given).withColumnRenamed("node", "sig")
     rooted = written(classes.select("sig", "least").join(roots.hint("merge"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(groups.hint("merge"), "root").select("sig", "root", "component_id"), "named")

@@ -75,6 +75,20 @@ def test_stage_drops_near_copies(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, SMALL).collect()) == [1, 3]
 
 
+def test_stage_has_the_links_of_simhash(spark):
+    """Two texts whose fingerprints op4_simhash links are one group in the stage, although their Jaccard is under 0.8."""
+    import corpus_pipeline
+    from factloom.llm import simhash
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(40)]
+    a, b = " ".join(words * 30), " ".join(words * 30 + ["x"] + words[:8] + ["y"] + words[20:28] + ["z"])
+    assert not near(plain_set(a), plain_set(b))
+    docs = spark.createDataFrame([(2, a, "en", "s", 1), (1, b, "en", "s", 1), (3, " ".join(words[::-1]), "en", "s", 1)], DOCS)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, SMALL).collect()) == [1, 3]
+
+
 def test_cases(spark):
     import corpus_pipeline
 
