@@ -11,6 +11,8 @@ matrices for a heap with the same ids: a row of n bytes takes up to n rounds of
 piece of 32 KB costs a matrix 4 seconds and the heap 0.2, and one of a megabyte an hour and 12 seconds
 (figures in the README).
 
+digests() gets ids and decoded bytes from one worker a task (recode_column), which holds the ranks once.
+
 What a worker keeps between batches are the ids of words and pieces, bounded by the bytes of both
 (CACHE); texts are never kept.
 """
@@ -268,6 +270,21 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _encoded(cutter: Cutter, texts: pd.Series) -> list[np.ndarray]:
+    out, waiting, chars = [], [], 0
+    for text in texts:
+        waiting.append(text or "")
+        chars += len(waiting[-1])
+        if chars >= CUT:
+            out += cutter.encode(waiting)
+            waiting, chars = [], 0
+    return out + cutter.encode(waiting)
+
+
+def _decoded(tokens: list[bytes], lists) -> list[bytes]:
+    return [b"" if x is None else b"".join([tokens[i] for i in np.asarray(x).tolist()]) for x in lists]
+
+
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     """array<int> of the ids of each text."""
 
@@ -275,14 +292,7 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cutter = Cutter(vocabulary(path), pattern)
         for texts in batches:
-            out, waiting, chars = [], [], 0
-            for text in texts:
-                waiting.append(text or "")
-                chars += len(waiting[-1])
-                if chars >= CUT:
-                    out += cutter.encode(waiting)
-                    waiting, chars = [], 0
-            yield pd.Series(out + cutter.encode(waiting), dtype=object)
+            yield pd.Series(_encoded(cutter, texts), dtype=object)
 
     return ids(text)
 
@@ -294,11 +304,25 @@ def decode_column(ids: Column, path: str) -> Column:
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = token_bytes(path)
         for lists in batches:
-            yield pd.Series([b"" if x is None else b"".join([tokens[i] for i in np.asarray(x).tolist()]) for x in lists], dtype=object)
+            yield pd.Series(_decoded(tokens, lists), dtype=object)
 
     return decoded(ids)
 
 
+def recode_column(text: Column, path: str, pattern: str) -> Column:
+    """The ids of each text and the bytes that these stand for, by one worker a task: of two columns each has its own, and its own copy of the ranks."""
+
+    @F.pandas_udf("token_ids array<int>, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocab = vocabulary(path)
+        cutter = Cutter(vocab, pattern)
+        for texts in batches:
+            ids = _encoded(cutter, texts)
+            yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "decoded": pd.Series(_decoded(vocab.tokens, ids), dtype=object)})
+
+    return both(text)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """df with the ids of text_col."""
     return df.withColumn(out_col, encode_column(text_of(text_col), path, pattern))
@@ -312,7 +336,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", out_col: str =
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
     small_batches(docs.sparkSession)
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
+    coded = docs.select("doc_id", recode_column(text_of("text"), path, pattern).alias("c")).select("doc_id", "c.*")
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

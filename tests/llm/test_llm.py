@@ -164,6 +164,17 @@ def test_bpe_round_trip(awkward, empty):
     assert bpe.digests(empty, PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_digests_take_one_worker(awkward):
+    """Two columns from Python would keep two workers a task, each with the ranks; the digests are those of encode() and decode()."""
+    from pyspark.sql import functions as F
+
+    out = bpe.digests(awkward, PATH, P.PATTERN)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    apart = bpe.decode(bpe.encode(awkward, PATH, P.PATTERN), PATH)
+    ids = F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, apart.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")).collect()))
+
+
 # -- simhash
 
 
